@@ -113,7 +113,7 @@ def corpus_index(t):
 
 @query
 def model_roundtrip(t):
-    vectors = t.read("embeddings")
+    vectors = t.scan("embeddings")
     model = classifier.train_classifier(vectors)
     kmeans = clustering.train_kmeans(vectors)
     folder = shared_folder(t.spark, "models")
@@ -188,9 +188,9 @@ def _cleaned(t):
 
 @query
 def section_headers(t):
-    kept = _cleaned(t).select("doc_id", F.posexplode(S.section_headers(F.col("clean_text"))).alias("at", "h"))
+    kept = _cleaned(t).select("doc_id", F.posexplode(S.section_headers(F.col("clean_text"))).alias("place", "h"))
     return kept.select(
-        "doc_id", F.col("at").cast("long").alias("at"), F.col("h.pos").cast("long").alias("pos"), "h.section"
+        "doc_id", F.col("place").cast("long").alias("place"), F.col("h.pos").cast("long").alias("pos"), "h.section"
     )
 
 
@@ -259,8 +259,8 @@ def _skills(t):
 def normalize_skills(t):
     """Every skill mention of a skill line, as written, with its canonical form."""
     raw = F.split(F.get(F.split(F.expr(DOC_TEXT), "\n"), F.lit(2)), ",")
-    return t.read("documents").select("doc_id", F.posexplode(raw).alias("at", "raw")).select(
-        "doc_id", F.col("at").cast("long").alias("at"), "raw", K.normalize_skill(F.col("raw"), STANDARD).alias("skill")
+    return t.read("documents").select("doc_id", F.posexplode(raw).alias("place", "raw")).select(
+        "doc_id", F.col("place").cast("long").alias("place"), "raw", K.normalize_skill(F.col("raw"), STANDARD).alias("skill")
     )
 
 
@@ -430,7 +430,7 @@ def label_encode(t):
 
 
 def _split(t):
-    return classifier.stratified_split(t.read("embeddings"), "label", "vec_id")
+    return classifier.stratified_split(t.scan("embeddings"), "label", "vec_id")
 
 
 @query
@@ -494,7 +494,7 @@ def top3_classes(t):
 
 @query
 def train_kmeans(t):
-    vectors = t.read("embeddings")
+    vectors = t.scan("embeddings")
     return clustering.predict_clusters(clustering.train_kmeans(vectors), vectors).select("vec_id", "cluster_id")
 
 

@@ -124,7 +124,7 @@ def train_classifier(train: DataFrame, label: str = "label", vector: str = "embe
         standardization=False,
         maxIter=MAX_ITER,
         regParam=1.0 / max(1, n),
-        tol=1e-8,
+        tol=1e-6,
     )
     model = Pipeline(stages=[indexer]).fit(ready)
     indexed = model.transform(ready)
