@@ -644,7 +644,7 @@ def _screened(t):
     return screening.screen(_decided(t), _job_side(t), t.requests())
 
 
-def flat_scores(scored):
+def flat_scores(scored, *more):
     return scored.select(
         "doc_id",
         "job_id",
@@ -665,6 +665,7 @@ def flat_scores(scored):
         F.col("chunk_lengths.summary_len").alias("summary_len"),
         F.col("chunk_lengths.experience_len").alias("experience_len"),
         F.col("chunk_lengths.skills_len").alias("skills_len"),
+        *more,
     )
 
 
@@ -690,17 +691,11 @@ def screen_pairs(t):
     scored = screening.with_rankings(
         screening.screen(docs, jobs, t.requests()), t.doc_vectors(), jobs, index
     )
-    flat = flat_scores(scored).columns
-    return flat_scores(scored.select("*")).join(
-        scored.select(
-            "doc_id",
-            "job_id",
-            "cluster_id",
-            joined(F.transform(F.col("jd_ranked_docs"), lambda e: e["ranked_id"].cast("string"))).alias("jd_ranked_docs"),
-            joined(F.transform(F.col("similar_docs"), lambda e: e["ranked_id"].cast("string"))).alias("similar_docs"),
-        ),
-        ["doc_id", "job_id"],
-    )
+
+    def ids(c):
+        return joined(F.transform(F.col(c), lambda e: e["ranked_id"].cast("string"))).alias(c)
+
+    return flat_scores(scored, "cluster_id", ids("jd_ranked_docs"), ids("similar_docs"))
 
 
 @query

@@ -1,20 +1,14 @@
 """Small driver-side values as SQL literals (one parse instead of one call per element)."""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 
 def quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def strings(values) -> str:
-    return f"array({', '.join(quoted(v) for v in values)})" if values else "cast(array() as array<string>)"
+def raw(pattern: str) -> str:
+    """A regular expression as a SQL literal; patterns hold no quote character."""
+    return f"r'{pattern}'"
 
 
-def structs(rows, type_ddl: str) -> Column:
-    """An array of structs; ``rows`` holds tuples of SQL fragments in field order."""
-    if not rows:
-        return F.expr(f"cast(array() as array<{type_ddl}>)")
-    body = ", ".join("struct(" + ", ".join(r) + ")" for r in rows)
-    return F.expr(f"cast(array({body}) as array<{type_ddl}>)")
+def strings(values) -> str:
+    return f"array({', '.join(quoted(v) for v in values)})" if values else "cast(array() as array<string>)"

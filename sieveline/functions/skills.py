@@ -3,93 +3,59 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sieveline.functions.binding import let
-from sieveline.functions.literals import quoted, strings, structs
+from sieveline.functions.binding import apply_sql, let_sql
+from sieveline.functions.literals import quoted, strings
 from sieveline.ontology import Ontology
 
-TERM_TYPE = "struct<needle:string,skill:string>"
-DOMAIN_TYPE = "struct<domain_pos:int,domain:string,skills:array<string>>"
+
+def _array_of(rows: list[str], ddl: str) -> str:
+    return f"cast(array({', '.join(rows)}) as array<struct<{ddl}>>)"
+
+
+def _terms(pairs) -> str:
+    rows = [f"struct({quoted(n)}, {quoted(s)})" for n, s in pairs]
+    return _array_of(rows, "needle:string,skill:string")
 
 
 def normalize_skill(skill: Column, ontology: Ontology) -> Column:
     """Trim, lower-case and follow one alias."""
-    key = F.lower(F.trim(F.coalesce(skill, F.lit(""))))
-    rows = [(quoted(a), quoted(c)) for a, c in ontology.aliases.items()]
-    if not rows:
-        return key
-    table = F.map_from_entries(structs(rows, TERM_TYPE))
-    return let(key, lambda k: F.coalesce(F.try_element_at(table, k), k))
+    table = f"map_from_entries({_terms(ontology.aliases.items())})"
+    return apply_sql(
+        F.lower(F.trim(F.coalesce(skill, F.lit("")))), "k", f"coalesce(try_element_at({table}, k), k)"
+    )
 
 
 def skills_in(text: Column, ontology: Ontology) -> Column:
     """Distinct canonical skills whose name or alias occurs anywhere in the text, sorted."""
-    terms = structs([(quoted(n), quoted(s)) for n, s in ontology.terms()], TERM_TYPE)
-
-    def search(hay):
-        hits = F.filter(terms, lambda t: F.contains(hay, t["needle"]))
-        return F.sort_array(F.array_distinct(F.transform(hits, lambda t: t["skill"])))
-
-    return let(F.lower(F.coalesce(text, F.lit(""))), search)
+    hits = f"filter({_terms(ontology.terms())}, x -> contains(t, x.needle))"
+    return apply_sql(
+        F.lower(F.coalesce(text, F.lit(""))), "t", f"sort_array(array_distinct(transform({hits}, x -> x.skill)))"
+    )
 
 
 def domain_evidence(skills: Column, ontology: Ontology) -> Column:
     """One entry per domain in ontology order: matched skills, their number, and that number
     relative to the best domain of the row."""
-    domains = structs(
+    domains = _array_of(
         [
-            (str(pos), quoted(name), strings(sorted({s.lower() for s in members})))
+            f"struct({pos}, {quoted(name)}, {strings(sorted({s.lower() for s in members}))})"
             for pos, (name, members) in enumerate(ontology.domains.items())
         ],
-        DOMAIN_TYPE,
+        "domain_pos:int,domain:string,skills:array<string>",
     )
-    lowered = F.transform(F.coalesce(skills, F.array().cast("array<string>")), F.lower)
-
-    def overlap(mine):
-        return F.transform(
-            domains,
-            lambda d: let(
-                F.sort_array(F.array_intersect(d["skills"], mine)),
-                lambda m: F.struct(
-                    d["domain_pos"].alias("domain_pos"),
-                    d["domain"].alias("domain"),
-                    m.alias("matched"),
-                    F.size(m).alias("n_overlap"),
-                ),
-            ),
-        )
-
-    def scaled(rows):
-        best = F.array_max(F.transform(rows, lambda r: r["n_overlap"]))
-        return let(
-            best,
-            lambda top: F.transform(
-                rows,
-                lambda r: F.struct(
-                    r["domain_pos"].alias("domain_pos"),
-                    r["domain"].alias("domain"),
-                    r["matched"].alias("matched"),
-                    r["n_overlap"].alias("n_overlap"),
-                    F.when(top > 0, r["n_overlap"] / top)
-                    .otherwise(r["n_overlap"].cast("double"))
-                    .alias("score"),
-                ),
-            ),
-        )
-
-    return let(let(lowered, overlap), scaled)
+    overlap = f"""transform({domains}, d -> named_struct('domain_pos', d.domain_pos, 'domain', d.domain,
+        'matched', sort_array(array_intersect(d.skills, mine))))"""
+    scaled = """transform(rows, r -> named_struct('domain_pos', r.domain_pos, 'domain', r.domain,
+        'matched', r.matched, 'n_overlap', size(r.matched),
+        'score', if(top > 0, size(r.matched) / top, cast(0 as double))))"""
+    best = "array_max(transform(rows, r -> size(r.matched)))"
+    body = let_sql(overlap, "rows", let_sql(best, "top", scaled))
+    lowered = "transform(coalesce(s, cast(array() as array<string>)), x -> lower(x))"
+    return apply_sql(skills, "s", let_sql(lowered, "mine", body))
 
 
 def top_domains(evidence: Column, k: int = 3) -> Column:
     """The k best domains, ties in ontology order."""
-    ranked = F.sort_array(
-        F.transform(
-            evidence,
-            lambda e: F.struct(
-                (-e["score"]).alias("key"),
-                e["domain_pos"].alias("domain_pos"),
-                e["domain"].alias("domain"),
-                e["score"].alias("score"),
-            ),
-        )
-    )
-    return F.slice(ranked, 1, k)
+    keyed = """transform(e, x -> named_struct('key', -x.score, 'domain_pos', x.domain_pos,
+        'domain', x.domain, 'score', x.score))"""
+    return apply_sql(evidence, "e", f"slice(sort_array({keyed}), 1, {k})")

@@ -3,7 +3,8 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sieveline.functions.binding import let
+from sieveline.functions.binding import apply_sql, let_sql
+from sieveline.functions.literals import quoted, raw
 
 # Character classes and patterns the results depend on. They are written out
 # because the engine's own \w, \s, \d and \v differ from the Unicode classes wanted here.
@@ -21,6 +22,8 @@ DIGIT = r"\p{Nd}"
 EDGE = rf"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
+BLANKS = r"[\t\r\f\x0b]+"
+
 HTML_TAG = r"<[^>]+>"
 EMAIL = rf"{EDGE}[{WORD}.%-]++@[{WORD}.-]+\.[A-Za-z]{{2,}}{EDGE}"
 URL = rf"(?<![{WORD}])(?:https?://|www\.)[^{SPACE}]+{EDGE}"
@@ -34,118 +37,129 @@ YEARS = rf"{EDGE}({DIGIT}{{1,2}})[{SPACE}]*\+?[{SPACE}]*years(?![{WORD}])"
 BOILERPLATE_LINES = ["resume", "curriculum vitae", "cv", "page"]
 HEADING_MAX_CHARS = 40
 
+_SPACES = "'" + "".join(f"\\u{ord(c):04x}" for c in SPACE_CHARS) + "'"
 
-def strip(text: Column) -> Column:
-    """Trim Unicode white space at both ends."""
-    return F.trim(text, F.lit(SPACE_CHARS))
 
+# SQL fragments: each takes and returns the text of an expression.
 
-def _erase(text: Column, pattern: str, *needles: str) -> Column:
-    """Replace matches by a blank; skip the regex when no needle occurs."""
 
-    def body(t):
-        present = F.contains(t, F.lit(needles[0]))
-        for needle in needles[1:]:
-            present = present | F.contains(t, F.lit(needle))
-        return F.when(present, F.regexp_replace(t, pattern, " ")).otherwise(t)
+def strip_sql(x: str) -> str:
+    return f"trim(BOTH {_SPACES} FROM {x})"
 
-    return let(text, body)
 
+def _blank_out(x: str, pattern: str) -> str:
+    return f"regexp_replace({x}, {raw(pattern)}, ' ')"
 
-def strip_html(text: Column) -> Column:
-    return F.regexp_replace(text, HTML_TAG, " ")
 
+def _erase(x: str, pattern: str, *needles: str) -> str:
+    """Replace matches by a blank; skip the regex when no needle occurs."""
+    present = " or ".join(f"contains(v, {quoted(n)})" for n in needles)
+    return let_sql(x, "v", f"if({present}, {_blank_out('v', pattern)}, v)")
 
-def strip_email(text: Column) -> Column:
-    return _erase(text, EMAIL, "@")
 
+def html_sql(x: str) -> str:
+    return _erase(x, HTML_TAG, "<")
 
-def strip_url(text: Column) -> Column:
-    return _erase(text, URL, "://", "www.")
 
+def email_sql(x: str) -> str:
+    return _erase(x, EMAIL, "@")
 
-def strip_phone(text: Column) -> Column:
-    return F.regexp_replace(text, PHONE, " ")
 
+def url_sql(x: str) -> str:
+    return _erase(x, URL, "://", "www.")
 
-def _lines(text: Column) -> Column:
-    """Trimmed lines; a final line break does not open another line."""
-    raw = F.split(text, LINE_BREAK, -1)
-    return let(
-        raw,
-        lambda r: F.transform(
-            F.slice(r, 1, F.size(r) - F.when(F.element_at(r, -1) == "", 1).otherwise(0)), strip
-        ),
-    )
 
+def phone_sql(x: str) -> str:
+    return _blank_out(x, PHONE)
 
-def drop_repeated_lines(text: Column) -> Column:
-    """Drop boilerplate lines and later copies of short lines, ignoring case.
 
-    Sorting by (key, position) puts copies next to each other, so each document costs
-    n log n in its own line count rather than a scan of all earlier lines per line.
-    """
-    keyed = F.transform(
-        _lines(text), lambda x, i: F.struct(F.lower(x).alias("key"), i.alias("at"), x.alias("line"))
+def repeated_lines_sql(x: str) -> str:
+    """Sorting by (key, place) puts copies next to each other, so a document costs n log n in its
+    own number of lines rather than a scan of all earlier lines per line."""
+    # A final line break does not open another line.
+    lines = let_sql(
+        f"split({x}, {raw(LINE_BREAK)}, -1)",
+        "r",
+        f"transform(slice(r, 1, size(r) - if(element_at(r, -1) = '', 1, 0)), s -> {strip_sql('s')})",
+    )
+    keyed = f"transform({lines}, (s, i) -> named_struct('key', lower(s), 'place', i, 'line', s))"
+    boilerplate = ", ".join(quoted(b) for b in BOILERPLATE_LINES)
+    kept = let_sql(
+        f"sort_array({keyed})",
+        "s",
+        f"""filter(s, (e, i) -> e.key not in ({boilerplate}) and not (
+            length(e.key) between 1 and {HEADING_MAX_CHARS} and coalesce(get(s, i - 1).key = e.key, false)))""",
     )
+    in_order = f"sort_array(transform({kept}, e -> named_struct('place', e.place, 'line', e.line)))"
+    return f"array_join(transform({in_order}, e -> e.line), '\\n')"
+
+
+def collapse_sql(x: str) -> str:
+    x = f"replace({x}, '\\u00a0', ' ')"
+    x = f"regexp_replace({x}, {raw(BLANKS)}, ' ')"
+    x = f"regexp_replace({x}, '\\n{{3,}}', '\\n\\n')"
+    x = f"regexp_replace({x}, ' {{2,}}', ' ')"
+    return strip_sql(x)
+
+
+def clean_sql(x: str) -> str:
+    x = f"coalesce(cast({x} as string), '')"
+    for step in (html_sql, email_sql, url_sql, phone_sql, repeated_lines_sql, collapse_sql):
+        x = step(x)
+    return f"lower({x})"
 
-    def survivors(s):
-        def keep(e, i):
-            is_copy = (
-                (F.length(e["key"]) > 0)
-                & (F.length(e["key"]) <= HEADING_MAX_CHARS)
-                & F.coalesce(F.get(s, i - 1)["key"] == e["key"], F.lit(False))
-            )
-            return ~e["key"].isin(BOILERPLATE_LINES) & ~is_copy
 
-        return F.filter(s, keep)
+def cap_sql(x: str, max_chars: int) -> str:
+    return strip_sql(f"substr({strip_sql(x)}, 1, {max_chars})")
 
-    kept = let(F.sort_array(keyed), survivors)
-    in_order = F.sort_array(F.transform(kept, lambda e: F.struct(e["at"], e["line"])))
-    return F.array_join(F.transform(in_order, lambda e: e["line"]), "\n")
+
+# Column functions.
+
+
+def strip(text: Column) -> Column:
+    """Trim Unicode white space at both ends."""
+    return F.trim(text, F.lit(SPACE_CHARS))
+
+
+def strip_html(text: Column) -> Column:
+    return apply_sql(text, "t", html_sql("t"))
+
+
+def strip_email(text: Column) -> Column:
+    return apply_sql(text, "t", email_sql("t"))
+
+
+def strip_url(text: Column) -> Column:
+    return apply_sql(text, "t", url_sql("t"))
+
+
+def strip_phone(text: Column) -> Column:
+    return F.regexp_replace(text, PHONE, " ")
+
+
+def drop_repeated_lines(text: Column) -> Column:
+    """Drop boilerplate lines and later copies of short lines, ignoring case."""
+    return apply_sql(text, "t", repeated_lines_sql("t"))
 
 
 def collapse_whitespace(text: Column) -> Column:
-    out = F.replace(text, F.lit("\u00a0"), F.lit(" "))
-    out = F.regexp_replace(out, r"[\t\r\f\x0b]+", " ")
-    out = F.regexp_replace(out, r"\n{3,}", "\n\n")
-    out = F.regexp_replace(out, r" {2,}", " ")
-    return strip(out)
+    return apply_sql(text, "t", collapse_sql("t"))
 
 
-def clean_text(raw: Column) -> Column:
+def clean_text(text: Column) -> Column:
     """The full cleaning chain; null becomes the empty string."""
-    text = F.coalesce(raw.cast("string"), F.lit(""))
-    for step in (strip_html, strip_email, strip_url, strip_phone, drop_repeated_lines, collapse_whitespace):
-        text = step(text)
-    return F.lower(text)
+    return apply_sql(text, "t", clean_sql("t"))
 
 
 def cap_text(text: Column, max_chars: int) -> Column:
-    return strip(F.substring(strip(F.coalesce(text, F.lit(""))), 1, max_chars))
+    return apply_sql(F.coalesce(text, F.lit("")), "t", cap_sql("t", max_chars))
 
 
 def noise_counts(text: Column) -> Column:
     """How many matches each erasing rule finds in the raw text."""
-    return F.struct(
-        *[
-            F.regexp_count(text, F.lit(pattern)).cast("long").alias(name)
-            for name, pattern in (
-                ("n_html", HTML_TAG),
-                ("n_email", EMAIL),
-                ("n_url", URL),
-                ("n_phone", PHONE),
-            )
-        ]
-    )
-
-
-def years_experience(text: Column) -> Column:
-    """Largest one- or two-digit number in front of the word "years", else 0."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(YEARS), F.lit(1))
-    # Digits outside ASCII are valid matches; map them before the cast.
-    numbers = F.transform(found, lambda d: F.coalesce(_to_int(d), F.lit(0)))
-    return F.coalesce(F.array_max(numbers), F.lit(0)).cast("int")
+    rules = {"n_html": HTML_TAG, "n_email": EMAIL, "n_url": URL, "n_phone": PHONE}
+    counts = [F.regexp_count(text, F.lit(p)).cast("long").alias(name) for name, p in rules.items()]
+    return F.struct(*counts)
 
 
 # Start of each run of ten decimal digits in the basic plane.
@@ -157,9 +171,15 @@ DIGIT_ZEROS = [
 ]
 
 
-def _to_int(digits: Column) -> Column:
+def years_experience(text: Column) -> Column:
+    """Largest one- or two-digit number in front of the word "years", else 0."""
     wide = "".join(chr(z + d) for z in DIGIT_ZEROS[1:] for d in range(10))
-    return F.translate(digits, wide, "0123456789" * (len(DIGIT_ZEROS) - 1)).try_cast("int")
+    narrow = "0123456789" * (len(DIGIT_ZEROS) - 1)
+    # Digits outside ASCII are valid matches; they are mapped before the cast.
+    number = f"try_cast(translate(d, {quoted(wide)}, '{narrow}') as int)"
+    found = f"regexp_extract_all(lower(t), {raw(YEARS)}, 1)"
+    best = f"coalesce(array_max(transform({found}, d -> {number})), 0)"
+    return apply_sql(F.coalesce(text, F.lit("")), "t", best)
 
 
 def is_blank(text: Column) -> Column:

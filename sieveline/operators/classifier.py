@@ -1,8 +1,8 @@
 """Label encoding, the stratified split, the class-balanced classifier and its probabilities."""
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import StringIndexer
+from pyspark.ml.feature import StringIndexer, StringIndexerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -106,16 +106,17 @@ def train_classifier(train: DataFrame, label: str = "label", vector: str = "embe
     The penalty 1 / (sum of weights) makes the objective equal to an L2-penalised fit with unit
     penalty weight on the summed loss; balanced weights add up to the number of rows.
     """
-    weights = class_weights(train, label).select(label, "weight")
-    ready = train.join(weights, label).select(
+    counts = {
+        str(r[0]): r[1]
+        for r in train.groupBy(F.col(label).cast("string")).agg(F.count(F.lit(1))).collect()
+    }
+    classes, rows = sorted(counts), sum(counts.values())
+    weights = F.create_map(*[F.lit(x) for c in classes for x in (c, rows / (len(classes) * counts[c]))])
+    ready = train.select(
         F.col(label).cast("string").alias("label_text"),
         array_to_vector(F.col(vector)).alias("features"),
-        "weight",
-    )
-    n = train.count()
-    indexer = StringIndexer(inputCol="label_text", outputCol="label_index", stringOrderType="alphabetAsc")
-    # Unseen labels must not stop scoring: the index is only read while fitting.
-    indexer.setHandleInvalid("keep")
+    ).withColumn("weight", F.element_at(weights, F.col("label_text")))
+    indexer = StringIndexerModel.from_labels(classes, inputCol="label_text", outputCol="label_index")
     regression = LogisticRegression(
         featuresCol="features",
         labelCol="label_index",
@@ -123,12 +124,10 @@ def train_classifier(train: DataFrame, label: str = "label", vector: str = "embe
         family="multinomial",
         standardization=False,
         maxIter=MAX_ITER,
-        regParam=1.0 / max(1, n),
+        regParam=1.0 / max(1, rows),
         tol=1e-6,
     )
-    model = Pipeline(stages=[indexer]).fit(ready)
-    indexed = model.transform(ready)
-    return PipelineModel(stages=[*model.stages, regression.fit(indexed)])
+    return PipelineModel(stages=[indexer, regression.fit(indexer.transform(ready))])
 
 
 def model_classes(model: PipelineModel) -> list[str]:
