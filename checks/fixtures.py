@@ -117,6 +117,6 @@ class Tables:
     def preds(self) -> DataFrame:
         """``doc_id, y_true, class, p`` in long form."""
         wide = self.wide_preds().select(
-            F.col("vec_id").alias("doc_id"), F.col("label").alias("y_true"), F.posexplode("probs").alias("class", "p")
+            F.col("vec_id").alias("doc_id"), F.col("label").alias("y_true"), F.posexplode_outer("probs").alias("class", "p")
         )
         return wide

@@ -188,8 +188,8 @@ def _cleaned(t):
 
 @query
 def section_headers(t):
-    kept = _cleaned(t).select("doc_id", F.posexplode(S.section_headers(F.col("clean_text"))).alias("place", "h"))
-    return kept.select(
+    kept = _cleaned(t).select("doc_id", F.posexplode_outer(S.section_headers(F.col("clean_text"))).alias("place", "h"))
+    return kept.filter(F.col("place").isNotNull()).select(
         "doc_id", F.col("place").cast("long").alias("place"), F.col("h.pos").cast("long").alias("pos"), "h.section"
     )
 
@@ -259,7 +259,7 @@ def _skills(t):
 def normalize_skills(t):
     """Every skill mention of a skill line, as written, with its canonical form."""
     raw = F.split(F.get(F.split(F.expr(DOC_TEXT), "\n"), F.lit(2)), ",")
-    return t.read("documents").select("doc_id", F.posexplode(raw).alias("place", "raw")).select(
+    return t.read("documents").select("doc_id", F.posexplode_outer(raw).alias("place", "raw")).select(
         "doc_id", F.col("place").cast("long").alias("place"), "raw", K.normalize_skill(F.col("raw"), STANDARD).alias("skill")
     )
 
@@ -271,7 +271,9 @@ def extract_skills(t):
 
 @query
 def skill_frequency(t):
-    return _skills(t).select(F.explode("skills").alias("skill")).groupBy("skill").agg(F.count(F.lit(1)).alias("n"))
+    # Plain explode would make the optimizer test the array first and so compute it twice more.
+    found = _skills(t).select(F.explode_outer("skills").alias("skill")).filter(F.col("skill").isNotNull())
+    return found.groupBy("skill").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _evidence(t):
@@ -280,7 +282,7 @@ def _evidence(t):
 
 @query
 def domain_overlap(t):
-    return _evidence(t).select("doc_id", F.explode("evidence").alias("e")).select(
+    return _evidence(t).select("doc_id", F.explode_outer("evidence").alias("e")).select(
         "doc_id",
         F.col("e.domain").alias("domain"),
         F.col("e.n_overlap").cast("long").alias("n_overlap"),
@@ -290,14 +292,14 @@ def domain_overlap(t):
 
 @query
 def domain_scores(t):
-    return _evidence(t).select("doc_id", F.explode("evidence").alias("e")).select(
+    return _evidence(t).select("doc_id", F.explode_outer("evidence").alias("e")).select(
         "doc_id", F.col("e.domain").alias("domain"), r6(F.col("e.score")).alias("score")
     )
 
 
 @query
 def top_domains(t):
-    best = _evidence(t).select("doc_id", F.posexplode(K.top_domains(F.col("evidence"), 3)).alias("at", "d"))
+    best = _evidence(t).select("doc_id", F.posexplode_outer(K.top_domains(F.col("evidence"), 3)).alias("at", "d"))
     return best.select(
         "doc_id", (F.col("at") + 1).cast("long").alias("rank"), F.col("d.domain").alias("domain"), r6(F.col("d.score")).alias("score")
     )
@@ -334,14 +336,14 @@ def embed_incremental(t):
 @query
 def encode_text(t):
     vectors = HashingEncoder().encode(t.read("documents").select("doc_id", "text"), "text")
-    long = vectors.select("doc_id", F.posexplode("embedding").alias("i", "v"))
+    long = vectors.select("doc_id", F.posexplode_outer("embedding").alias("i", "v"))
     return long.select("doc_id", F.col("i").cast("long").alias("i"), r6(F.col("v")).alias("v"))
 
 
 @query
 def pool_chunks_query(t):
     pooled = pool_chunks(t.chunk_vecs())
-    long = pooled.select("doc_id", F.posexplode("embedding").alias("i", "v"))
+    long = pooled.select("doc_id", F.posexplode_outer("embedding").alias("i", "v"))
     return long.select("doc_id", F.col("i").cast("long").alias("i"), r6(F.col("v")).alias("v"))
 
 
@@ -352,7 +354,7 @@ QUERIES["pool_chunks"] = QUERIES.pop("pool_chunks_query")
 def l2_normalize(t):
     """Documents as raw token counts, scaled to unit length."""
     counts = HashingEncoder(normalize=False).encode(t.read("documents").select("doc_id", "text"), "text")
-    long = counts.select("doc_id", F.posexplode(V.l2_normalize(F.col("embedding"))).alias("i", "v"))
+    long = counts.select("doc_id", F.posexplode_outer(V.l2_normalize(F.col("embedding"))).alias("i", "v"))
     return long.select("doc_id", F.col("i").cast("long").alias("i"), r6(F.col("v")).alias("v"))
 
 
@@ -466,7 +468,7 @@ def train_classifier(t):
 def class_probabilities(t):
     split, model = _fitted(t)
     scored = classifier.class_probabilities(model, split)
-    ranked = scored.select("vec_id", F.posexplode("ml_probs").alias("at", "r"))
+    ranked = scored.select("vec_id", F.posexplode_outer("ml_probs").alias("at", "r"))
     return ranked.select(
         "vec_id", (F.col("at") + 1).cast("long").alias("rank"), F.col("r.class").alias("class"), r6(F.col("r.p")).alias("p")
     )
@@ -481,7 +483,7 @@ def top3_classes(t):
     top = _ranked_wide(t).select(
         "vec_id",
         r6(classifier.max_probability(F.col("ml_probs"))).alias("max_p"),
-        F.posexplode(classifier.top_classes(F.col("ml_probs"))).alias("at", "c"),
+        F.posexplode_outer(classifier.top_classes(F.col("ml_probs"))).alias("at", "c"),
     )
     return top.select(
         "vec_id",
@@ -509,7 +511,7 @@ def cluster_profile(t):
     labels, centers = t.label_centroids()
     assigned = clustering.assign_clusters(t.read("embeddings"), labels, centers)
     profile = clustering.cluster_profile(assigned, "cluster_id")
-    long = profile.select("cluster_id", "n", F.posexplode("centroid").alias("i", "v"))
+    long = profile.select("cluster_id", "n", F.posexplode_outer("centroid").alias("i", "v"))
     return long.select("cluster_id", "n", F.col("i").cast("long").alias("i"), r6(F.col("v")).alias("v"))
 
 
@@ -714,7 +716,8 @@ QUERIES["shortlist"] = QUERIES.pop("shortlist_query")
 def stream_screen(t):
     """The documents file as a stream of arrivals; same rows as the batch run."""
     schema = t.scan("documents").schema.simpleString()[7:-1].replace(":", " ")
-    arrivals = stream.read_documents(t.spark, t.folder, schema, "documents.parquet").select(
+    cores = t.spark.sparkContext.defaultParallelism
+    arrivals = stream.read_documents(t.spark, t.folder, schema, "documents.parquet", cores).select(
         "doc_id",
         F.expr(DOC_TEXT).alias("doc_text"),
         F.array_distinct(F.array(F.expr(FIRST_JOB), F.expr(SECOND_JOB))).alias("job_ids"),

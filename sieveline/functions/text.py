@@ -22,6 +22,7 @@ DIGIT = r"\p{Nd}"
 EDGE = rf"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
+RARE_LINE_BREAKS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 BLANKS = r"[\t\r\f\x0b]+"
 
 HTML_TAG = r"<[^>]+>"
@@ -44,17 +45,19 @@ _SPACES = "'" + "".join(f"\\u{ord(c):04x}" for c in SPACE_CHARS) + "'"
 
 
 def strip_sql(x: str) -> str:
-    return f"trim(BOTH {_SPACES} FROM {x})"
+    # Trimming a character set walks the whole text; most texts need none of it.
+    edges = f"contains({_SPACES}, left(w, 1)) or contains({_SPACES}, right(w, 1))"
+    return let_sql(x, "w", f"if({edges}, trim(BOTH {_SPACES} FROM w), w)")
 
 
-def _blank_out(x: str, pattern: str) -> str:
-    return f"regexp_replace({x}, {raw(pattern)}, ' ')"
+def _replace(x: str, pattern: str, by: str, *needles: str) -> str:
+    """Replace matches; every match holds one of the needles, so without them skip the regex."""
+    present = " or ".join(f"contains(v, {quoted(n)})" for n in needles)
+    return let_sql(x, "v", f"if({present}, regexp_replace(v, {raw(pattern)}, {by}), v)")
 
 
 def _erase(x: str, pattern: str, *needles: str) -> str:
-    """Replace matches by a blank; skip the regex when no needle occurs."""
-    present = " or ".join(f"contains(v, {quoted(n)})" for n in needles)
-    return let_sql(x, "v", f"if({present}, {_blank_out('v', pattern)}, v)")
+    return _replace(x, pattern, "' '", *needles)
 
 
 def html_sql(x: str) -> str:
@@ -70,15 +73,20 @@ def url_sql(x: str) -> str:
 
 
 def phone_sql(x: str) -> str:
-    return _blank_out(x, PHONE)
+    # Every match holds three digits in a row; testing for them is the cheaper scan.
+    erased = f"regexp_replace(v, {raw(PHONE)}, ' ')"
+    return let_sql(x, "v", f"if(v rlike {raw(DIGIT + '{3}')}, {erased}, v)")
 
 
 def repeated_lines_sql(x: str) -> str:
     """Sorting by (key, place) puts copies next to each other, so a document costs n log n in its
     own number of lines rather than a scan of all earlier lines per line."""
+    # Most texts break lines with \n only, which needs no regex.
+    other_breaks = " or ".join(f"contains(v, {quoted(c)})" for c in RARE_LINE_BREAKS)
+    pieces = let_sql(x, "v", f"if({other_breaks}, split(v, {raw(LINE_BREAK)}, -1), split(v, '\\n', -1))")
     # A final line break does not open another line.
     lines = let_sql(
-        f"split({x}, {raw(LINE_BREAK)}, -1)",
+        pieces,
         "r",
         f"transform(slice(r, 1, size(r) - if(element_at(r, -1) = '', 1, 0)), s -> {strip_sql('s')})",
     )
@@ -96,9 +104,9 @@ def repeated_lines_sql(x: str) -> str:
 
 def collapse_sql(x: str) -> str:
     x = f"replace({x}, '\\u00a0', ' ')"
-    x = f"regexp_replace({x}, {raw(BLANKS)}, ' ')"
-    x = f"regexp_replace({x}, '\\n{{3,}}', '\\n\\n')"
-    x = f"regexp_replace({x}, ' {{2,}}', ' ')"
+    x = _replace(x, BLANKS, "' '", "\t", "\r", "\f", "\x0b")
+    x = _replace(x, r"\n{3,}", "'\\n\\n'", "\n\n\n")
+    x = _replace(x, " {2,}", "' '", "  ")
     return strip_sql(x)
 
 
@@ -134,7 +142,7 @@ def strip_url(text: Column) -> Column:
 
 
 def strip_phone(text: Column) -> Column:
-    return F.regexp_replace(text, PHONE, " ")
+    return apply_sql(text, "t", phone_sql("t"))
 
 
 def drop_repeated_lines(text: Column) -> Column:

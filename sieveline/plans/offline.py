@@ -26,7 +26,7 @@ class Build:
 def long_predictions(model: PipelineModel, df: DataFrame, label: str = "label") -> DataFrame:
     """``doc_id, y_true, class, p`` for the metric operators."""
     scored = classifier.class_probabilities(model, df)
-    return scored.select("doc_id", F.col(label).alias("y_true"), F.explode("ml_probs").alias("r")).select(
+    return scored.select("doc_id", F.col(label).alias("y_true"), F.explode_outer("ml_probs").alias("r")).select(
         "doc_id", "y_true", "r.class", "r.p"
     )
 
