@@ -342,9 +342,9 @@ cte(
 aliases = " ".join(f"when {q(a)} then {q(c)}" for a, c in STANDARD.aliases.items())
 ask(
     "normalize_skills",
-    f"""select doc_id, place, raw, case lower(trim(raw)) {aliases} else lower(trim(raw)) end as skill
+    f"""select doc_id, place, raw, case lower({strip('raw')}) {aliases} else lower({strip('raw')}) end as skill
     from (select doc_id, unnest(range(0, len(l))) as place, unnest(l) as raw
-          from (select doc_id, string_split(string_split(doc_text, chr(10))[3], ',') as l from screening))""",
+          from (select doc_id, string_split_regex(doc_text, '[,\\n]') as l from screening))""",
     "screening",
 )
 ask("extract_skills", "select doc_id, skills from doc_skills", "doc_skills")

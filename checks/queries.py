@@ -257,8 +257,8 @@ def _skills(t):
 
 @query
 def normalize_skills(t):
-    """Every skill mention of a skill line, as written, with its canonical form."""
-    raw = F.split(F.get(F.split(F.expr(DOC_TEXT), "\n"), F.lit(2)), ",")
+    """Every comma- or line-separated piece of a text, as written, with its canonical form."""
+    raw = F.split(F.expr(DOC_TEXT), "[,\n]")
     return t.read("documents").select("doc_id", F.posexplode_outer(raw).alias("place", "raw")).select(
         "doc_id", F.col("place").cast("long").alias("place"), "raw", K.normalize_skill(F.col("raw"), STANDARD).alias("skill")
     )

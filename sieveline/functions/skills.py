@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from sieveline.functions.binding import apply_sql, let_sql
 from sieveline.functions.literals import quoted, strings
+from sieveline.functions.text import strip
 from sieveline.ontology import Ontology
 
 
@@ -21,7 +22,7 @@ def normalize_skill(skill: Column, ontology: Ontology) -> Column:
     """Trim, lower-case and follow one alias."""
     table = f"map_from_entries({_terms(ontology.aliases.items())})"
     return apply_sql(
-        F.lower(F.trim(F.coalesce(skill, F.lit("")))), "k", f"coalesce(try_element_at({table}, k), k)"
+        F.lower(strip(F.coalesce(skill, F.lit("")))), "k", f"coalesce(try_element_at({table}, k), k)"
     )
 
 

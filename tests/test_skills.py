@@ -22,7 +22,7 @@ def test_substring_matching_and_aliases(one):
 
 
 def test_normalize(one):
-    got = one(lambda c: K.normalize_skill(c, STANDARD), [" ML ", "Python", None, "scikit learn"])
+    got = one(lambda c: K.normalize_skill(c, STANDARD), ["\u00a0ML\n", "Python", None, "scikit learn"])
     assert got == ["machine learning", "python", "", "scikit-learn"]
 
 
