@@ -1,6 +1,6 @@
 """Tables derived from the given ones. Fragments of plain SQL are shared by both engines."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,9 +30,11 @@ JOB_TEXT = f"""case when item_id % 10 = 9 then '' else concat('Skills:', {NL}, c
     cast(item_id % 9 as varchar(10)), ' years ', text) end"""
 JOB_VECTOR = "case when item_id % 10 = 9 then cast(-1 as bigint) else item_id end"
 
-# Every document asks for two jobs; a third of all documents ask for job 0.
-FIRST_JOB = "doc_id % 40"
-SECOND_JOB = "case when doc_id % 3 = 0 then cast(0 as bigint) else (doc_id * 7 + 1) % 40 end"
+# Every document asks for two jobs; a third of all documents ask for job 0. The placeholders
+# stand for the numbers of jobs and of vectors.
+FIRST_JOB = "doc_id % {n_jobs}"
+SECOND_JOB = "case when doc_id % 3 = 0 then cast(0 as bigint) else (doc_id * 7 + 1) % {n_jobs} end"
+DOC_VECTOR = "doc_id % {n_vecs}"
 
 # One vector is one chunk; every seventh carries a chunk name that has no weight.
 CHUNK_DOC = "cast(floor(vec_id / 3) as bigint)"
@@ -59,6 +61,10 @@ class Tables:
         """Without the spreading step: for work that is shuffled or cheap anyway."""
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def count(self, name: str) -> int:
+        """Row count; Parquet answers it from the file footers."""
+        return self.scan(name).count()
+
     def screening_docs(self) -> DataFrame:
         return self.read("documents").select("doc_id", F.expr(DOC_TEXT).alias("doc_text"))
 
@@ -73,15 +79,21 @@ class Tables:
         vectors = self.scan("embeddings").select("vec_id", F.col("embedding").alias("jd_embedding"))
         return self.jobs().join(vectors, "vec_id", "left")
 
+    def doc_vector(self) -> Column:
+        return F.expr(DOC_VECTOR.format(n_vecs=self.count("embeddings")))
+
+    def wanted_jobs(self) -> Column:
+        n_jobs = self.count("benchmark")
+        return F.array_distinct(F.array(*[F.expr(e.format(n_jobs=n_jobs)) for e in (FIRST_JOB, SECOND_JOB)]))
+
     def doc_vectors(self) -> DataFrame:
         """``doc_id, embedding``: documents share the vectors in turn."""
         vectors = self.scan("embeddings").select("vec_id", "embedding")
-        docs = self.scan("documents").select("doc_id", (F.col("doc_id") % 500).alias("vec_id"))
+        docs = self.scan("documents").select("doc_id", self.doc_vector().alias("vec_id"))
         return docs.join(vectors, "vec_id").select("doc_id", "embedding")
 
     def requests(self) -> DataFrame:
-        wanted = F.explode(F.array_distinct(F.array(F.expr(FIRST_JOB), F.expr(SECOND_JOB))))
-        return self.scan("documents").select("doc_id", wanted.alias("job_id"))
+        return self.scan("documents").select("doc_id", F.explode(self.wanted_jobs()).alias("job_id"))
 
     def chunk_vecs(self) -> DataFrame:
         return self.read("embeddings").select(
@@ -116,7 +128,6 @@ class Tables:
 
     def preds(self) -> DataFrame:
         """``doc_id, y_true, class, p`` in long form."""
-        wide = self.wide_preds().select(
+        return self.wide_preds().select(
             F.col("vec_id").alias("doc_id"), F.col("label").alias("y_true"), F.posexplode_outer("probs").alias("class", "p")
         )
-        return wide

@@ -9,6 +9,7 @@ from checks.fixtures import (
     CHUNK_NAME,
     CLASS_NAMES,
     DOC_TEXT,
+    DOC_VECTOR,
     FIRST_JOB,
     JOB_TEXT,
     JOB_VECTOR,
@@ -18,6 +19,8 @@ from sieveline.functions.sections import SECTION_HEADERS
 from sieveline.functions.text import SPACE_CHARS
 from sieveline.ontology import STANDARD
 
+N_JOBS = "(select count(*) from benchmark)"
+DOC_VEC = DOC_VECTOR.format(n_vecs="(select count(*) from embeddings)")
 ORACLE: dict[str, str] = {}
 CTES: dict[str, tuple[str, tuple[str, ...]]] = {}
 
@@ -43,7 +46,7 @@ def values(rows) -> str:
 
 
 def cte(name: str, body: str, *needs: str) -> None:
-    CTES[name] = (body, needs)
+    CTES[name] = (body.replace("{DOC_VEC}", DOC_VEC), needs)
 
 
 def ask(key: str, body: str, *needs: str) -> None:
@@ -59,7 +62,7 @@ def ask(key: str, body: str, *needs: str) -> None:
     for n in needs:
         visit(n)
     head = ",\n".join(f"{n} as ({CTES[n][0]})" for n in seen)
-    ORACLE[key] = (f"with recursive {head}\n" if seen else "") + body
+    ORACLE[key] = (f"with recursive {head}\n" if seen else "") + body.replace("{DOC_VEC}", DOC_VEC)
 
 
 # ---- text ------------------------------------------------------------------------------------
@@ -426,11 +429,11 @@ ask(
 # ---- similarity and matching -----------------------------------------------------------------
 
 cte("vecs", "select vec_id, label, cast(embedding as double[]) as v from embeddings")
-cte("doc_vec", "select d.doc_id, e.v from documents d join vecs e on e.vec_id = d.doc_id % 500", "vecs")
+cte("doc_vec", "select d.doc_id, e.v from documents d join vecs e on e.vec_id = d.{DOC_VEC}", "vecs")
 cte("job_vec", "select j.job_id, e.v from jobs j left join vecs e on e.vec_id = j.vec_id", "jobs", "vecs")
 cte(
     "requests",
-    f"select distinct doc_id, job_id from (select doc_id, {FIRST_JOB} as job_id from documents union all select doc_id, {SECOND_JOB} from documents)",
+    f"select distinct doc_id, job_id from (select doc_id, {FIRST_JOB.format(n_jobs=N_JOBS)} as job_id from documents union all select doc_id, {SECOND_JOB.format(n_jobs=N_JOBS)} from documents)",
 )
 
 
@@ -574,7 +577,7 @@ ask(
 ask(
     "corpus_index",
     f"""select d.doc_id, cast(a.cluster_id as bigint) as cluster_id, len(a.v) as dim, {r6('a.v[1]')} as first_value,
-      'doc_id,embedding,cluster_id' as columns from documents d join assigned a on a.vec_id = d.doc_id % 500""",
+      'doc_id,embedding,cluster_id' as columns from documents d join assigned a on a.vec_id = d.{DOC_VEC}""",
     "assigned",
 )
 cte(
@@ -698,7 +701,7 @@ cte(
       b.d1 is not null as known, coalesce(b.p1 - b.p2 < 0.10::double, false) as is_close,
       coalesce(s.score >= 0.75::double and s.domain <> b.d1, false) as overridden
     from everyone e left join every_best_domain s on s.doc_id = e.doc_id and s.rank = 1
-    left join two_best b on b.doc_id = case when e.doc_id >= 0 then e.doc_id % 500 end""",
+    left join two_best b on b.doc_id = case when e.doc_id >= 0 then e.{DOC_VEC} end""",
     "everyone",
     "every_best_domain",
     "two_best",
@@ -764,9 +767,9 @@ ranked("top_index_jobs", "job_vec", "job_id", "v", "vecs", "vec_id")
 ask(
     "screen_pairs",
     """select f.*, cast(a.cluster_id as bigint) as cluster_id, j.ids as jd_ranked_docs, v.ids as similar_docs
-    from flat f join assigned a on a.vec_id = f.doc_id % 500
+    from flat f join assigned a on a.vec_id = f.{DOC_VEC}
     left join (select job_id, string_agg(cast(vec_id as varchar), '|' order by rank) as ids from top_index_jobs group by job_id) j on j.job_id = f.job_id
-    left join (select query_id, string_agg(cast(vec_id as varchar), '|' order by rank) as ids from top_vecs group by query_id) v on v.query_id = f.doc_id % 500""",
+    left join (select query_id, string_agg(cast(vec_id as varchar), '|' order by rank) as ids from top_vecs group by query_id) v on v.query_id = f.{DOC_VEC}""",
     "flat",
     "assigned",
     "top_index_jobs",

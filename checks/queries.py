@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.fixtures import CLASS_NAMES, FIRST_JOB, SECOND_JOB, DOC_TEXT, Tables
+from checks.fixtures import CLASS_NAMES, DOC_TEXT, Tables
 from sieveline.functions import rules
 from sieveline.functions import sections as S
 from sieveline.functions import skills as K
@@ -716,14 +716,15 @@ QUERIES["shortlist"] = QUERIES.pop("shortlist_query")
 def stream_screen(t):
     """The documents file as a stream of arrivals; same rows as the batch run."""
     schema = t.scan("documents").schema.simpleString()[7:-1].replace(":", " ")
-    cores = t.spark.sparkContext.defaultParallelism
-    arrivals = stream.read_documents(t.spark, t.folder, schema, "documents.parquet", cores).select(
-        "doc_id",
-        F.expr(DOC_TEXT).alias("doc_text"),
-        F.array_distinct(F.array(F.expr(FIRST_JOB), F.expr(SECOND_JOB))).alias("job_ids"),
+    arrivals = stream.read_documents(t.spark, t.folder, schema, "documents.parquet").select(
+        "doc_id", F.expr(DOC_TEXT).alias("doc_text"), t.wanted_jobs().alias("job_ids")
     )
     static = _ranked_wide(t, t.doc_vectors()).select("doc_id", "embedding", "ml_probs")
-    scored = stream.screen_arrivals(arrivals, _job_side(t), lambda df: df.join(static, "doc_id"))
-    output = shared_folder(t.spark, "stream-out")
-    stream.write_batches(flat_scores(scored), output, shared_folder(t.spark, "stream-state")).awaitTermination()
+    jobs = _job_side(t)
+
+    def score(batch):
+        return flat_scores(stream.screen_arrivals(batch, jobs, lambda df: df.join(static, "doc_id")))
+
+    output, state = shared_folder(t.spark, "stream-out"), shared_folder(t.spark, "stream-state")
+    stream.run(arrivals, score, output, state, t.spark.sparkContext.defaultParallelism).awaitTermination()
     return t.spark.read.parquet(output).drop("batch_id")

@@ -79,8 +79,9 @@ def phone_sql(x: str) -> str:
 
 
 def repeated_lines_sql(x: str) -> str:
-    """Sorting by (key, place) puts copies next to each other, so a document costs n log n in its
-    own number of lines rather than a scan of all earlier lines per line."""
+    """Most texts have nothing to drop, which the set of their short lines shows. Otherwise
+    sorting by (key, place) puts copies next to each other, so a document costs n log n in its own
+    number of lines rather than a scan of all earlier lines per line."""
     # Most texts break lines with \n only, which needs no regex.
     other_breaks = " or ".join(f"contains(v, {quoted(c)})" for c in RARE_LINE_BREAKS)
     pieces = let_sql(x, "v", f"if({other_breaks}, split(v, {raw(LINE_BREAK)}, -1), split(v, '\\n', -1))")
@@ -90,8 +91,11 @@ def repeated_lines_sql(x: str) -> str:
         "r",
         f"transform(slice(r, 1, size(r) - if(element_at(r, -1) = '', 1, 0)), s -> {strip_sql('s')})",
     )
-    keyed = f"transform({lines}, (s, i) -> named_struct('key', lower(s), 'place', i, 'line', s))"
     boilerplate = ", ".join(quoted(b) for b in BOILERPLATE_LINES)
+    short = f"transform(filter(l, s -> length(s) between 1 and {HEADING_MAX_CHARS}), s -> lower(s))"
+    clear = f"size(array_distinct(k)) = size(k) and not arrays_overlap(k, array({boilerplate}))"
+
+    keyed = "transform(l, (s, i) -> named_struct('key', lower(s), 'place', i, 'line', s))"
     kept = let_sql(
         f"sort_array({keyed})",
         "s",
@@ -99,7 +103,8 @@ def repeated_lines_sql(x: str) -> str:
             length(e.key) between 1 and {HEADING_MAX_CHARS} and coalesce(get(s, i - 1).key = e.key, false)))""",
     )
     in_order = f"sort_array(transform({kept}, e -> named_struct('place', e.place, 'line', e.line)))"
-    return f"array_join(transform({in_order}, e -> e.line), '\\n')"
+    thinned = f"transform({in_order}, e -> e.line)"
+    return f"array_join({let_sql(lines, 'l', let_sql(short, 'k', f'if({clear}, l, {thinned})'))}, '\\n')"
 
 
 def collapse_sql(x: str) -> str:

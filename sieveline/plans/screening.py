@@ -76,10 +76,11 @@ def screen(
 
     ``docs`` comes from ``decide_documents``, ``jobs`` from ``prepare_jobs`` with a
     ``jd_embedding``. Documents are scored once, however many jobs ask for them. A job that
-    attracts a large share of all requests is spread over several partitions.
+    attracts a large share of all requests, or a document that makes one, is spread over several
+    partitions.
     """
     popular = hot_keys(requests, "job_id", share=0.02)
-    with_docs = requests.join(docs, "doc_id")
+    with_docs = skew_join(requests, docs, "doc_id", "inner", "job_id")
     side = jobs.select("job_id", "clean_jd", "jd_skills", "jd_embedding")
     return score_pairs(skew_join(with_docs, side, "job_id", "left", "doc_id", hot=popular), alpha, beta)
 

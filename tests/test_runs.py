@@ -120,12 +120,13 @@ def test_stream_equals_batch(spark, built, corpus, jobs, tmp_path):
     source = str(tmp_path / "arrivals")
     docs.withColumn("job_ids", F.array(F.lit(1), F.lit(2))).repartition(3).write.parquet(source)
     arrivals = stream.read_documents(spark, source, "doc_id string, doc_text string, job_ids array<int>")
-    scored = stream.screen_arrivals(arrivals, jobs, add)
     output, state = str(tmp_path / "out"), str(tmp_path / "state")
     columns = ("doc_id", "job_id", "suitability", "primary_domain", "confidence", "explanation")
     for _ in range(2):
         # The second run finds nothing new and must not write anything again.
-        stream.write_batches(scored.select(*columns), output, state).awaitTermination()
+        stream.run(
+            arrivals, lambda batch: stream.screen_arrivals(batch, jobs, add).select(*columns), output, state
+        ).awaitTermination()
     requests = docs.select("doc_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("job_id"))
     batch = screening.screen(screening.decide_documents(add(screening.prepare_documents(docs))), jobs, requests)
     got = sorted(map(str, spark.read.parquet(output).select(*columns).collect()))
