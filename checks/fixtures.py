@@ -1,5 +1,7 @@
 """Tables derived from the given ones. Fragments of plain SQL are shared by both engines."""
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -100,12 +102,14 @@ class Tables:
             F.expr(CHUNK_DOC).alias("doc_id"), F.expr(CHUNK_NAME).alias("chunk"), "embedding"
         )
 
+    @cached_property
     def label_centroids(self):
+        """Class labels and their mean vectors."""
         return collect_centroids(centroids_by(self.scan("embeddings"), "label"), "label")
 
     def wide_preds(self, table: DataFrame | None = None) -> DataFrame:
         """Adds ``probs``: softmax of ten times the dot product with the mean vector of each class."""
-        _, centers = self.label_centroids()
+        _, centers = self.label_centroids
 
         @F.arrow_udf(T.ArrayType(T.DoubleType()))
         def scores(v):

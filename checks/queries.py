@@ -97,7 +97,7 @@ def ontology_tables(t):
 
 @query
 def corpus_index(t):
-    labels, centers = t.label_centroids()
+    labels, centers = t.label_centroids
     clustered = clustering.assign_clusters(t.doc_vectors(), labels, centers)
     folder = shared_folder(t.spark, "index")
     artifacts.write_index(clustered, folder)
@@ -502,13 +502,13 @@ def train_kmeans(t):
 
 @query
 def assign_clusters(t):
-    labels, centers = t.label_centroids()
+    labels, centers = t.label_centroids
     return clustering.assign_clusters(t.read("embeddings"), labels, centers).select("vec_id", "cluster_id")
 
 
 @query
 def cluster_profile(t):
-    labels, centers = t.label_centroids()
+    labels, centers = t.label_centroids
     assigned = clustering.assign_clusters(t.read("embeddings"), labels, centers)
     profile = clustering.cluster_profile(assigned, "cluster_id")
     long = profile.select("cluster_id", "n", F.posexplode_outer("centroid").alias("i", "v"))
@@ -686,7 +686,7 @@ def match_strength(t):
 @query
 def screen_pairs(t):
     """The full report of every requested pair, with cluster and both ranked lists."""
-    labels, centers = t.label_centroids()
+    labels, centers = t.label_centroids
     docs = clustering.assign_clusters(_decided(t), labels, centers)
     jobs = _job_side(t)
     index = t.read("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")

@@ -191,7 +191,7 @@ def years_experience(text: Column) -> Column:
     # Digits outside ASCII are valid matches; they are mapped before the cast.
     number = f"try_cast(translate(d, {quoted(wide)}, '{narrow}') as int)"
     found = f"regexp_extract_all(lower(t), {raw(YEARS)}, 1)"
-    best = f"coalesce(array_max(transform({found}, d -> {number})), 0)"
+    best = f"if(contains(lower(t), 'years'), coalesce(array_max(transform({found}, d -> {number})), 0), 0)"
     return apply_sql(F.coalesce(text, F.lit("")), "t", best)
 
 

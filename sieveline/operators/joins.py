@@ -1,6 +1,8 @@
 """Join helpers for keys that one value may dominate."""
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -12,11 +14,13 @@ def rows_at_most(df: DataFrame, n: int) -> bool:
 def hot_keys(df: DataFrame, key: str, share: float) -> list:
     """Keys holding more than the given share of all rows: at most 1 / share of them.
 
-    The counts are combined before the shuffle; only the keys above the bound reach the driver.
+    One pass: counts are combined before the shuffle, the total is observed on the way, and only
+    the largest 1 / share counts reach the driver.
     """
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    return [r[0] for r in counts.filter(F.col("n") > total.scalar() * share).select(key).collect()]
+    seen = Observation()
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).observe(seen, F.sum("n").alias("total"))
+    largest = counts.orderBy(F.desc("n")).limit(math.ceil(1 / share)).collect()
+    return [r[0] for r in largest if r[1] > seen.get["total"] * share]
 
 
 def skew_join(
