@@ -688,11 +688,9 @@ def screen_pairs(t):
     """The full report of every requested pair, with cluster and both ranked lists."""
     labels, centers = t.label_centroids
     docs = clustering.assign_clusters(_decided(t), labels, centers)
-    jobs = _job_side(t)
     index = t.read("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    scored = screening.with_rankings(
-        screening.screen(docs, jobs, t.requests()), t.doc_vectors(), jobs, index
-    )
+    docs, jobs = screening.with_rankings(docs, _job_side(t), index)
+    scored = screening.screen(docs, jobs, t.requests())
 
     def ids(c):
         return joined(F.transform(F.col(c), lambda e: e["ranked_id"].cast("string"))).alias(c)

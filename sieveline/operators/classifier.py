@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.functions.binding import let
+from sieveline.operators.joins import small_side
 
 # Share of test rows, seed and iteration limit of the standard build.
 TEST_SHARE = 0.2
@@ -61,34 +62,33 @@ def stratified_split(
 ) -> DataFrame:
     """The rows with ``split`` = test or train; a class sends its quota of smallest hashes to test.
 
-    The hash of (seed, key) alone decides, so the split can be rebuilt at any time. Buckets that
-    lie wholly on one side of a class's quota are settled by a join with the bucket counts; only
-    the one bucket per class that the quota cuts is sorted. A class holding most rows costs no
-    more than any other.
+    The hash of (seed, key) alone decides, so the split can be rebuilt at any time. Counting a
+    class by hash bucket shows the one bucket its quota cuts; all other rows are settled by
+    comparing their bucket with it, without a shuffle, and only the cut buckets are sorted. A
+    class holding most rows costs no more than any other.
     """
     digest = F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))
     hashed = df.withColumn("_hash", digest).withColumn("_bucket", F.substring("_hash", 1, BUCKET_DIGITS))
     buckets = hashed.groupBy(label, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(label).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bounds = (
-        buckets.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        .join(test_quotas(df, label, test_share).select(label, "quota"), label)
-        .select(
-            label,
-            "_bucket",
-            (F.col("quota") - F.col("_before")).alias("_room"),
-            F.when(F.col("_before") + F.col("_n") <= F.col("quota"), "test")
-            .when(F.col("_before") >= F.col("quota"), "train")
-            .alias("split"),
-        )
+    upto = Window.partitionBy(label).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    running = buckets.withColumn("_upto", F.sum("_n").over(upto)).join(
+        test_quotas(df, label, test_share).select(label, "quota"), label
+    )
+    room = F.col("quota") - (F.col("_upto") - F.col("_n"))
+    overfull = F.when(F.col("_upto") > F.col("quota"), F.struct(F.col("_bucket").alias("at"), room.alias("room")))
+    cuts = small_side(running.groupBy(label).agg(F.min(overfull).alias("_cut")))
+
+    placed = hashed.join(cuts, label)
+    at = F.col("_cut.at")
+    is_cut = F.coalesce(F.col("_bucket") == at, F.lit(False))
+    settled = placed.filter(~is_cut).withColumn(
+        "split", F.when(at.isNull() | (F.col("_bucket") < at), "test").otherwise("train")
     )
-    placed = hashed.join(bounds, [label, "_bucket"])
-    settled = placed.filter(F.col("split").isNotNull())
-    order = Window.partitionBy(label, "_bucket").orderBy("_hash", key)
-    cut = placed.filter(F.col("split").isNull()).withColumn(
-        "split", F.when(F.row_number().over(order) <= F.col("_room"), "test").otherwise("train")
+    order = Window.partitionBy(label).orderBy("_hash", key)
+    drawn = placed.filter(is_cut).withColumn(
+        "split", F.when(F.row_number().over(order) <= F.col("_cut.room"), "test").otherwise("train")
     )
-    return settled.unionByName(cut).select(*df.columns, "split")
+    return settled.unionByName(drawn).select(*df.columns, "split")
 
 
 def split_counts(split: DataFrame, label: str = "label") -> DataFrame:

@@ -11,6 +11,16 @@ def rows_at_most(df: DataFrame, n: int) -> bool:
     return df.limit(n + 1).count() <= n
 
 
+def small_side(df: DataFrame, limit: int = 100_000) -> DataFrame:
+    """A summary table as a local table when it has at most ``limit`` rows, else unchanged.
+
+    Its size is then known to the optimizer, which joins it without moving the other side, and it
+    is not computed again. Larger summaries are joined like any other table.
+    """
+    rows = df.limit(limit + 1).collect()
+    return df.sparkSession.createDataFrame(rows, df.schema) if len(rows) <= limit else df
+
+
 def hot_keys(df: DataFrame, key: str, share: float) -> list:
     """Keys holding more than the given share of all rows: at most 1 / share of them.
 

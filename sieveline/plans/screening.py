@@ -17,6 +17,8 @@ from sieveline.operators.ranking import rank_by_cosine
 # Fixed value: length of the ranked lists in a report.
 LIST_LENGTH = 5
 
+JOB_COLUMNS = ("job_id", "clean_jd", "jd_skills", "jd_embedding", "jd_ranked_docs")
+
 
 def preprocess(df: DataFrame, text: str) -> DataFrame:
     """Adds ``clean_text`` and ``chunks``; each text is cleaned once and read by all that follows."""
@@ -81,20 +83,28 @@ def screen(
     """
     popular = hot_keys(requests, "job_id", share=0.02)
     with_docs = skew_join(requests, docs, "doc_id", "inner", "job_id")
-    side = jobs.select("job_id", "clean_jd", "jd_skills", "jd_embedding")
+    side = jobs.select([c for c in JOB_COLUMNS if c in jobs.columns])
     return score_pairs(skew_join(with_docs, side, "job_id", "left", "doc_id", hot=popular), alpha, beta)
 
 
-def with_rankings(scored: DataFrame, docs: DataFrame, jobs: DataFrame, index: DataFrame, n: int = LIST_LENGTH) -> DataFrame:
-    """Adds the index documents closest to the job and to the document."""
+def with_rankings(
+    docs: DataFrame, jobs: DataFrame, index: DataFrame, n: int = LIST_LENGTH
+) -> tuple[DataFrame, DataFrame]:
+    """Documents and jobs with the index documents closest to each.
+
+    The lists are attached before the requests are joined, so they are made once per document and
+    job and travel with them.
+    """
     corpus = index.select(F.col("doc_id").alias("ranked_id"), "embedding")
-    by_job = rank_by_cosine(
-        jobs.select("job_id", F.col("jd_embedding").alias("embedding")), corpus, n, "job_id", "ranked_id"
-    )
-    by_doc = rank_by_cosine(docs.select("doc_id", "embedding"), corpus, n, "doc_id", "ranked_id")
-    return scored.join(rank_lists(by_job, "job_id", "ranked_id", "jd_ranked_docs"), "job_id", "left").join(
-        rank_lists(by_doc, "doc_id", "ranked_id", "similar_docs"), "doc_id", "left"
+    queries = jobs.select("job_id", F.col("jd_embedding").alias("embedding"))
+    by_job = rank_lists(rank_by_cosine(queries, corpus, n, "job_id", "ranked_id"), "job_id", "ranked_id", "jd_ranked_docs")
+    by_doc = rank_lists(
+        rank_by_cosine(docs.select("doc_id", "embedding"), corpus, n, "doc_id", "ranked_id"),
+        "doc_id",
+        "ranked_id",
+        "similar_docs",
     )
+    return docs.join(by_doc, "doc_id", "left"), jobs.join(by_job, "job_id", "left")
 
 
 def report(scored: DataFrame) -> Column:

@@ -93,9 +93,8 @@ def test_screening_from_text_to_report(spark, built, corpus, jobs):
     docs = add(screening.prepare_documents(corpus.withColumnRenamed("id", "doc_id").drop("label")))
     decided = predict_clusters(kmeans, screening.decide_documents(docs))
     requests = corpus.select(F.col("id").alias("doc_id"), F.explode(F.array(*map(F.lit, (1, 2, 3, 4)))).alias("job_id"))
-    scored = screening.screen(decided, jobs, requests)
     index = artifacts.read_index(spark, f"{folder}/index", "string")
-    full = screening.with_rankings(scored, docs, jobs, index, 3)
+    full = screening.screen(*screening.with_rankings(decided, jobs, index, 3), requests)
     rows = full.select("doc_id", "job_id", screening.report(full).alias("r")).collect()
     assert len(rows) == 360
     for row in rows:
