@@ -11,14 +11,20 @@ def rows_at_most(df: DataFrame, n: int) -> bool:
     return df.limit(n + 1).count() <= n
 
 
+def fits_broadcast(df: DataFrame, rows: int = 5_000, size: int = 32 * 1024 * 1024) -> bool:
+    """True when the frame has few rows and they are small; stops reading at ``rows`` + 1 rows."""
+    sizes = df.select(F.octet_length(F.to_json(F.struct("*"))).alias("b")).take(rows + 1)
+    return len(sizes) <= rows and sum(r["b"] or 0 for r in sizes) <= size
+
+
 def small_side(df: DataFrame, limit: int = 100_000) -> DataFrame:
-    """A summary table as a local table when it has at most ``limit`` rows, else unchanged.
+    """A summary table as a broadcast local table when it has at most ``limit`` rows, else unchanged.
 
-    Its size is then known to the optimizer, which joins it without moving the other side, and it
-    is not computed again. Larger summaries are joined like any other table.
+    The other side of the join is then not moved and the summary is not computed again. Larger
+    summaries are joined like any other table.
     """
     rows = df.limit(limit + 1).collect()
-    return df.sparkSession.createDataFrame(rows, df.schema) if len(rows) <= limit else df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if len(rows) <= limit else df
 
 
 def hot_keys(df: DataFrame, key: str, share: float) -> list:
@@ -41,16 +47,20 @@ def skew_join(
     spread_by: str | None = None,
     share: float = 0.02,
     salts: int = 32,
-    hot: list | None = None,
+    counts_from: DataFrame | None = None,
+    try_broadcast: bool = True,
 ) -> DataFrame:
-    """Join where a few keys of the left side may hold most of its rows.
+    """Inner or left join where a few keys of the left side may hold most of its rows.
 
-    Rows of a hot key are spread over ``salts`` partitions by the hash of ``spread_by`` and the
-    matching right rows are copied once per salt; all other keys are joined as they are. A right
-    side that is small enough is broadcast by the optimizer and never reaches the shuffle.
-    ``hot`` passes keys that are already known, for instance from a narrower table.
+    A right side measured to be small is broadcast and the left side stays where it is. Otherwise
+    rows of a hot key are spread over ``salts`` partitions by the hash of ``spread_by``, the
+    matching right rows are copied once per salt, and all other keys are joined as they are.
+    ``counts_from`` names a narrower table with the same keys to count them on.
     """
-    hot = [k for k in (hot_keys(left, key, share) if hot is None else hot) if k is not None]
+    if try_broadcast and fits_broadcast(right):
+        return left.join(F.broadcast(right), key, how)
+    counted = left if counts_from is None else counts_from
+    hot = [k for k in hot_keys(counted, key, share) if k is not None]
     if not hot:
         return left.join(right, key, how)
     is_hot = F.col(key).isin(hot)

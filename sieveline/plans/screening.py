@@ -10,7 +10,7 @@ from sieveline.functions.text import clean_text
 from sieveline.ontology import STANDARD, Ontology
 from sieveline.operators.classifier import max_probability, top_classes
 from sieveline.operators.decisions import decide
-from sieveline.operators.joins import hot_keys, skew_join
+from sieveline.operators.joins import skew_join
 from sieveline.operators.matching import match_columns, rank_lists
 from sieveline.operators.ranking import rank_by_cosine
 
@@ -81,10 +81,10 @@ def screen(
     attracts a large share of all requests, or a document that makes one, is spread over several
     partitions.
     """
-    popular = hot_keys(requests, "job_id", share=0.02)
-    with_docs = skew_join(requests, docs, "doc_id", "inner", "job_id")
+    with_docs = skew_join(requests, docs, "doc_id", "inner", "job_id", try_broadcast=False)
     side = jobs.select([c for c in JOB_COLUMNS if c in jobs.columns])
-    return score_pairs(skew_join(with_docs, side, "job_id", "left", "doc_id", hot=popular), alpha, beta)
+    pairs = skew_join(with_docs, side, "job_id", "left", "doc_id", counts_from=requests)
+    return score_pairs(pairs, alpha, beta)
 
 
 def with_rankings(

@@ -10,7 +10,7 @@ from checks.queries import QUERIES
 from sieveline.operators.classifier import class_probabilities
 from sieveline.operators.clustering import predict_clusters
 from sieveline.operators.embedding import HashingEncoder, embed_chunks
-from sieveline.operators.joins import hot_keys, rows_at_most, skew_join
+from sieveline.operators.joins import fits_broadcast, hot_keys, rows_at_most, skew_join
 from sieveline.plans import offline, screening
 from sieveline.sources import artifacts
 from sieveline.streaming import screening as stream
@@ -26,7 +26,11 @@ def test_skew_join_keeps_every_row(spark):
     assert hot_keys(left, "k", 0.1) == [0]
     for how in ("inner", "left"):
         plain = sorted(map(str, left.join(right, "k", how).collect()))
-        assert sorted(map(str, skew_join(left, right, "k", how, "id", share=0.1, salts=4).collect())) == plain
+        salted = skew_join(left, right, "k", how, "id", share=0.1, salts=4, try_broadcast=False)
+        assert "_salt" in salted._jdf.queryExecution().analyzed().toString()
+        assert sorted(map(str, salted.collect())) == plain
+        assert sorted(map(str, skew_join(left, right, "k", how).collect())) == plain
+    assert fits_broadcast(right) and not fits_broadcast(right, rows=399) and not fits_broadcast(right, size=1000)
     assert rows_at_most(left, 3000) and not rows_at_most(left, 2999)
 
 
