@@ -93,7 +93,8 @@ def with_rankings(
     """Documents and jobs with the index documents closest to each.
 
     The lists are attached before the requests are joined, so they are made once per document and
-    job and travel with them.
+    job and travel with them. Ranking reads the vectors more than once (to size its blocks), so
+    pass frames whose vectors are stored rather than freshly encoded.
     """
     corpus = index.select(F.col("doc_id").alias("ranked_id"), "embedding")
     queries = jobs.select("job_id", F.col("jd_embedding").alias("embedding"))

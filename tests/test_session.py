@@ -16,7 +16,7 @@ def test_shared_folder_is_the_one_the_cluster_names():
     assert path != shared_folder(session("hdfs://nn/shared", "yarn"), "index")
 
 
-def test_no_machine_local_folder_on_a_cluster(spark):
+def test_no_machine_local_folder_on_a_cluster():
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_folder(session(None, "yarn"), "index")
-    assert "/sieveline-" in shared_folder(spark, "index")
+    assert "/sieveline-" in shared_folder(session(None, "local[4]"), "index")
