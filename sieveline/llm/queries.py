@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import bytecnn, decontaminate, mixing, simhash, tokenfiles
+from sieveline.llm import bytecnn, decontaminate, mixing, rulelist, simhash, substrings, tokencount, tokenfiles, urlfilter, warc
 
 QUERIES = {}
 ORACLE = {}
@@ -19,12 +19,38 @@ def query(fn):
     return fn
 
 
+@query
+def op1_token_counts(spark, sf_dir):
+    return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query
 def op2_decontaminate(spark, sf_dir):
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("items")
 
 
+@query
+def op3_warc(spark, sf_dir):
+    read = warc.archive_round_trip(table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_BITS = [" + ".join(f"{16 >> j} * CAST(substr(bits, {5 * k + j + 1}, 1) AS BIGINT)" for j in range(5)) for k in range(32)]
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', {five} + 1, 1)" for five in _BITS)
+ORACLE["op3_warc"] = f"""
+WITH p AS (
+  SELECT page_id, html, CAST(CAST(unhex(sha1(html)) AS BIT) AS VARCHAR) AS bits,
+    row_number() OVER (PARTITION BY html ORDER BY page_id) AS place, min(page_id) OVER (PARTITION BY html) AS first_id
+  FROM (SELECT page_id, coalesce(html, '') AS html FROM pages)
+)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+  CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN place = 1 THEN NULL ELSE first_id END AS refers_to
+FROM p
+"""
+
+
 @query
 def op4_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -35,6 +61,50 @@ def op5_token_files(spark, sf_dir):
     return tokenfiles.token_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query
+def op6_repeated_substrings(spark, sf_dir):
+    return substrings.remove_repeated(table(spark, sf_dir, "documents"), with_kept=False)
+
+
+@query
+def op7_url_filter(spark, sf_dir):
+    rules = urlfilter.rule_table(spark, urlfilter.HOST_RULES + urlfilter.PATTERN_RULES)
+    return urlfilter.judge(table(spark, sf_dir, "pages"), rules)
+
+
+ORACLE["op7_url_filter"] = r"""
+WITH u AS (
+  SELECT page_id,
+    translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages
+), v AS (
+  SELECT *, '.' || host AS h,
+    CASE WHEN host LIKE 'spam-farm.%' OR host LIKE '%.spam-farm.%' THEN 'spam-farm'
+      ELSE NULL END AS spam,
+    CASE WHEN host LIKE 'link-farm.%' OR host LIKE '%.link-farm.%' THEN 'link-farm' ELSE NULL END AS link,
+    CASE WHEN regexp_matches(host || path, '(?i)(^|[^a-z0-9])xxx([^a-z0-9]|$)') THEN 'xxx'
+      WHEN regexp_matches(host || path, '(?i)(^|[^a-z0-9])viagra([^a-z0-9]|$)') THEN 'viagra' ELSE NULL END AS late_word,
+    CASE WHEN regexp_matches(host || path, '(?i)(^|[^a-z0-9])porn([^a-z0-9]|$)') THEN 'porn' ELSE NULL END AS porn,
+    CASE WHEN regexp_matches(host || path, '(?i)(^|[^a-z0-9])casino([^a-z0-9]|$)') THEN 'casino' ELSE NULL END AS casino
+  FROM u
+), r AS (
+  SELECT page_id, host, path, coalesce(late_word, spam, porn, link, casino) AS pattern_rule,
+    CASE WHEN ends_with(h, '.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+      WHEN ends_with(h, '.example.com') AND starts_with(path, '/en/') THEN 'example.com/en/'
+      WHEN ends_with(h, '.net') AND starts_with(path, '/es/') THEN 'net/es/'
+      WHEN ends_with(h, '.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
+      WHEN ends_with(h, '.com') AND starts_with(path, '/') THEN 'com/' ELSE NULL END AS rule
+  FROM v
+)
+SELECT page_id, host, path, rule, pattern_rule,
+  CASE WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL OR pattern_rule IS NOT NULL THEN 'block'
+    ELSE 'allow' END AS verdict
+FROM r
+"""
+
+
 @query
 def op8_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
@@ -71,6 +141,13 @@ FROM p JOIN b ON p.source IS NOT DISTINCT FROM b.source
 """
 
 
+@query
+def op9_rule_list(spark, sf_dir):
+    judged = rulelist.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return judged.select(*columns)
+
+
 @query
 def op10_byte_cnn(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
