@@ -1,0 +1,452 @@
+"""Each operator against a brute-force version, on awkward rows, empty tables and clashing columns."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from sieveline.llm import bytecnn, decontaminate, mixing, rulelist, simhash, substrings, tokencount, tokenfiles
+from sieveline.llm.components import connected_components
+from sieveline.session import shared_folder
+from tests.llm.conftest import awkward_rows, prose
+
+SPACE = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+WORD_BPE, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
+
+
+def words(text):
+    return SPACE.findall(text or "")
+
+
+def multiset(df, *columns):
+    return Counter(tuple(r) for r in df.select(*columns).collect())
+
+
+# ---- token counts -----------------------------------------------------------------------------
+
+
+def best_count(word, vocabulary):
+    """Tokens of a word by plain dynamic programming over its whole length."""
+    s, best = tokencount.MARK + word, [(0.0, 0)]
+    for end in range(1, len(s) + 1):
+        ways = [(best[a][0] + vocabulary.scores[s[a:end]], best[a][1] + 1) for a in range(end) if s[a:end] in vocabulary.scores]
+        size = len(s[end - 1].encode())
+        best.append(max(ways, key=lambda w: w[0]) if ways else (best[-1][0] + size * vocabulary.byte_score, best[-1][1] + size))
+    return best[-1][1]
+
+
+def test_token_counts(awkward, empty_docs):
+    v = tokencount.public_vocabulary(PIECES)
+    expected = Counter(
+        (i, len(words(t)), sum(best_count(w, v) for w in words(t)) if len(t or "") < 4000 else None) for i, t, *_ in awkward_rows()
+    )
+    found = tokencount.token_counts(awkward, PIECES)
+    long_ids = [7, 8, 10]
+    assert Counter((a, b, None if a in long_ids else c) for a, b, c in multiset(found, "doc_id", "n_words", "n_tokens").elements()) == expected
+    assert tokencount.token_counts(empty_docs, PIECES).count() == 0
+
+
+def test_trie_forgets_without_changing_counts(monkeypatch):
+    v = tokencount.public_vocabulary(PIECES)
+    monkeypatch.setattr(tokencount, "MAX_NODES", 5)
+    trie = tokencount.Trie(v)
+    for w in ["the", "there", "then", "xyzzy", "ß𝔸", "there"]:
+        assert trie.count(w.encode()) == best_count(w, v)
+
+
+# ---- decontamination --------------------------------------------------------------------------
+
+ITEMS = [("i1", prose(1, 300)[200:400]), ("i2", "Other, TEXT"), ("i3", None), (None, prose(2, 120)[:90]), ("i3", "nothing like it at all")]
+
+
+def contamination_of(text, items, n=10):
+    find = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
+    w, hit, found = find(text), set(), set()
+    for name, item in items:
+        x = find(item)
+        k = min(n, len(x))
+        for j in range(len(x) - k + 1 if k else 0):
+            for i in range(len(w) - k + 1):
+                if w[i : i + k] == x[j : j + k]:
+                    hit.update(range(i, i + k))
+                    found.add(name or "null")
+    digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+    return len(w), len(hit), len(found), digest, bool(hit)
+
+
+@pytest.fixture(scope="module")
+def items(spark):
+    return spark.createDataFrame(ITEMS, "item_id string, text string")
+
+
+def test_contamination(awkward, items, empty_docs):
+    columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    expected = Counter((i, *contamination_of(t, ITEMS)) for i, t, *_ in awkward_rows())
+    assert multiset(decontaminate.contamination(awkward, items), *columns) == expected
+    assert any(k[2] for k in expected) and not all(k[2] for k in expected)
+    assert decontaminate.contamination(empty_docs, items).count() == 0
+    none = decontaminate.contamination(awkward, items.limit(0))
+    assert none.where("n_hit > 0 or n_items > 0").count() == 0 and none.count() == len(awkward_rows())
+
+
+def test_contamination_in_blocks(awkward, items):
+    """A benchmark beyond one broadcast block gives the same result."""
+    unique = awkward.where("doc_id is not null").dropDuplicates(["doc_id"])
+    columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    whole = multiset(decontaminate.contamination(unique, items), *columns)
+    assert multiset(decontaminate.contamination(unique, items, block_words=10), *columns) == whole
+
+
+def test_clean(awkward, items):
+    kept = decontaminate.clean(awkward, items)
+    assert kept.columns == awkward.columns
+    clean = Counter((i, t) for i, t, *_ in awkward_rows() if not contamination_of(t, ITEMS)[4])
+    assert multiset(kept, "doc_id", "text") == clean
+    without = decontaminate.clean(awkward, items, remove="spans")
+    assert without.count() == len(awkward_rows())
+    for r in without.collect():
+        # What was beside a span may now stand together, but no whole item is left.
+        assert all(contamination_of(r["text"], [x])[1] == 0 for x in ITEMS[1:2])
+    assert decontaminate.without_spans(decontaminate.WindowSet([("a", b"b c")], 2), b"a b, C d") == b"a  d"
+
+
+# ---- SimHash ----------------------------------------------------------------------------------
+
+
+def fingerprint_of(text, k):
+    w = words((text or "").translate(LOWER))
+    shingles = [" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))] if w else []
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def components_of(ids, fps):
+    root = list(range(len(ids)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(ids)):
+        for b in range(a):
+            if (fps[a] ^ fps[b]).bit_count() <= simhash.DISTANCE:
+                root[find(a)] = find(b)
+    least = {}
+    for i, x in enumerate(ids):
+        if x is not None:
+            least[find(i)] = min(x, least.get(find(i), x))
+    return [least.get(find(i)) for i in range(len(ids))]
+
+
+def test_near_duplicates(awkward, empty_docs):
+    rows = awkward_rows()
+    fps = [fingerprint_of(t, 4) for _, t, *_ in rows]
+    components = components_of([r[0] for r in rows], fps)
+    expected = Counter((r[0], f"{f:016x}", c) for r, f, c in zip(rows, fps, components))
+    assert multiset(simhash.near_duplicates(awkward), "doc_id", "fingerprint", "component_id") == expected
+    assert simhash.near_duplicates(empty_docs).count() == 0
+
+
+def test_drop_near_duplicates(awkward, empty_docs, spark):
+    rows = awkward_rows()
+    fps = [fingerprint_of(t, 5) for _, t, *_ in rows]
+    components = components_of([r[0] for r in rows], fps)
+    kept = simhash.drop_near_duplicates(awkward)
+    assert kept.columns == awkward.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(components))
+    bare = spark.createDataFrame([(None, "q w e r t y"), (None, "q w e r t y"), (None, "z u i")], "doc_id long, text string")
+    assert sorted(r["text"] for r in simhash.drop_near_duplicates(bare).collect()) == ["q w e r t y", "z u i"]
+    assert simhash.drop_near_duplicates(empty_docs).count() == 0
+
+
+@pytest.mark.parametrize("flips", [1, 3, 6])
+def test_links_connect_what_brute_force_connects(spark, flips):
+    """Dense balls of fingerprints (large runs, pivots) and scattered ones."""
+    rng = random.Random(flips)
+    fps = [rng.getrandbits(64) for _ in range(60)]
+    for centre in fps[:3]:
+        for _ in range(70):
+            fps.append(centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, flips))))
+    fps = sorted(set(fps))
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    found = simhash.fingerprint_groups(spark.createDataFrame(list(enumerate(signed)), "doc_id long, _fp long"))
+    assert {r["_fp"]: r["component_id"] for r in found.collect()} == dict(zip(signed, components_of(range(len(fps)), fps)))
+
+
+def test_every_small_distance_shares_a_key(spark):
+    rng = random.Random(5)
+    pairs = []
+    for _ in range(300):
+        a = rng.getrandbits(64)
+        b = a ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 4)))
+        pairs.append(tuple(x - (1 << 64) if x >> 63 else x for x in (a, b)))
+    df = spark.createDataFrame(pairs, "a long, b long")
+    assert df.where(F.arrays_overlap(simhash.variant_keys(F.col("a")), simhash.variant_keys(F.col("b")))).count() == 300
+
+
+def test_components_of_a_long_chain(spark):
+    chain = spark.createDataFrame([(i + 1, i) for i in range(200)] + [(501, 500)], "u long, v long")
+    roots = {r["node"]: r["root"] for r in connected_components(chain).collect()}
+    assert roots == {**{i: 0 for i in range(1, 201)}, 501: 500}
+
+
+# ---- token files ------------------------------------------------------------------------------
+
+
+def test_token_round_trip(awkward, empty_docs):
+    tokenizer = Tokenizer.from_file(WORD_BPE)
+    ids = {t: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for _, t, *_ in awkward_rows()}
+    crc = lambda x: zlib.crc32(np.array(x, "<u4").tobytes())
+    found = sorted(tokenfiles.token_round_trip(awkward, WORD_BPE).collect(), key=lambda r: r["start"])
+    assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in found) == Counter(
+        (i, len(ids[t]), crc(ids[t])) for i, t, *_ in awkward_rows()
+    )
+    assert [r["start"] for r in found] == [sum(r["n_tokens"] for r in found[:k]) for k in range(len(found))]
+    order = [-1 if r["doc_id"] is None else r["doc_id"] for r in found]
+    assert order == sorted(order)
+    assert tokenfiles.token_round_trip(empty_docs, WORD_BPE).count() == 0
+
+
+def test_token_files_roll_and_memory_map(spark, awkward):
+    folder = shared_folder(spark, "roll")
+    manifest = tokenfiles.write_token_files(awkward, folder, WORD_BPE, file_bytes=2000, partitions=2).collect()
+    assert len(manifest) > 2
+    for row in manifest:
+        tokens = np.memmap(f"{folder}/{row['name']}.tokens", "<u2", "r")
+        offsets = np.memmap(f"{folder}/{row['name']}.offsets", "<u8", "r")
+        assert len(tokens) == offsets[-1] == row["n_tokens"] and len(offsets) == row["n_docs"] + 1
+        assert all(tokens[int(o) - 1] == 1 for o in offsets[1:])
+
+
+@pytest.mark.parametrize("text", ["I'm  l'l\u00a0we'LL <|endoftext|>x", "e\u0301 \u0301e", "\x1c a\x85b", "don 't 're", "ΑΣ ΟΔΟΣ\tİ", "  "])
+def test_pieces_encode_like_whole_texts(text):
+    whole = Tokenizer.from_file(WORD_BPE).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(tokenfiles.Encoder(WORD_BPE).encode([text.encode()])[0], "<u2").tolist() == whole
+
+
+# ---- repeated substrings ----------------------------------------------------------------------
+
+
+def repeated_of(texts, length):
+    data = [(t or "").encode() for t in texts]
+    seen = Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
+    out = []
+    for d in data:
+        covered = np.zeros(len(d) + 1, bool)
+        for i in range(len(d) - length + 1):
+            if seen[d[i : i + length]] > 1:
+                covered[i : i + length] = True
+        covered = covered[: len(d)]
+        kept = bytes(b for b, c in zip(d, covered) if not c)
+        runs = int((np.diff(np.r_[0, covered.astype(int)]) == 1).sum())
+        out.append((len(d), int(covered.sum()), runs, hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+REMOVED = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+
+
+def test_repeated_substrings(awkward, empty_docs):
+    rows = awkward_rows()
+    expected = Counter((r[0], *x) for r, x in zip(rows, repeated_of([r[1] for r in rows], 400)))
+    assert multiset(substrings.remove_repeated(awkward), *REMOVED) == expected
+    assert substrings.remove_repeated(empty_docs).count() == 0
+
+
+@pytest.mark.parametrize("hot", [10_000, 2])
+def test_repeated_substrings_of_mutated_copies(spark, monkeypatch, hot):
+    """Shared passages with edits at random places, also with every anchor string split as a hot one."""
+    monkeypatch.setattr(substrings, "HOT", hot)
+    monkeypatch.setattr(substrings, "PART", 7)
+    rng = random.Random(hot)
+    base = [prose(k, 60) for k in range(3)]
+    texts = []
+    for _ in range(40):
+        text = prose(rng.random(), rng.randint(0, 20)) + rng.choice(base)[rng.randint(0, 50) :] + rng.choice(base)
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(text))
+            text = text[:at] + "Z" + text[at + 1 :]
+        texts.append(text)
+    texts += ["ab" * 200, "a" * 300, "xyz" * 150, texts[0]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = {r["doc_id"]: tuple(r)[1:] for r in substrings.remove_repeated(df, length=60, gram=20).select(*REMOVED).collect()}
+    assert [found[i] for i in range(len(texts))] == repeated_of(texts, 60)
+
+
+def test_anchors_are_in_every_window_and_local():
+    text = prose(9, 400).encode()
+    places, _ = substrings.anchors([text])[0]
+    gaps = np.diff(np.r_[-1, places, len(text) - substrings.GRAM + 1])
+    assert gaps.max() <= substrings.LENGTH - substrings.GRAM + 1
+    moved, _ = substrings.anchors([b"something before " + text])[0]
+    assert set(places + 17) - set(moved.tolist()) == set()
+    long = text * 400
+    assert len(long) > substrings.LAID_OUT
+    pieces, _ = substrings.anchors([long])[0]
+    assert np.diff(pieces).max() <= substrings.LENGTH - substrings.GRAM + 1
+
+
+def test_refine_merges_runs():
+    rng = np.random.default_rng(3)
+    rows = rng.integers(0, 3, (200, 6)).astype(np.uint8)
+    block = np.sort(rng.integers(0, 5, 200))
+    order, common = substrings.refine(block, rows)
+    suffixes = [(block[i], rows[i].tobytes()) for i in order]
+    assert suffixes == sorted(suffixes)
+    for (b, x), (c, y), n in zip(suffixes, suffixes[1:], common[1:]):
+        assert n == (-1 if b != c else next((k for k in range(6) if x[k] != y[k]), 6))
+
+
+# ---- mixing -----------------------------------------------------------------------------------
+
+
+def targets_of(sizes, weights=(5, 2, 1), most=3):
+    """Shares by weight, with the excess over the caps dealt again until there is none."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    target, open_, left = {}, set(names), float(sum(sizes.values()))
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if level * weight[s] > most * sizes[s]}
+        for s in full:
+            target[s] = float(most * sizes[s])
+        if not full:
+            target |= {s: level * weight[s] for s in open_}
+            break
+        left -= sum(target[s] for s in full)
+        open_ -= full
+    return target
+
+
+def test_mix(awkward, empty_docs):
+    rows = awkward_rows()
+    sizes = Counter()
+    for _, t, _, s, _ in rows:
+        sizes[s] += len(words(t))
+    target = targets_of(sizes)
+    found = mixing.mix(awkward).collect()
+    assert Counter((r["doc_id"], r["size"]) for r in found) == Counter((i, len(words(t))) for i, t, *_ in rows)
+    by_target = Counter()
+    for r in found:
+        assert 0 <= r["taken"] <= 3 * r["size"]
+        by_target[round(r["target"], 6), r["source_size"]] += r["taken"]
+    assert set(by_target) == {(round(target[s], 6), sizes[s]) for s in sizes}
+    assert all(abs(t - n) <= 0.5 for (t, _), n in by_target.items())
+    again = mixing.mix(awkward.repartition(1)).collect()
+    assert Counter(map(tuple, again)) == Counter(map(tuple, found))
+    assert mixing.mix(empty_docs).count() == 0
+
+
+def test_capped_sources(spark):
+    rows = [(i, "w " * n, s) for i, (n, s) in enumerate([(10, "a"), (400, "b"), (500, "c"), (3, "d"), (0, "e")])]
+    found = {r["source_size"]: r["target"] for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    target = targets_of({"a": 10, "b": 400, "c": 500, "d": 3, "e": 0})
+    assert found == pytest.approx({10: target["a"], 400: target["b"], 500: target["c"], 3: target["d"], 0: target["e"]})
+    assert target["a"] == 30
+
+
+def test_mixed_documents(awkward, spark, empty_docs):
+    assert mixing.mixed_documents(awkward).columns == awkward.columns
+    rows = [(i, prose(i, 20), "abcd"[i % 4]) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    taken = Counter(r["doc_id"] for r in mixing.mixed_documents(df).collect())
+    target = targets_of({s: 2000 for s in "abcd"})
+    for s in "abcd":
+        assert abs(sum(20 * n for i, n in taken.items() if "abcd"[i % 4] == s) - target[s]) <= 20
+    assert mixing.mixed_documents(empty_docs).count() == 0
+
+
+# ---- rules and network ------------------------------------------------------------------------
+
+
+def statistics_of(text):
+    w = words(text)
+    lines = [x for x in (text or "").split("\n") if words(x)]
+    grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    often = Counter(grams)
+    covered = {i + k for i, g in enumerate(grams) if often[g] > 1 for k in range(3)}
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
+
+
+def test_statistics(awkward, empty_docs):
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    expected = Counter((i, *statistics_of(t)) for i, t, *_ in awkward_rows())
+    assert multiset(rulelist.statistics(awkward), *columns) == expected
+    lines = awkward.sparkSession.createDataFrame(
+        [(1, "a b c\na b c\n \n\n a b c\nx a b c"), (2, "a a a a"), (3, "a b c"), (4, "a b c a b c a")], "doc_id long, text string"
+    )
+    assert multiset(rulelist.statistics(lines), *columns) == Counter(
+        (i, *statistics_of(t)) for i, t in [(1, "a b c\na b c\n \n\n a b c\nx a b c"), (2, "a a a a"), (3, "a b c"), (4, "a b c a b c a")]
+    )
+    assert rulelist.statistics(empty_docs).count() == 0
+
+
+@pytest.fixture(scope="module")
+def marked(spark):
+    """Good prose, and bad texts with symbols or in capitals."""
+    rows = []
+    for i in range(400):
+        text = prose(i, 60 + i % 50)
+        bad = i % 4 == 0
+        rows.append((i, (text.replace(" ", "## ", 40) if i % 8 else text.upper()) if bad else text, 0 if bad else 1))
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    return df.select("doc_id", "text"), df.select("doc_id", "quality")
+
+
+def test_rule_list(marked, awkward, empty_docs):
+    docs, labels = marked
+    judged = rulelist.judge(docs, labels).join(labels, "doc_id")
+    assert judged.where("kept = (quality = 0)").count() <= 4
+    assert judged.where("rule is not null").select("rule").distinct().count() >= 2
+    none = rulelist.judge(awkward, labels.limit(0))
+    assert none.where("rule is not null").count() == 0 and none.count() == len(awkward_rows())
+    assert none.where("kept <> (not base_failed)").count() == 0
+    assert rulelist.judge(empty_docs, labels).count() == 0
+
+
+def test_network(marked, awkward, empty_docs):
+    docs, labels = marked
+    net = bytecnn.train(docs, labels)
+    scored = bytecnn.score(docs, net).join(labels, "doc_id").where(bytecnn.held_out(F.col("doc_id"))).collect()
+    right = sum((r["score"] >= 0.3) == (r["quality"] == 1) for r in scored)
+    assert len(scored) > 50 and right / len(scored) > 0.95
+    found = bytecnn.score(awkward.select("doc_id", "text"), net).collect()
+    assert len(found) == len(awkward_rows()) and all(0 <= r["score"] <= 1 for r in found)
+    kept = bytecnn.score(awkward, net, keep=0.3)
+    assert kept.columns == awkward.columns
+    assert kept.count() == sum(r["score"] >= 0.3 for r in found)
+    assert bytecnn.score(empty_docs, net).count() == 0
+
+
+def test_network_does_not_see_held_out_labels(marked):
+    docs, labels = marked
+    turned = labels.withColumn("quality", F.when(bytecnn.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
+    a, b = bytecnn.train(docs, labels), bytecnn.train(docs, turned)
+    assert all(np.array_equal(x, y) for x, y in zip(a.weights(), b.weights()))
+
+
+def test_network_without_two_classes(marked, awkward):
+    docs, labels = marked
+    for some in (labels.limit(0), labels.where("quality = 1")):
+        scores = {r["score"] for r in bytecnn.score(awkward.select("doc_id", "text"), bytecnn.train(docs, some)).collect()}
+        assert len(scores) == 1
+
+
+def test_network_covers_the_whole_text():
+    texts = [prose(i, 80).encode() for i in range(60)]
+    marked = [t[:k] + b" #### " + t[k:] for t, k in zip(texts, range(0, 600, 10))]
+    net = bytecnn.fit(texts + marked, np.array([1] * 60 + [0] * 60), epochs=40)
+    long = prose(99, 20_000).encode()
+    assert net.score([long[:-3] + b" ####"])[0] < net.score([long])[0] - 0.3
+    one_by_one = np.concatenate([net.score([t]) for t in marked])
+    assert np.allclose(net.score(marked), one_by_one, atol=1e-5)
