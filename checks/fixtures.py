@@ -57,7 +57,12 @@ class Tables:
         self.folder = folder
 
     def read(self, name: str) -> DataFrame:
-        return read_table(self.spark, f"{self.folder}/{name}.parquet")
+        """The table, dealt to the number of partitions that the session asks for, if it does.
+
+        The given small tables are single row groups, which a scan cannot split.
+        """
+        asked = self.spark.conf.get("sieveline.scan.partitions", None)
+        return read_table(self.spark, f"{self.folder}/{name}.parquet", int(asked) if asked else None)
 
     def scan(self, name: str) -> DataFrame:
         """Without the spreading step: for work that is shuffled or cheap anyway."""

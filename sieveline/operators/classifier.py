@@ -1,5 +1,7 @@
 """Label encoding, the stratified split, the class-balanced classifier and its probabilities."""
 
+import math
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StringIndexer, StringIndexerModel
@@ -8,14 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.functions.binding import let
-from sieveline.operators.joins import small_side
 
 # Share of test rows, seed and iteration limit of the standard build.
 TEST_SHARE = 0.2
 SEED = 42
 MAX_ITER = 2000
-# Hex digits of the hash that cut a class into buckets while the split is drawn.
-BUCKET_DIGITS = 3
+# Rows that a hash bucket of the largest class holds at most on average while the split is drawn.
+BUCKET_ROWS = 100_000
 
 
 def label_index(df: DataFrame, label: str = "label", out: str = "label_id") -> DataFrame:
@@ -65,20 +66,23 @@ def stratified_split(
     The hash of (seed, key) alone decides, so the split can be rebuilt at any time. Counting a
     class by hash bucket shows the one bucket its quota cuts; all other rows are settled by
     comparing their bucket with it, without a shuffle, and only the cut buckets are sorted. A
-    class holding most rows costs no more than any other.
+    class holding most rows costs no more than any other: the number of buckets follows its size.
+    Rows without a label are a class of their own.
     """
+    largest = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    digits = max(1, math.ceil(math.log(max(1, largest / BUCKET_ROWS), 16)) + 1)
     digest = F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))
-    hashed = df.withColumn("_hash", digest).withColumn("_bucket", F.substring("_hash", 1, BUCKET_DIGITS))
+    hashed = df.withColumn("_hash", digest).withColumn("_bucket", F.substring("_hash", 1, digits))
     buckets = hashed.groupBy(label, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     upto = Window.partitionBy(label).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    running = buckets.withColumn("_upto", F.sum("_n").over(upto)).join(
-        test_quotas(df, label, test_share).select(label, "quota"), label
-    )
+    quotas = test_quotas(df, label, test_share).select(F.col(label).alias("_class"), "quota")
+    counted = buckets.withColumn("_upto", F.sum("_n").over(upto))
+    running = counted.join(quotas, counted[label].eqNullSafe(quotas["_class"])).drop("_class")
     room = F.col("quota") - (F.col("_upto") - F.col("_n"))
     overfull = F.when(F.col("_upto") > F.col("quota"), F.struct(F.col("_bucket").alias("at"), room.alias("room")))
-    cuts = small_side(running.groupBy(label).agg(F.min(overfull).alias("_cut")))
+    cuts = running.groupBy(F.col(label).alias("_class")).agg(F.min(overfull).alias("_cut"))
 
-    placed = hashed.join(cuts, label)
+    placed = hashed.join(cuts, hashed[label].eqNullSafe(cuts["_class"])).drop("_class")
     at = F.col("_cut.at")
     is_cut = F.coalesce(F.col("_bucket") == at, F.lit(False))
     settled = placed.filter(~is_cut).withColumn(

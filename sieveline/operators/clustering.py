@@ -10,8 +10,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.operators.blocks import CELLS, block_rows, matrix, vector_dim, with_grid
-from sieveline.operators.joins import rows_at_most
+from sieveline.operators.blocks import CELLS, block_rows, matrix, rows_at_most, vector_dim, with_grid
 
 # The standard number of clusters and seed.
 N_CLUSTERS = 10

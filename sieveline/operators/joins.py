@@ -1,42 +1,24 @@
 """Join helpers for keys that one value may dominate."""
 
-import math
-
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def rows_at_most(df: DataFrame, n: int) -> bool:
-    """True when the frame has at most n rows; looks at n + 1 rows at most."""
-    return df.limit(n + 1).count() <= n
-
-
-def fits_broadcast(df: DataFrame, rows: int = 5_000, size: int = 32 * 1024 * 1024) -> bool:
-    """True when the frame has few rows and they are small; stops reading at ``rows`` + 1 rows."""
-    sizes = df.select(F.octet_length(F.to_json(F.struct("*"))).alias("b")).take(rows + 1)
-    return len(sizes) <= rows and sum(r["b"] or 0 for r in sizes) <= size
-
+def partitions_of(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-def small_side(df: DataFrame, limit: int = 100_000) -> DataFrame:
-    """A summary table as a broadcast local table when it has at most ``limit`` rows, else unchanged.
-
-    The other side of the join is then not moved and the summary is not computed again. Larger
-    summaries are joined like any other table.
-    """
-    rows = df.limit(limit + 1).collect()
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if len(rows) <= limit else df
 
+def hot_keys(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
+    """``key, salts`` for the keys that hold more rows than a partition does on average.
 
-def hot_keys(df: DataFrame, key: str, share: float) -> list:
-    """Keys holding more than the given share of all rows: at most 1 / share of them.
-
-    One pass: counts are combined before the shuffle, the total is observed on the way, and only
-    the largest 1 / share counts reach the driver.
+    ``salts`` is the number of average partitions that the key fills. There are fewer such keys
+    than partitions, whatever the data look like. Nothing runs here: the total is a subquery.
     """
-    seen = Observation()
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).observe(seen, F.sum("n").alias("total"))
-    largest = counts.orderBy(F.desc("n")).limit(math.ceil(1 / share)).collect()
-    return [r[0] for r in largest if r[1] > seen.get["total"] * share]
+    parts = partitions or partitions_of(df)
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    fair = F.ceil(counts.agg(F.sum("_n")).scalar() / parts)
+    hot = counts.where(F.col("_n") > fair)
+    return hot.select(key, F.ceil(F.col("_n") / fair).cast("int").alias("_salts"))
 
 
 def skew_join(
@@ -45,27 +27,23 @@ def skew_join(
     key: str,
     how: str = "inner",
     spread_by: str | None = None,
-    share: float = 0.02,
-    salts: int = 32,
     counts_from: DataFrame | None = None,
-    try_broadcast: bool = True,
+    partitions: int | None = None,
 ) -> DataFrame:
-    """Inner or left join where a few keys of the left side may hold most of its rows.
-
-    A right side measured to be small is broadcast and the left side stays where it is. Otherwise
-    rows of a hot key are spread over ``salts`` partitions by the hash of ``spread_by``, the
-    matching right rows are copied once per salt, and all other keys are joined as they are.
-    ``counts_from`` names a narrower table with the same keys to count them on.
+    """Inner or left join where some keys of the left side may hold most of its rows.
+
+    Rows of a hot key are spread, by the hash of ``spread_by``, over as many pieces as the key
+    fills average partitions, and the matching right rows are copied once per piece; other keys
+    join as they are. Rows with a null key match nothing and are spread over all partitions. The
+    plan is the same at every size; the table of hot keys has fewer rows than there are
+    partitions and is therefore broadcast. ``counts_from`` names a narrower table with the same
+    keys to count them on.
     """
-    if try_broadcast and fits_broadcast(right):
-        return left.join(F.broadcast(right), key, how)
-    counted = left if counts_from is None else counts_from
-    hot = [k for k in hot_keys(counted, key, share) if k is not None]
-    if not hot:
-        return left.join(right, key, how)
-    is_hot = F.col(key).isin(hot)
-    spread = F.pmod(F.xxhash64(F.col(spread_by or left.columns[0])), F.lit(salts)).cast("int")
-    salted_left = left.withColumn("_salt", F.when(is_hot, spread).otherwise(0))
-    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    salted_right = right.withColumn("_salt", F.explode(copies))
-    return salted_left.join(salted_right, [key, "_salt"], how).drop("_salt")
+    parts = partitions or partitions_of(left)
+    hot = F.broadcast(hot_keys(left if counts_from is None else counts_from, key, parts))
+    at = F.xxhash64(F.col(spread_by or left.columns[0]))
+    pieces = F.when(F.col(key).isNull(), F.lit(parts)).otherwise(F.coalesce("_salts", F.lit(1)))
+    spread = left.join(hot, key, "left").withColumn("_salt", F.pmod(at, pieces).cast("int")).drop("_salts")
+    every = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
+    copied = right.join(hot, key, "left").withColumn("_salt", F.explode(every)).drop("_salts")
+    return spread.join(copied, [key, "_salt"], how).drop("_salt")

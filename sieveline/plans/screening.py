@@ -17,6 +17,8 @@ from sieveline.operators.ranking import rank_by_cosine
 # Fixed value: length of the ranked lists in a report.
 LIST_LENGTH = 5
 
+UNKNOWN_DOCUMENT = "Document is unknown or has no text"
+
 JOB_COLUMNS = ("job_id", "clean_jd", "jd_skills", "jd_embedding", "jd_ranked_docs")
 
 
@@ -79,12 +81,18 @@ def screen(
     ``docs`` comes from ``decide_documents``, ``jobs`` from ``prepare_jobs`` with a
     ``jd_embedding``. Documents are scored once, however many jobs ask for them. A job that
     attracts a large share of all requests, or a document that makes one, is spread over several
-    partitions.
+    partitions. A request for a document that is not there, or that was turned away as blank,
+    keeps its row with a ``reason`` and without scores.
     """
-    with_docs = skew_join(requests, docs, "doc_id", "inner", "job_id", try_broadcast=False)
+    known = docs.withColumn("_known", F.lit(True))
+    with_docs = skew_join(requests, known, "doc_id", "left", "job_id")
     side = jobs.select([c for c in JOB_COLUMNS if c in jobs.columns])
     pairs = skew_join(with_docs, side, "job_id", "left", "doc_id", counts_from=requests)
-    return score_pairs(pairs, alpha, beta)
+    scored = score_pairs(pairs, alpha, beta)
+    unknown = F.col("_known").isNull()
+    new = [c for c in scored.columns if c not in pairs.columns]
+    kept = scored.withColumns({c: F.when(~unknown, F.col(c)) for c in new})
+    return kept.withColumn("reason", F.when(unknown, F.lit(UNKNOWN_DOCUMENT))).drop("_known")
 
 
 def with_rankings(

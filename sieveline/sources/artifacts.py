@@ -27,11 +27,14 @@ def write_index(df: DataFrame, path: str) -> None:
 
 
 def read_index(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
-    """The index, or an empty one where none was written."""
-    schema = f"doc_id {id_type}, embedding array<double>, cluster_id int"
+    """The index with the ids it was written with, or an empty one where none was written.
+
+    ``id_type`` is the type of the ids of an empty index.
+    """
     if not path_exists(spark, path):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
+        return spark.createDataFrame([], f"doc_id {id_type}, embedding array<double>, cluster_id int")
+    written = spark.read.parquet(path)
+    return written.select("doc_id", F.col("embedding").cast("array<double>"), F.col("cluster_id").cast("int"))
 
 
 def save_models(path: str, classifier: PipelineModel, kmeans: KMeansModel) -> None:

@@ -5,29 +5,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sieveline.functions.bytes import decode_text
-from sieveline.operators.corpus import normalize_corpus
+from sieveline.operators.corpus import MISSING_MARKS, normalize_corpus
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table; a scan with fewer partitions than cores is spread over the cores.
+def read_table(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+    """A Parquet table, split as the session's file settings say.
 
-    Small files hold one row group and would otherwise keep the text work on one core. At scale
-    the scan has far more partitions than cores and nothing is moved.
+    A table that sits in one row group cannot be split by a scan; who knows that may ask for a
+    number of partitions, to which the rows are then dealt.
     """
     df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    return df.repartition(partitions) if partitions else df
 
 
 def read_labeled_csv(spark: SparkSession, path: str) -> DataFrame:
     """A labelled corpus with either accepted header, as ``id, doc_text, label``.
 
-    Columns are read as text by header name; quoted cells may span lines.
+    Columns are read as text by header name; quoted cells may span lines, so a file is read by
+    one task. A large corpus comes as many files, or as JSON lines or Parquet with the same
+    columns through ``normalize_corpus``.
     """
     options = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "inferSchema": False}
-    return normalize_corpus(spark.read.options(**options).csv(path))
+    return normalize_corpus(spark.read.options(**options).csv(path), MISSING_MARKS)
 
 
 def read_text_files(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:

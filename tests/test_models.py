@@ -36,6 +36,12 @@ def test_split_is_stratified_and_complete(spark, sizes):
     assert other != again
 
 
+def test_split_keeps_rows_without_a_label(spark):
+    df = labelled(spark, {"a": 30}).unionByName(spark.range(10).selectExpr("concat('n', id) as id", "cast(null as string) as label"))
+    rows = C.stratified_split(df, "label", "id").collect()
+    assert len(rows) == 40 and sum(r["split"] == "test" and r["label"] is None for r in rows) == 2
+
+
 def test_split_takes_the_smallest_hashes(spark):
     import hashlib
 

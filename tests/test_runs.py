@@ -10,7 +10,7 @@ from checks.queries import QUERIES
 from sieveline.operators.classifier import class_probabilities
 from sieveline.operators.clustering import predict_clusters
 from sieveline.operators.embedding import HashingEncoder, embed_chunks
-from sieveline.operators.joins import fits_broadcast, hot_keys, rows_at_most, skew_join
+from sieveline.operators.joins import hot_keys, skew_join
 from sieveline.plans import offline, screening
 from sieveline.sources import artifacts
 from sieveline.streaming import screening as stream
@@ -23,15 +23,34 @@ TABLES = (
 def test_skew_join_keeps_every_row(spark):
     left = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 500).cast("long").alias("k"))
     right = spark.range(400).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    assert hot_keys(left, "k", 0.1) == [0]
+    left = left.unionByName(spark.range(5000, 5200).select("id", F.lit(None).cast("long").alias("k")))
+    assert [tuple(r) for r in hot_keys(left, "k", 10).collect()] == [(0, 4)]
     for how in ("inner", "left"):
         plain = sorted(map(str, left.join(right, "k", how).collect()))
-        salted = skew_join(left, right, "k", how, "id", share=0.1, salts=4, try_broadcast=False)
-        assert "_salt" in salted._jdf.queryExecution().analyzed().toString()
-        assert sorted(map(str, salted.collect())) == plain
-        assert sorted(map(str, skew_join(left, right, "k", how).collect())) == plain
-    assert fits_broadcast(right) and not fits_broadcast(right, rows=399) and not fits_broadcast(right, size=1000)
-    assert rows_at_most(left, 3000) and not rows_at_most(left, 2999)
+        assert sorted(map(str, skew_join(left, right, "k", how, "id", partitions=10).collect())) == plain
+
+
+def test_hot_and_null_keys_do_not_meet_in_one_task(spark):
+    """A third of the rows with one key and a third with none: the largest task stays near the mean."""
+    key = F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, F.col("id"))
+    left = spark.range(30_000).select("id", key.cast("long").alias("k"))
+    right = spark.range(100).select(F.col("id").alias("k"), F.lit(1).alias("v"))
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.adaptive.skewJoin.enabled": "false",
+        "spark.sql.shuffle.partitions": "20",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        joined = skew_join(left, right, "k", "left", "id")
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == 30_000 and max(sizes) < 3 * 30_000 / 20
 
 
 WORDS = {
@@ -67,7 +86,7 @@ def test_offline_build(spark, built):
     assert -1 <= report[("clustering", "silhouette_score")] <= 1
     assert report[("classifier_report", "macro avg.support")] == 18
     assert artifacts.load_encoder_name(spark, f"{folder}/embedder") == "hashing"
-    index = artifacts.read_index(spark, f"{folder}/index", "string")
+    index = artifacts.read_index(spark, f"{folder}/index")
     assert index.count() == 90 and "label" not in index.columns
     written = spark.read.json(f"{folder}/report").first()["report"]
     assert written["test_metrics"]["accuracy"] == report[("test_metrics", "accuracy")]

@@ -25,6 +25,11 @@ def test_csv_with_keyed_header(spark, tmp_path):
     assert sorted(map(tuple, rows)) == [("007", "text", "HR"), ("8", "", "Unknown")]
 
 
+def test_missing_marks_count_in_text_tables_only(spark):
+    df = spark.createDataFrame([(1, "None", "NA"), (2, None, None)], "ID long, Resume_str string, Category string")
+    assert sorted(map(tuple, corpus.normalize_corpus(df).collect())) == [("1", "None", "NA"), ("2", "", "Unknown")]
+
+
 def test_other_headers_are_refused(spark):
     with pytest.raises(ValueError, match="schema"):
         corpus.normalize_corpus(spark.createDataFrame([("a", "b")], "Resume string, Label string"))
@@ -43,6 +48,12 @@ def test_row_ids_are_dense_over_ranges(spark):
     assert sorted((r["k"], int(r["row_id"])) for r in rows) == [(i * i, i) for i in range(5000)]
 
 
+def test_row_ids_of_text_keys(spark):
+    df = spark.createDataFrame([(k,) for k in "delta alpha echo bravo charlie".split()], "k string")
+    rows = corpus.assign_row_ids(df, "k", ranges=3).collect()
+    assert [r["row_id"] for r in sorted(rows)] == list("01234")
+
+
 def test_pages(spark):
     rows = [(1, 2, "two"), (1, 1, "one"), (1, 3, " \n"), (1, 4, None), (2, 1, ""), (3, 10, "b"), (3, 9, " a ")]
     df = spark.createDataFrame(rows, "d int, p int, t string")
