@@ -17,13 +17,14 @@ SKILL_LINE = """concat_ws(', ', case when doc_id % 2 = 0 then 'python' end, case
   case when doc_id % 11 = 0 then 'scikit learn' end, case when doc_id % 13 = 0 then 'HTML' end)"""
 
 # Headings, skills, years and noise around the whole text of every document.
-DOC_TEXT = f"""case doc_id % 4
+# One document in 97 is blank.
+DOC_TEXT = f"""case when doc_id % 97 = 5 then concat(' ', {NL}) else case doc_id % 4
   when 0 then text
   when 1 then concat('Summary', {NL}, substr(text, 1, 200), {NL}, 'Skills:', {NL}, {SKILL_LINE}, {NL},
     'Work Experience', {NL}, cast(doc_id % 13 as varchar(10)), '+ years ', substr(text, 201))
   when 2 then concat('Technical Skills', {NL}, {SKILL_LINE}, {NL}, 'Page', {NL}, 'Profile', {NL}, text)
   else concat('<b>Resume</b>', {NL}, 'a.b@mail.example.com www.example.com/x +1 (415) 555-2671', {NL},
-    {SKILL_LINE}, {NL}, text) end"""
+    {SKILL_LINE}, {NL}, text) end end"""
 
 # One job in ten is blank and has no vector.
 JOB_TEXT = f"""case when item_id % 10 = 9 then '' else concat('Skills:', {NL}, concat_ws(', ',

@@ -15,9 +15,25 @@ from checks.fixtures import (
     JOB_VECTOR,
     SECOND_JOB,
 )
-from sieveline.functions.sections import SECTION_HEADERS
-from sieveline.functions.text import SPACE_CHARS
-from sieveline.ontology import STANDARD
+
+# Fixed values, written out here a second time so that the SQL does not lean on the code it checks.
+SPACE_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+SECTION_HEADERS = {
+    "summary": ["summary", "professional summary", "profile", "objective"],
+    "skills": ["skills", "technical skills", "core skills", "key skills"],
+    "experience": ["experience", "work experience", "professional experience", "employment", "employment history"],
+}
+DOMAINS = {
+    "Data Science": "python|pandas|numpy|scikit-learn|machine learning|statistics|data analysis|tensorflow|pytorch",
+    "Web Development": "javascript|html|css|react|node|flask|django|rest api|sql",
+    "DevOps": "docker|kubernetes|ci/cd|jenkins|aws|linux|terraform",
+    "Mobile Development": "android|kotlin|swift|react native|flutter",
+    "Cybersecurity": "network security|penetration testing|siem|incident response|cryptography",
+}
+ALIASES = {"ml": "machine learning", "scikit learn": "scikit-learn", "rest": "rest api"}
 
 N_JOBS = "(select count(*) from benchmark)"
 DOC_VEC = DOC_VECTOR.format(n_vecs="(select count(*) from embeddings)")
@@ -322,11 +338,11 @@ ask("all_skills", "select distinct lower(p_name) as skill from part")
 
 # ---- skills and domains ----------------------------------------------------------------------
 
-cte("terms", f"select * from {values([(q(n), q(s)) for n, s in STANDARD.terms()])} t(needle, skill)")
+cte("terms", f"select * from {values([(q(s), q(s)) for d in DOMAINS.values() for s in d.split("|")] + [(q(a), q(s)) for a, s in ALIASES.items()])} t(needle, skill)")
 cte(
     "domain_skill",
     f"""select * from {values([
-        (str(i), q(d), q(s.lower())) for i, (d, skills) in enumerate(STANDARD.domains.items()) for s in skills
+        (str(i), q(d), q(s.lower())) for i, (d, skills) in enumerate(DOMAINS.items()) for s in skills.split("|")
     ])} t(domain_pos, domain, skill)""",
 )
 cte("doc_skill", "select distinct k as doc_id, skill from doc_clean join terms on contains(lower(out), needle)", "doc_clean", "terms")
@@ -342,7 +358,7 @@ cte(
     f"select d.doc_id, {text_list()} as skills from documents d left join doc_skill s on s.doc_id = d.doc_id group by d.doc_id",
     "doc_skill",
 )
-aliases = " ".join(f"when {q(a)} then {q(c)}" for a, c in STANDARD.aliases.items())
+aliases = " ".join(f"when {q(a)} then {q(c)}" for a, c in ALIASES.items())
 ask(
     "normalize_skills",
     f"""select doc_id, place, raw, case lower({strip('raw')}) {aliases} else lower({strip('raw')}) end as skill
@@ -388,11 +404,6 @@ ask("top_domains", f"select doc_id, rank, domain, {r6('score')} as score from do
 # ---- embedding jobs --------------------------------------------------------------------------
 
 ask("content_fingerprint", "select doc_id, sha256(text || chr(0)) as fingerprint from documents")
-ask(
-    "embed_incremental",
-    """select doc_id, cast(text not in (select text from documents where lang = 'en') as bigint) as was_pending,
-    cast(64 as bigint) as dim from documents""",
-)
 cte(
     "token_counts",
     r"""select doc_id, ('0x' || substr(md5(t), 1, 8))::bigint % 64 as i, count(*) as n
@@ -410,6 +421,12 @@ cte(
       else sqrt(cast(sum(n * n) over (partition by doc_id) as double)) end as v from hashed""",
     "hashed",
 )
+ask(
+    "embed_incremental",
+    f"""select h.doc_id, cast(d.text not in (select text from documents where lang = 'en') as bigint) as was_pending, i, {r6('v')} as v
+    from hashed_unit h join documents d on d.doc_id = h.doc_id""",
+    "hashed_unit",
+)
 ask("encode_text", f"select doc_id, i, {r6('v')} as v from hashed_unit", "hashed_unit")
 ask("l2_normalize", f"select doc_id, i, {r6('v')} as v from hashed_unit", "hashed_unit")
 cte(
@@ -426,6 +443,21 @@ ask(
     "pooled",
 )
 
+cte(
+    "plain_vectors",
+    """select k as doc_id, i, sum(w * case i when 0 then length(t) when 1 then length(t) - length(replace(t, ' ', ''))
+      else length(t) - length(replace(t, 'e', '')) end) as s
+    from (select k, unnest([summary, experience, skills]) as t, unnest([0.4::double, 0.4::double, 0.2::double]) as w from doc_chunks)
+    cross join (select unnest(range(0, 3)) as i) group by k, i""",
+    "doc_chunks",
+)
+ask(
+    "encode_plugin",
+    f"""select doc_id, i, {r6("s / case when norm = 0 then 1 else norm end")} as v
+    from (select *, sqrt(sum(s * s) over (partition by doc_id)) as norm from plain_vectors)""",
+    "plain_vectors",
+)
+
 # ---- similarity and matching -----------------------------------------------------------------
 
 cte("vecs", "select vec_id, label, cast(embedding as double[]) as v from embeddings")
@@ -543,6 +575,21 @@ ask(
 )
 ask("model_roundtrip", "select vec_id, cast(1 as bigint) as same_probabilities, cast(1 as bigint) as same_cluster from embeddings")
 
+ask(
+    "train_classifier",
+    f"""select class, n, {r6('total / cast(count(*) over () * n as double)')} as weight, cast(1 as bigint) as is_optimal
+    from (select cast(label as varchar) as class, count(*) as n, sum(count(*)) over () as total from split where split = 'train' group by label)""",
+    "split",
+)
+ask(
+    "class_probabilities",
+    """select vec_id, split, (select string_agg(distinct cast(label as varchar), ',' order by cast(label as varchar)) from split
+      where split = 'train') as classes, cast(1 as bigint) as descends, cast(1 as bigint) as adds_up, cast(1 as bigint) as is_share
+    from split""",
+    "split",
+)
+ask("train_kmeans", "select vec_id, cast(10 as bigint) as clusters, cast(1 as bigint) as is_nearest from embeddings")
+
 cte(
     "dots",
     "select d.vec_id as doc_id, d.label as y_true, c.class, sum(d.x * c.c) as dot from dims d join centers c on c.i = d.i group by all",
@@ -576,8 +623,9 @@ ask(
 )
 ask(
     "corpus_index",
-    f"""select d.doc_id, cast(a.cluster_id as bigint) as cluster_id, len(a.v) as dim, {r6('a.v[1]')} as first_value,
-      'doc_id,embedding,cluster_id' as columns from documents d join assigned a on a.vec_id = d.{DOC_VEC}""",
+    f"""select doc_id, cluster_id, columns, i, {r6('v')} as v from (
+      select d.doc_id, cast(a.cluster_id as bigint) as cluster_id, 'doc_id,embedding,cluster_id' as columns,
+        unnest(range(0, len(a.v))) as i, unnest(a.v) as v from documents d join assigned a on a.vec_id = d.{DOC_VEC})""",
     "assigned",
 )
 cte(
@@ -734,15 +782,24 @@ ask("evidence_override", "select doc_id, cast(overridden as bigint) as overridde
 ask("decision_trace", "select doc_id, trace from decisions", "decisions")
 ask("decide", f"select doc_id, primary_domain, secondary, {r6('confidence')} as confidence, years from decisions", "decisions")
 
+cte("blank", f"select k as doc_id from doc_raw where {strip('raw')} = ''", "doc_raw")
 cte(
     "scored",
     """select m.*, d.p1, d.primary_domain, d.secondary, d.confidence, d.trace, d.top_domains,
       case when c.out = '' then 0::double else 0.7::double end as alpha, (m.similarity + 1.0::double) / 2.0::double as component,
       case when c.out = '' then 0::double else 0.7::double end * ((m.similarity + 1.0::double) / 2.0::double) + 0.3::double * d.p1 as suitability
-    from matches m join decisions d on d.doc_id = m.doc_id join job_clean c on c.k = m.job_id""",
+    from matches m join decisions d on d.doc_id = m.doc_id join job_clean c on c.k = m.job_id
+    where m.doc_id not in (select doc_id from blank)""",
     "matches",
     "decisions",
     "job_clean",
+    "blank",
+)
+cte(
+    "rejected",
+    "select doc_id, job_id, 'Document is unknown or has no text' as reason from requests where doc_id in (select doc_id from blank)",
+    "requests",
+    "blank",
 )
 cte(
     "banded",
@@ -750,10 +807,21 @@ cte(
       else 'Weak Match' end as match_strength from scored""",
     "scored",
 )
-ask("suitability", f"select doc_id, job_id, {r6('component')} as component, alpha, {r6('suitability')} as suitability from scored", "scored")
-ask("match_strength", "select doc_id, job_id, match_strength from banded", "banded")
+ask(
+    "suitability",
+    f"""select doc_id, job_id, {r6('component')} as component, alpha, {r6('suitability')} as suitability from scored
+    union all select doc_id, job_id, null, null, null from rejected""",
+    "scored",
+    "rejected",
+)
+ask(
+    "match_strength",
+    "select doc_id, job_id, match_strength from banded union all select doc_id, job_id, null from rejected",
+    "banded",
+    "rejected",
+)
 cte(
-    "flat",
+    "flat_known",
     f"""select b.doc_id, b.job_id, {r6('suitability')} as suitability, match_strength, {r6('similarity')} as similarity, alpha,
       {r6('p1')} as max_p, top_domains, primary_domain, secondary, {r6('confidence')} as confidence, trace, s.skills, matched,
       missing, explanation, l.summary_len, l.experience_len, l.skills_len
@@ -762,11 +830,17 @@ cte(
     "doc_skills",
     "doc_lengths",
 )
-ask("stream_screen", "select * from flat", "flat")
+cte(
+    "flat",
+    "select *, cast(null as varchar) as reason from flat_known union all by name select * from rejected",
+    "flat_known",
+    "rejected",
+)
 ranked("top_index_jobs", "job_vec", "job_id", "v", "vecs", "vec_id")
 ask(
     "screen_pairs",
-    """select f.*, cast(a.cluster_id as bigint) as cluster_id, j.ids as jd_ranked_docs, v.ids as similar_docs
+    """select f.*, case when f.reason is null then cast(a.cluster_id as bigint) end as cluster_id, j.ids as jd_ranked_docs,
+      case when f.reason is null then v.ids end as similar_docs
     from flat f join assigned a on a.vec_id = f.{DOC_VEC}
     left join (select job_id, string_agg(cast(vec_id as varchar), '|' order by rank) as ids from top_index_jobs group by job_id) j on j.job_id = f.job_id
     left join (select query_id, string_agg(cast(vec_id as varchar), '|' order by rank) as ids from top_vecs group by query_id) v on v.query_id = f.{DOC_VEC}""",
@@ -775,6 +849,7 @@ ask(
     "top_index_jobs",
     "top_vecs",
 )
+ORACLE["stream_screen"] = ORACLE["screen_pairs"]
 ask(
     "shortlist",
     f"""select job_id, rank, doc_id, {r6('suitability')} as suitability, match_strength from (

@@ -1,5 +1,7 @@
 """One query per operator, over the whole given tables."""
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,8 @@ from sieveline.functions.bytes import decode_text
 from sieveline.ontology import STANDARD
 from sieveline.operators import classifier, clustering, corpus, metrics
 from sieveline.operators.decisions import decide
-from sieveline.operators.embedding import EmbeddingStore, HashingEncoder, fingerprint, pool_chunks
+from sieveline.operators.embedding import EmbeddingStore, HashingEncoder, ModelEncoder, embed_chunks, fingerprint, pool_chunks
+from sieveline.operators.joins import skew_join
 from sieveline.operators.matching import match_columns, shortlist
 from sieveline.operators.ranking import rank_by_cosine
 from sieveline.plans import screening
@@ -105,10 +108,9 @@ def corpus_index(t):
     return index.select(
         "doc_id",
         F.col("cluster_id").cast("long").alias("cluster_id"),
-        F.size("embedding").cast("long").alias("dim"),
-        r6(F.get("embedding", F.lit(0))).alias("first_value"),
         F.lit(",".join(index.columns)).alias("columns"),
-    )
+        F.posexplode_outer("embedding").alias("i", "v"),
+    ).select("doc_id", "cluster_id", "columns", F.col("i").cast("long").alias("i"), r6(F.col("v")).alias("v"))
 
 
 @query
@@ -319,18 +321,32 @@ def embed_incremental(t):
     store = EmbeddingStore(t.spark, shared_folder(t.spark, "vectors"), HashingEncoder())
     docs = t.read("documents").select("doc_id", "lang", "text")
     store.add(docs.filter(F.col("lang") == "en"), "text")
-    pending = store.missing(docs, "text").select(F.col("text_key").alias("pending"))
+    pending = store.missing(docs, "text").withColumnRenamed("text_key", "pending")
     # Which texts were pending has to be settled before the store grows.
     folder = shared_folder(t.spark, "pending")
     pending.write.parquet(folder)
     store.add(docs, "text")
     encoded = t.spark.read.parquet(folder)
-    whole = store.attach(docs, "text")
-    return whole.join(encoded, whole["text_key"] == encoded["pending"], "left").select(
-        "doc_id",
-        F.col("pending").isNotNull().cast("long").alias("was_pending"),
-        F.size("embedding").cast("long").alias("dim"),
-    )
+    whole = store.attach(docs.select("doc_id", "text"), "text")
+    encoded = encoded.select(F.col("pending").alias("text_key"), F.lit(1).cast("long").alias("was_pending"))
+    marked = skew_join(whole, encoded, "text_key", "left", "doc_id")
+    return marked.select(
+        "doc_id", F.coalesce("was_pending", F.lit(0).cast("long")).alias("was_pending"), F.posexplode_outer("embedding").alias("i", "v")
+    ).select("doc_id", "was_pending", F.col("i").cast("long").alias("i"), r6(F.col("v")).alias("v"))
+
+
+def _plain_model():
+    """A local text model: length, blanks and letters e of a text."""
+    return lambda texts: [[float(len(x)), float(x.count(" ")), float(x.count("e"))] for x in texts]
+
+
+@query
+def encode_plugin(t):
+    """Document vectors by a plugged-in model over the non-empty chunks."""
+    chunks = _sections(t).select("doc_id", S.build_chunks(F.col("s")).alias("chunks"))
+    vectors = embed_chunks(chunks, ModelEncoder("plain", _plain_model, normalize=False))
+    long = vectors.select("doc_id", F.posexplode_outer("embedding").alias("i", "v"))
+    return long.select("doc_id", F.col("i").cast("long").alias("i"), r6(F.col("v")).alias("v"))
 
 
 @query
@@ -365,14 +381,18 @@ def _pairs(t):
     """The requested pairs with both vectors and both skill lists."""
     docs = t.doc_vectors().join(_skills(t), "doc_id")
     jobs = screening.prepare_jobs(t.job_vectors()).select("job_id", "jd_skills", "jd_embedding")
-    return t.requests().join(docs, "doc_id").join(jobs, "job_id")
+    return _requested(t, docs, jobs)
+
+
+def _requested(t, docs, jobs):
+    """Requests with both sides; a third of them want the same job."""
+    with_docs = skew_join(t.requests(), docs, "doc_id", "inner", "job_id")
+    return skew_join(with_docs, jobs, "job_id", "inner", "doc_id", counts_from=t.requests())
 
 
 @query
 def pair_cosine(t):
-    vectors = t.requests().join(t.doc_vectors(), "doc_id").join(
-        t.job_vectors().select("job_id", "jd_embedding"), "job_id"
-    )
+    vectors = _requested(t, t.doc_vectors(), t.job_vectors().select("job_id", "jd_embedding"))
     return vectors.select("doc_id", "job_id", r6(V.cosine(F.col("embedding"), F.col("jd_embedding"))).alias("similarity"))
 
 
@@ -457,20 +477,47 @@ def _fitted(t):
 
 @query
 def train_classifier(t):
-    """Predicted class of every row, trained on the train part."""
+    """What the fit has to satisfy: rows and weight of each class, and a vanishing gradient.
+
+    The gradient of the class-balanced, penalised loss is taken over the training rows at the
+    fitted coefficients; its bound is five hundredths of the root of the number of rows.
+    """
     split, model = _fitted(t)
-    scored = classifier.class_probabilities(model, split)
-    best = F.get("ml_probs", F.lit(0))
-    return scored.select("vec_id", "split", F.col("label").cast("string").alias("y_true"), best["class"].alias("y_pred"))
+    train = split.filter(F.col("split") == "train")
+    weights = classifier.class_weights(train).select(F.col("label").cast("string").alias("class"), "n", "weight")
+    scored = classifier.class_probabilities(model, train)
+    own = weights.select(F.col("class").alias("_own"), F.col("weight").alias("_w"))
+    rows = scored.join(own, F.col("label").cast("string") == F.col("_own")).select(
+        "_own", "_w", "embedding", F.explode("ml_probs").alias("r")
+    )
+    error = F.col("_w") * (F.col("r.p") - F.when(F.col("r.class") == F.col("_own"), 1.0).otherwise(0.0))
+    gaps = rows.select(F.col("r.class").alias("class"), array_to_vector(F.transform("embedding", lambda x: x * error)).alias("g"))
+    sums = gaps.groupBy("class").agg(vector_to_array(Summarizer.sum(F.col("g"))).alias("g"))
+    coefficients = model.stages[-1].coefficientMatrix.toArray().tolist()
+    penalty = F.element_at(
+        F.create_map(*[F.lit(x) for c, w in zip(classifier.model_classes(model), coefficients) for x in (c, w)]), F.col("class")
+    )
+    steepest = F.array_max(F.transform(F.zip_with("g", penalty, lambda a, b: a + b), F.abs))
+    bound = 0.05 * F.sqrt(weights.agg(F.sum("n")).scalar())
+    return sums.join(weights, "class").select(
+        "class", "n", r6(F.col("weight")).alias("weight"), (steepest < bound).cast("long").alias("is_optimal")
+    )
 
 
 @query
 def class_probabilities(t):
+    """Per row: the classes, and whether their probabilities descend, add up to one and lie between 0 and 1."""
     split, model = _fitted(t)
-    scored = classifier.class_probabilities(model, split)
-    ranked = scored.select("vec_id", F.posexplode_outer("ml_probs").alias("at", "r"))
-    return ranked.select(
-        "vec_id", (F.col("at") + 1).cast("long").alias("rank"), F.col("r.class").alias("class"), r6(F.col("r.p")).alias("p")
+    p = F.transform("ml_probs", lambda r: r["p"])
+    scored = classifier.class_probabilities(model, split).withColumn("p", p)
+    total = F.aggregate("p", F.lit(0.0), lambda a, x: a + x)
+    return scored.select(
+        "vec_id",
+        "split",
+        F.array_join(F.array_sort(F.transform("ml_probs", lambda r: r["class"])), ",").alias("classes"),
+        (F.col("p") == F.reverse(F.array_sort("p"))).cast("long").alias("descends"),
+        (F.abs(total - 1.0) < 1e-9).cast("long").alias("adds_up"),
+        F.forall("p", lambda x: (x >= 0) & (x <= 1)).cast("long").alias("is_share"),
     )
 
 
@@ -496,8 +543,18 @@ def top3_classes(t):
 
 @query
 def train_kmeans(t):
+    """Per row: whether its cluster is one of ten and has the nearest of the fitted centres."""
     vectors = t.scan("embeddings")
-    return clustering.predict_clusters(clustering.train_kmeans(vectors), vectors).select("vec_id", "cluster_id")
+    model = clustering.train_kmeans(vectors)
+    centers = F.array(*[F.lit(c.tolist()) for c in model.clusterCenters()])
+    gap = lambda c: F.aggregate(F.zip_with("embedding", c, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x)
+    gaps = clustering.predict_clusters(model, vectors).withColumn("gaps", F.transform(centers, gap))
+    own = F.get("gaps", F.col("cluster_id"))
+    return gaps.select(
+        "vec_id",
+        F.size("gaps").cast("long").alias("clusters"),
+        (own <= F.array_min("gaps") + 1e-9).cast("long").alias("is_nearest"),
+    )
 
 
 @query
@@ -587,7 +644,9 @@ def _doc_inputs(t):
 
 
 def _decided(t):
-    return screening.decide_documents(_doc_inputs(t))
+    """Documents with text, decided."""
+    docs = screening.prepare_documents(screening.accepted(t.screening_docs()))
+    return screening.decide_documents(_ranked_wide(t, docs.join(t.doc_vectors(), "doc_id")))
 
 
 def listed(c):
@@ -667,10 +726,16 @@ def flat_scores(scored, *more):
         F.col("chunk_lengths.summary_len").alias("summary_len"),
         F.col("chunk_lengths.experience_len").alias("experience_len"),
         F.col("chunk_lengths.skills_len").alias("skills_len"),
+        "reason",
         *more,
     )
 
 
+def _ids(c):
+    return joined(F.transform(F.col(c), lambda e: e["ranked_id"].cast("string"))).alias(c)
+
+
+
 @query
 def suitability(t):
     return _screened(t).select(
@@ -691,11 +756,7 @@ def screen_pairs(t):
     index = t.read("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     docs, jobs = screening.with_rankings(docs, _job_side(t), index)
     scored = screening.screen(docs, jobs, t.requests())
-
-    def ids(c):
-        return joined(F.transform(F.col(c), lambda e: e["ranked_id"].cast("string"))).alias(c)
-
-    return flat_scores(scored, "cluster_id", ids("jd_ranked_docs"), ids("similar_docs"))
+    return flat_scores(scored, "cluster_id", _ids("jd_ranked_docs"), _ids("similar_docs"))
 
 
 @query
@@ -712,16 +773,29 @@ QUERIES["shortlist"] = QUERIES.pop("shortlist_query")
 
 @query
 def stream_screen(t):
-    """The documents file as a stream of arrivals; same rows as the batch run."""
+    """The documents file as a stream of arrivals; the same rows and columns as the batch run."""
     schema = t.scan("documents").schema.simpleString()[7:-1].replace(":", " ")
     arrivals = stream.read_documents(t.spark, t.folder, schema, "documents.parquet").select(
         "doc_id", F.expr(DOC_TEXT).alias("doc_text"), t.wanted_jobs().alias("job_ids")
     )
-    static = _ranked_wide(t, t.doc_vectors()).select("doc_id", "embedding", "ml_probs")
-    jobs = _job_side(t)
+    labels, centers = t.label_centroids
+    index = t.scan("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+
+    def settled(df, name):
+        """What no batch changes is computed once."""
+        folder = shared_folder(t.spark, name)
+        df.write.parquet(folder)
+        return t.spark.read.schema(df.schema).parquet(folder)
+
+    static = settled(_ranked_wide(t, t.doc_vectors()).select("doc_id", "embedding", "ml_probs"), "stream-docs")
+    jobs = settled(screening.rank_for_jobs(_job_side(t), index), "stream-jobs")
+
+    def add_lists(docs):
+        return screening.rank_documents(clustering.assign_clusters(docs, labels, centers), index)
 
     def score(batch):
-        return flat_scores(stream.screen_arrivals(batch, jobs, lambda df: df.join(static, "doc_id")))
+        scored = stream.screen_arrivals(batch, jobs, lambda df: df.join(static, "doc_id"), add_lists=add_lists)
+        return flat_scores(scored, "cluster_id", _ids("jd_ranked_docs"), _ids("similar_docs"))
 
     output, state = shared_folder(t.spark, "stream-out"), shared_folder(t.spark, "stream-state")
     stream.run(arrivals, score, output, state, t.spark.sparkContext.defaultParallelism).awaitTermination()

@@ -96,7 +96,7 @@ def silhouette(
 ) -> DataFrame:
     """One row ``silhouette, n``: mean silhouette with Euclidean distance, exact.
 
-    -1 when fewer than two clusters were asked for or there are fewer rows than clusters. Each
+    -1 when fewer than two clusters were asked for or found, or there are fewer rows than clusters. Each
     task turns a block of vectors into one distance sum per point and cluster; pairs are never
     rows. ``squared=True`` uses squared distance, which needs one pass instead of all pairs.
     """
@@ -106,7 +106,7 @@ def silhouette(
     )
     sizes = {r["_k"]: r["n"] for r in clean.groupBy("_k").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(sizes.values())
-    if n_clusters < 2 or total < n_clusters:
+    if n_clusters < 2 or total < n_clusters or len(sizes) < 2:
         return spark.createDataFrame([(-1.0, total)], "silhouette double, n long")
     if squared:
         ready = clean.select(array_to_vector("_v").alias("features"), F.col("_k").alias("prediction"))

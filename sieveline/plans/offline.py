@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.operators import classifier, clustering, metrics
-from sieveline.operators.embedding import HashingEncoder, embed_chunks
+from sieveline.operators.embedding import EmbeddingStore, HashingEncoder, embed_chunks, embed_chunks_stored
 from sieveline.plans.screening import preprocess
 from sieveline.sources import artifacts
 
@@ -32,7 +32,7 @@ def long_predictions(model: PipelineModel, df: DataFrame, label: str = "label")
 
 
 def evaluation_report(
-    results: DataFrame, quality: DataFrame, n_clusters: int, index_size: DataFrame
+    results: DataFrame, quality: DataFrame, n_clusters: int, index_size: DataFrame, quality_name: str = "silhouette_score"
 ) -> DataFrame:
     """``section, name, value`` of everything the build reports."""
     report = metrics.class_report(metrics.confusion_counts(results))
@@ -43,7 +43,7 @@ def evaluation_report(
         artifacts.report_rows(
             "clustering",
             quality.select(
-                F.col("silhouette").alias("silhouette_score"), F.lit(float(n_clusters)).alias("n_clusters")
+                F.col("silhouette").alias(quality_name), F.lit(float(n_clusters)).alias("n_clusters")
             ),
         ),
         artifacts.report_rows("resume_index", index_size),
@@ -60,20 +60,27 @@ def build(
     encoder=None,
     n_clusters: int = clustering.N_CLUSTERS,
     seed: int = classifier.SEED,
-    squared_silhouette: bool = False,
+    exact_silhouette: bool = False,
+    store: EmbeddingStore | None = None,
 ) -> Build:
     """Runs the whole build over ``id, doc_text, label`` and writes its artifacts below ``folder``.
 
     The vectors are written once because the classifier, the clustering and the index all read
     them; writing also ends the lineage, so a lost executor re-reads files and encodes nothing.
-    The exact silhouette compares all pairs; ``squared_silhouette`` swaps in the one-pass form.
+    The report has the one-pass silhouette with squared distance as ``silhouette_squared``;
+    ``exact_silhouette`` asks for the Euclidean one, which compares all pairs. With a ``store``,
+    chunk texts that it holds are not encoded again.
     """
     spark = corpus.sparkSession
     encoder = encoder or HashingEncoder()
     ready = preprocess(corpus.withColumnRenamed("id", "doc_id"), "doc_text")
-    embed_chunks(ready, encoder).select("doc_id", "label", "embedding").write.mode("overwrite").parquet(
-        f"{folder}/vectors"
-    )
+    ready = ready.select("doc_id", "label", "chunks")
+    if store is None:
+        embedded = embed_chunks(ready, encoder)
+    else:
+        encoder = store.encoder
+        embedded = ready.join(embed_chunks_stored(ready, store), "doc_id", "left")
+    embedded.select("doc_id", "label", "embedding").write.mode("overwrite").parquet(f"{folder}/vectors")
     vectors = spark.read.parquet(f"{folder}/vectors")
     artifacts.save_encoder_name(spark, f"{folder}/embedder", encoder.name)
 
@@ -84,11 +91,12 @@ def build(
 
     kmeans = clustering.train_kmeans(vectors, n_clusters, seed)
     clustered = clustering.predict_clusters(kmeans, vectors)
-    quality = clustering.silhouette(clustered, n_clusters, "doc_id", squared=squared_silhouette)
+    quality = clustering.silhouette(clustered, n_clusters, "doc_id", squared=not exact_silhouette)
     artifacts.save_models(f"{folder}/models", model, kmeans)
     artifacts.write_index(clustered, f"{folder}/index")
 
     index_size = vectors.agg(F.count(F.lit(1)).alias("n_resumes"))
-    report = evaluation_report(results, quality, n_clusters, index_size)
+    name = "silhouette_score" if exact_silhouette else "silhouette_squared"
+    report = evaluation_report(results, quality, n_clusters, index_size, name)
     artifacts.write_report(report, f"{folder}/report")
     return Build(vectors, split, model, kmeans, predictions, report)

@@ -9,7 +9,9 @@ from sieveline.functions.skills import domain_evidence, skills_in
 from sieveline.functions.text import clean_text
 from sieveline.ontology import STANDARD, Ontology
 from sieveline.operators.classifier import max_probability, top_classes
+from sieveline.operators.corpus import split_blank
 from sieveline.operators.decisions import decide
+from sieveline.operators.embedding import DEFAULT_MODEL
 from sieveline.operators.joins import skew_join
 from sieveline.operators.matching import match_columns, rank_lists
 from sieveline.operators.ranking import rank_by_cosine
@@ -29,6 +31,11 @@ def preprocess(df: DataFrame, text: str) -> DataFrame:
     )
 
 
+def accepted(docs: DataFrame, text: str = "doc_text") -> DataFrame:
+    """Documents with text; a request for a blank one is answered with a reason."""
+    return split_blank(docs, text)[0]
+
+
 def prepare_documents(docs: DataFrame, ontology: Ontology = STANDARD, text: str = "doc_text") -> DataFrame:
     """Text-side columns of each document: clean text, chunk lengths, skills, domain evidence."""
     return (
@@ -54,10 +61,12 @@ def decide_documents(docs: DataFrame) -> DataFrame:
     )
 
 
-def score_pairs(pairs: DataFrame, alpha: float = rules.ALPHA, beta: float = rules.BETA) -> DataFrame:
+def score_pairs(
+    pairs: DataFrame, alpha: float = rules.ALPHA, beta: float = rules.BETA, encoder: str = DEFAULT_MODEL
+) -> DataFrame:
     """Adds the match record, the suitability score and the strength band to (document, job) rows."""
     has_job = F.coalesce(F.col("clean_jd"), F.lit("")) != ""
-    matched = match_columns(pairs)
+    matched = match_columns(pairs, encoder=encoder)
     scored = matched.withColumns(
         {
             "alpha": rules.alpha_for(has_job, alpha),
@@ -75,6 +84,7 @@ def screen(
     requests: DataFrame,
     alpha: float = rules.ALPHA,
     beta: float = rules.BETA,
+    encoder: str = DEFAULT_MODEL,
 ) -> DataFrame:
     """Scores every requested (doc_id, job_id) pair.
 
@@ -88,7 +98,7 @@ def screen(
     with_docs = skew_join(requests, known, "doc_id", "left", "job_id")
     side = jobs.select([c for c in JOB_COLUMNS if c in jobs.columns])
     pairs = skew_join(with_docs, side, "job_id", "left", "doc_id", counts_from=requests)
-    scored = score_pairs(pairs, alpha, beta)
+    scored = score_pairs(pairs, alpha, beta, encoder)
     unknown = F.col("_known").isNull()
     new = [c for c in scored.columns if c not in pairs.columns]
     kept = scored.withColumns({c: F.when(~unknown, F.col(c)) for c in new})
@@ -104,16 +114,23 @@ def with_rankings(
     job and travel with them. Ranking reads the vectors more than once (to size its blocks), so
     pass frames whose vectors are stored rather than freshly encoded.
     """
+    return rank_documents(docs, index, n), rank_for_jobs(jobs, index, n)
+
+
+def _lists(queries: DataFrame, index: DataFrame, n: int, key: str, out: str) -> DataFrame:
     corpus = index.select(F.col("doc_id").alias("ranked_id"), "embedding")
+    return rank_lists(rank_by_cosine(queries, corpus, n, key, "ranked_id"), key, "ranked_id", out)
+
+
+def rank_documents(docs: DataFrame, index: DataFrame, n: int = LIST_LENGTH) -> DataFrame:
+    """Documents with their ``similar_docs``."""
+    return docs.join(_lists(docs.select("doc_id", "embedding"), index, n, "doc_id", "similar_docs"), "doc_id", "left")
+
+
+def rank_for_jobs(jobs: DataFrame, index: DataFrame, n: int = LIST_LENGTH) -> DataFrame:
+    """Jobs with their ``jd_ranked_docs``."""
     queries = jobs.select("job_id", F.col("jd_embedding").alias("embedding"))
-    by_job = rank_lists(rank_by_cosine(queries, corpus, n, "job_id", "ranked_id"), "job_id", "ranked_id", "jd_ranked_docs")
-    by_doc = rank_lists(
-        rank_by_cosine(docs.select("doc_id", "embedding"), corpus, n, "doc_id", "ranked_id"),
-        "doc_id",
-        "ranked_id",
-        "similar_docs",
-    )
-    return docs.join(by_doc, "doc_id", "left"), jobs.join(by_job, "job_id", "left")
+    return jobs.join(_lists(queries, index, n, "job_id", "jd_ranked_docs"), "job_id", "left")
 
 
 def report(scored: DataFrame) -> Column:

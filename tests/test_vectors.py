@@ -13,8 +13,8 @@ from sieveline.operators.embedding import (
     EmbeddingStore,
     HashingEncoder,
     ModelEncoder,
-    chunks_key,
     embed_chunks,
+    embed_chunks_stored,
     fingerprint,
     pool_chunks,
     text_key,
@@ -27,12 +27,9 @@ def test_fingerprint_and_keys(spark):
     row = df.select(
         fingerprint(F.col("a"), F.col("b")).alias("f"),
         text_key(F.col("a"), "m").alias("k"),
-        chunks_key(F.struct(F.col("a").alias("summary"), F.col("b").alias("experience"), F.col("a").alias("skills"))).alias("c"),
     ).first()
     assert row["f"] == hashlib.sha256("aé\0\0".encode()).hexdigest()
     assert row["k"] == "m::" + hashlib.sha256("aé\0".encode()).hexdigest() + "::normalize=True"
-    digest = hashlib.sha256("aé\0\0aé\0".encode()).hexdigest()
-    assert row["c"].endswith(f"::chunks::{digest}::w=0.400,0.400,0.200::normalize=True")
 
 
 def test_cosine_and_norm(spark):
@@ -111,11 +108,51 @@ def test_store_encodes_each_text_once(spark, tmp_path):
     store.add(first, "t")
     assert store.read().count() == 11
     more = first.union(spark.createDataFrame([(99, "new")], "i int, t string"))
-    assert [r["text"] for r in store.missing(more, "t").collect()] == ["new"]
+    new = store.missing(more, "t")
+    assert [r["text_key"] for r in new.collect()] == [r[0] for r in spark.range(1).select(store.key(F.lit("new"))).collect()]
+    assert "text#" not in new._jdf.queryExecution().executedPlan().toString()
     store.add(more, "t")
     assert store.read().count() == 12
+    # A second writer that found the same texts missing writes them again.
+    spark.read.parquet(store.path).write.mode("append").parquet(store.path)
     out = store.attach(more, "t")
-    assert out.count() == 31 and out.filter("embedding is null").count() == 0
+    assert out.count() == 31 and out.filter("embedding is null").count() == 0 and out.columns == ["text_key", "i", "embedding"]
+
+
+def test_stored_chunks_equal_encoded_ones(spark, tmp_path):
+    rows = [(1, ("a b", "", "c")), (2, ("", "", "")), (3, ("", "x y", "a b"))]
+    df = spark.createDataFrame(rows, "doc_id int, chunks struct<summary:string,experience:string,skills:string>")
+    direct = {r["doc_id"]: r["embedding"] for r in embed_chunks(df, HashingEncoder(8)).collect()}
+    store = EmbeddingStore(spark, str(tmp_path / "store"), HashingEncoder(8))
+    for _ in range(2):
+        stored = {r["doc_id"]: r["embedding"] for r in embed_chunks_stored(df, store).collect()}
+        assert set(stored) == {1, 3} and all(v == pytest.approx(direct[k]) for k, v in stored.items())
+    assert spark.read.parquet(store.path).count() == 3
+
+
+def test_plug_in_loads_once_and_skips_empty_chunks(spark, tmp_path):
+    log = str(tmp_path / "log")
+
+    def load():
+        with open(log, "a") as f:
+            f.write("load\n")
+
+        def model(texts):
+            with open(log, "a") as f:
+                f.writelines(f"text {t}\n" for t in texts)
+            return [[float(len(t)), 1.0] for t in texts]
+
+        return model
+
+    rows = [(1, ("a b", "", "c")), (2, ("", "", "")), (3, ("", "x y", ""))]
+    df = spark.createDataFrame(rows, "doc_id int, chunks struct<summary:string,experience:string,skills:string>").coalesce(1)
+    out = embed_chunks(df, ModelEncoder("toy", load, normalize=False))
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    got = {r["doc_id"]: r["embedding"] for r in out.collect()}
+    raw = np.array([0.4 * 3 + 0.2 * 1, 0.4 + 0.2])
+    assert got[1] == pytest.approx(list(raw / np.linalg.norm(raw))) and got[2] == [0.0, 0.0]
+    lines = open(log).read().split("\n")[:-1]
+    assert lines.count("load") == 1 and sorted(x for x in lines if x != "load") == ["text a b", "text c", "text x y"]
 
 
 def brute_top(queries, corpus, n):
@@ -191,6 +228,7 @@ def test_silhouette(spark, block):
     assert row["silhouette"] == pytest.approx(brute_silhouette(x, labels)) and row["n"] == 40
     assert clustering.silhouette(df, 1).first()["silhouette"] == -1.0
     assert clustering.silhouette(df, 41).first()["silhouette"] == -1.0
+    assert clustering.silhouette(df.withColumn("cluster_id", F.lit(0)), 4).first()["silhouette"] == -1.0
     assert -1 <= clustering.silhouette(df, 4, squared=True).first()["silhouette"] <= 1
 
 
