@@ -367,6 +367,16 @@ ask(
     "screening",
 )
 ask("extract_skills", "select doc_id, skills from doc_skills", "doc_skills")
+ask(
+    "extract_skills_joined",
+    """select * from (with p as (select p_partkey % (select count(*) from part) as place, lower(p_name) as p_name from part),
+    s as (select distinct lower(p_name) as needle, lower(p_name) as skill from part union select 'the', 'small ring'),
+    d as (select c.k as doc_id, c.out || ' x' || coalesce(p.p_name, '') || 'y' as txt from doc_clean c
+      left join p on p.place = c.k % (select count(*) from part)),
+    m as (select distinct doc_id, skill from d join s on contains(lower(txt), needle))
+    select d.doc_id, coalesce(string_agg(m.skill, '|' order by m.skill), '') as skills from d left join m on m.doc_id = d.doc_id group by d.doc_id)""",
+    "doc_clean",
+)
 ask("skill_frequency", "select skill, count(*) as n from doc_skill group by skill", "doc_skill")
 
 

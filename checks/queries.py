@@ -19,6 +19,7 @@ from sieveline.operators.embedding import EmbeddingStore, HashingEncoder, ModelE
 from sieveline.operators.joins import skew_join
 from sieveline.operators.matching import match_columns, shortlist
 from sieveline.operators.ranking import rank_by_cosine
+from sieveline.operators.terms import skills_by_join, term_table
 from sieveline.plans import screening
 from sieveline.plans.offline import evaluation_report as build_report
 from sieveline.session import shared_folder
@@ -89,11 +90,16 @@ def decode_text_files(t):
 @query
 def ontology_tables(t):
     """An ontology taken from the part table, written as JSON and read back."""
-    parts = t.scan("part").groupBy(F.col("p_brand").alias("domain")).agg(
-        F.struct(F.sort_array(F.collect_set("p_name")).alias("skills")).alias("body")
+    names = t.scan("part").select(F.struct(F.col("p_brand").alias("domain"), F.col("p_name").alias("skill")).alias("k")).distinct()
+    placed = corpus.assign_row_ids(names, "k", "at").select("k.*", F.col("at").cast("long").alias("at"))
+    starts = placed.groupBy("domain").agg(F.min("at").alias("start"))
+    rows = placed.join(starts, "domain").select("domain", "skill", (F.col("at") - F.col("start")).alias("pos"))
+    # A line holds at most a thousand skills of a domain, however many the domain has.
+    pieces = rows.groupBy("domain", F.floor(F.col("pos") / 1000).alias("piece")).agg(
+        F.struct(F.sort_array(F.collect_list("skill")).alias("skills"), F.min("pos").alias("first")).alias("body")
     )
     folder = shared_folder(t.spark, "ontology")
-    parts.select(F.create_map("domain", "body").alias("domains")).write.json(folder)
+    pieces.select(F.create_map("domain", "body").alias("domains")).write.json(folder)
     domains, _ = files.read_ontology_tables(t.spark, folder, multi_line=False)
     return domains.select("domain", F.col("skill_pos").cast("long").alias("skill_pos"), "skill")
 
@@ -271,6 +277,19 @@ def extract_skills(t):
     return _skills(t).select("doc_id", joined(F.col("skills")).alias("skills"))
 
 
+@query
+def extract_skills_joined(t):
+    """Skills of a loaded ontology, the part names with one alias; each document names a part."""
+    parts = t.scan("part")
+    n_parts = t.count("part")
+    named = parts.select((F.col("p_partkey") % n_parts).alias("place"), F.lower("p_name").alias("p_name"))
+    docs = _cleaned(t).withColumn("place", F.col("doc_id") % n_parts).join(named, "place", "left")
+    texts = docs.select("doc_id", F.concat("clean_text", F.lit(" x"), F.coalesce("p_name", F.lit("")), F.lit("y")).alias("clean_text"))
+    alias = t.spark.range(1).select(F.lit("the").alias("alias"), F.lit("small ring").alias("canonical"))
+    terms = term_table(parts.select(F.col("p_name").alias("skill")), alias)
+    return skills_by_join(texts, terms).select("doc_id", joined(F.col("skills")).alias("skills"))
+
+
 @query
 def skill_frequency(t):
     # Plain explode would make the optimizer test the array first and so compute it twice more.

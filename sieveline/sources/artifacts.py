@@ -57,11 +57,19 @@ def load_encoder_name(spark: SparkSession, path: str) -> str:
     return (row and row[0]) or DEFAULT_MODEL
 
 
+# Rows of an ontology that may stand in a plan; larger ones are joined (operators/terms.py).
+ONTOLOGY_ROWS = 10_000
+
+
 def load_ontology(domain_skill: DataFrame, alias: DataFrame) -> Ontology:
     """The ontology tables as one object for the row-wise expressions.
 
-    An ontology is a curated list; its tables are read in domain and skill order.
+    A curated list of at most ``ONTOLOGY_ROWS`` rows, read in domain and skill order; anything
+    larger is refused.
     """
+    for part in (domain_skill, alias):
+        if part.limit(ONTOLOGY_ROWS + 1).count() > ONTOLOGY_ROWS:
+            raise ValueError(f"more than {ONTOLOGY_ROWS} ontology rows: use operators.terms")
     domains: dict[str, list[str]] = {}
     for r in domain_skill.orderBy("domain_pos", "skill_pos").collect():
         members = domains.setdefault(r["domain"], [])

@@ -41,7 +41,8 @@ ONTOLOGY_SCHEMA = T.StructType(
         T.StructField(
             "domains",
             T.MapType(
-                T.StringType(), T.StructType([T.StructField("skills", T.ArrayType(T.StringType()))])
+                T.StringType(),
+                T.StructType([T.StructField("skills", T.ArrayType(T.StringType())), T.StructField("first", T.LongType())]),
             ),
         ),
         T.StructField("skill_aliases", T.MapType(T.StringType(), T.StringType())),
@@ -52,12 +53,15 @@ ONTOLOGY_SCHEMA = T.StructType(
 def read_ontology_tables(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
     """``domain, domain_pos, skill_pos, skill`` and ``alias, canonical`` from JSON.
 
-    Missing keys mean empty; a domain without skills keeps one row with a null skill. One document per file, or one per line with ``multi_line=False``.
+    Missing keys mean empty; a domain without skills keeps one row with a null skill. One document
+    per file, or one per line with ``multi_line=False``. A domain may be cut into several pieces,
+    each with the place of its ``first`` skill.
     """
     raw = spark.read.schema(ONTOLOGY_SCHEMA).json(path, multiLine=multi_line)
     domains = raw.select(F.posexplode("domains").alias("domain_pos", "domain", "body")).select(
-        "domain", "domain_pos", F.posexplode_outer("body.skills").alias("skill_pos", "skill")
+        "domain", "domain_pos", F.coalesce("body.first", F.lit(0)).alias("_first"), F.posexplode_outer("body.skills").alias("_at", "skill")
     )
+    domains = domains.select("domain", "domain_pos", (F.col("_first") + F.col("_at")).alias("skill_pos"), "skill")
     aliases = raw.select(F.explode("skill_aliases").alias("alias", "canonical"))
     return domains, aliases
 

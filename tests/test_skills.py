@@ -60,3 +60,16 @@ def test_ontology_json(spark, tmp_path):
     assert artifacts.load_ontology(domains, aliases) == Ontology({"B": ["Y", "x"], "A": ["Y"], "C": []}, {"yy": "Y"})
     assert sorted(r[0] for r in files.all_skills(domains).collect()) == ["x", "y"]
     assert artifacts.load_ontology(*files.read_ontology_tables(spark, str(tmp_path / "empty"))) == Ontology()
+
+
+def test_join_form_equals_the_row_form(spark):
+    from sieveline.ontology import STANDARD
+    from sieveline.operators.terms import skills_by_join, term_table
+
+    texts = ["uses mlops and C++", "react native, rest", "scikit learn", "", None, "sq", "HTML" * 3, "penetration testing siem"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, clean_text string")
+    rows = [(s,) for members in STANDARD.domains.values() for s in members] + [(None,)]
+    terms = term_table(spark.createDataFrame(rows, "skill string"), spark.createDataFrame(list(STANDARD.aliases.items()), "alias string, canonical string"))
+    assert sorted(map(tuple, terms.collect())) == STANDARD.terms()
+    plain = {r[0]: r[1] for r in df.select("doc_id", K.skills_in(F.col("clean_text"), STANDARD)).collect()}
+    assert {r["doc_id"]: r["skills"] for r in skills_by_join(df, terms).collect()} == plain
