@@ -18,7 +18,7 @@ from sieveline.operators.decisions import decide
 from sieveline.operators.embedding import EmbeddingStore, HashingEncoder, ModelEncoder, embed_chunks, fingerprint, pool_chunks
 from sieveline.operators.joins import skew_join
 from sieveline.operators.matching import match_columns, shortlist
-from sieveline.operators.ranking import rank_by_cosine
+from sieveline.operators.ranking import cut_into_cells, rank_by_cosine
 from sieveline.operators.terms import skills_by_join, term_table
 from sieveline.plans import screening
 from sieveline.plans.offline import evaluation_report as build_report
@@ -798,7 +798,7 @@ def stream_screen(t):
         "doc_id", F.expr(DOC_TEXT).alias("doc_text"), t.wanted_jobs().alias("job_ids")
     )
     labels, centers = t.label_centroids
-    index = t.scan("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    index = cut_into_cells(t.scan("embeddings"), "vec_id")
 
     def settled(df, name):
         """What no batch changes is computed once."""

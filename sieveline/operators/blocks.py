@@ -1,45 +1,13 @@
 """Dense pairwise work in blocks: matrix products inside tasks, only reduced rows leave a task."""
 
 import numpy as np
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-# One block of vectors may take this much memory as doubles.
-BLOCK_BYTES = 64 * 1024 * 1024
+# Rows of one block, which a task holds in memory.
+BLOCK_ROWS = 65_536
 # Cells of one score matrix held at a time.
 CELLS = 4_000_000
 
 
-def block_rows(dim: int, block_bytes: int = BLOCK_BYTES) -> int:
-    return max(1, block_bytes // (8 * max(1, dim)))
-
-
-def rows_at_most(df: DataFrame, n: int) -> bool:
-    """True when the frame has at most n rows; looks at n + 1 rows at most."""
-    return df.limit(n + 1).count() <= n
-
-
-def vector_dim(df: DataFrame, vector: str) -> int:
-    first = df.select(F.size(vector)).first()
-    return int(first[0]) if first else 0
-
-
-def with_grid(left: DataFrame, left_key: str, n_left: int, right: DataFrame, right_key: str, n_right: int):
-    """Copy both sides onto an n_left x n_right grid so every pair of blocks meets in one cell.
-
-    Blocks are cut by the hash of a unique key, so they are even whatever the data look like.
-    """
-    row = F.pmod(F.xxhash64(F.col(left_key)), F.lit(n_left))
-    col = F.pmod(F.xxhash64(F.col(right_key)), F.lit(n_right))
-    a = left.withColumn("_r", row).withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))))
-    b = right.withColumn("_c", col).withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))))
-    cells = [F.col("_r").cast("long").alias("_r"), F.col("_c").cast("long").alias("_c")]
-    return (
-        a.select(*[c for c in a.columns if c not in ("_r", "_c")], *cells),
-        b.select(*[c for c in b.columns if c not in ("_r", "_c")], *cells),
-    )
-
-
 def matrix(arrow_lists) -> np.ndarray:
     """Rows of an Arrow list column as a float64 matrix, without a Python object per row."""
     if hasattr(arrow_lists, "combine_chunks"):

@@ -1,7 +1,6 @@
 """K-means, nearest-centroid assignment, cluster profiles and the silhouette."""
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -10,7 +9,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.operators.blocks import CELLS, block_rows, matrix, rows_at_most, vector_dim, with_grid
+from sieveline.operators.blocks import BLOCK_ROWS, CELLS, matrix
+from sieveline.operators.joins import partitions_of
 
 # The standard number of clusters and seed.
 N_CLUSTERS = 10
@@ -92,13 +92,14 @@ def silhouette(
     cluster: str = "cluster_id",
     vector: str = "embedding",
     squared: bool = False,
-    block: int | None = None,
+    block: int = BLOCK_ROWS,
 ) -> DataFrame:
     """One row ``silhouette, n``: mean silhouette with Euclidean distance, exact.
 
     -1 when fewer than two clusters were asked for or found, or there are fewer rows than clusters. Each
-    task turns a block of vectors into one distance sum per point and cluster; pairs are never
-    rows. ``squared=True`` uses squared distance, which needs one pass instead of all pairs.
+    task holds a block of vectors and turns the points that stream past it into one distance sum
+    per cluster; pairs are never rows, but every point visits every block, so the work is
+    quadratic. ``squared=True`` uses squared distance, which needs one pass.
     """
     spark = df.sparkSession
     clean = df.filter(F.col(vector).isNotNull()).select(
@@ -116,14 +117,10 @@ def silhouette(
     names = sorted(sizes)
     slot = {k: i for i, k in enumerate(names)}
     counts = np.array([sizes[k] for k in names], dtype="float64")
-    rows = block or block_rows(vector_dim(clean, "_v"))
     indexed = clean.withColumn(
         "_k", F.element_at(F.create_map(*[F.lit(x) for k in names for x in (k, slot[k])]), F.col("_k"))
     )
-    if rows_at_most(indexed, rows):
-        sums = _sums_to_one_block(indexed, len(names))
-    else:
-        sums = _sums_block_by_block(indexed, len(names), total, rows)
+    sums = _sums_over_blocks(indexed, len(names), max(partitions_of(df), -(-total // block)))
 
     own = F.get(F.col("sums"), F.col("_k"))
     size = F.get(F.lit(counts.tolist()), F.col("_k"))
@@ -139,46 +136,36 @@ def silhouette(
     return scored.agg(F.avg(each).alias("silhouette"), F.count(F.lit(1)).alias("n"))
 
 
-def _sums_to_one_block(indexed: DataFrame, k: int) -> DataFrame:
-    table = indexed.toArrow()
-    held = indexed.sparkSession.sparkContext.broadcast(
-        (matrix(table["_v"]), table["_k"].to_numpy().astype("int64"))
-    )
+def _sums_over_blocks(indexed: DataFrame, k: int, blocks: int) -> DataFrame:
+    """``_id, _k, sums``: every point streams past each block of the others, which a task holds."""
+    id_type = indexed.schema["_id"].dataType.simpleString()
+    doubles = F.col("_v").cast("array<double>").alias("_v")
+    others = indexed.select(F.pmod(F.xxhash64("_id"), F.lit(blocks)).alias("_block"), F.lit(0).alias("_side"), "_id", "_k", doubles)
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_block")
+    points = indexed.select(every, F.lit(1).alias("_side"), "_id", "_k", doubles)
 
     def run(batches):
-        others, where = held.value
+        block, vectors, where = None, [], []
         for batch in batches:
-            if batch.num_rows:
-                sums = _distance_sums(matrix(batch.column("_v")), others, where, k)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("_k"), pa.array(list(sums), type=pa.list_(pa.float64()))],
-                    names=["_k", "sums"],
-                )
-
-    return indexed.mapInArrow(run, "_k int, sums array<double>")
-
-
-def _sums_block_by_block(indexed: DataFrame, k: int, total: int, rows: int) -> DataFrame:
-    n = -(-total // rows)
-    a, b = with_grid(indexed, "_id", n, indexed, "_id", n)
-    id_type = indexed.schema["_id"].dataType.simpleString()
-
-    def cell(left, right):
-        out = pd.DataFrame({"_id": left["_id"], "_k": left["_k"]})
-        if len(left) == 0:
-            out["sums"] = []
-            return out
-        points = np.stack(left["_v"]).astype("float64")
-        if len(right):
-            others = np.stack(right["_v"]).astype("float64")
-            out["sums"] = list(_distance_sums(points, others, right["_k"].to_numpy().astype("int64"), k))
-        else:
-            out["sums"] = list(np.zeros((len(points), k)))
-        return out
-
-    parts = a.groupBy("_r", "_c").cogroup(b.groupBy("_r", "_c")).applyInPandas(
-        cell, f"_id {id_type}, _k int, sums array<double>"
-    )
-    return parts.groupBy("_id", "_k").agg(
-        vector_to_array(Summarizer.sum(array_to_vector(F.col("sums")))).alias("sums")
-    )
+            numbers, sides = batch.column("_block").to_numpy(), batch.column("_side").to_numpy()
+            edges = np.flatnonzero((np.diff(numbers) != 0) | (np.diff(sides) != 0)) + 1
+            for a, b in zip(np.r_[0, edges], np.r_[edges, len(numbers)]):
+                if a == b:
+                    continue
+                part = batch.slice(int(a), int(b - a))
+                if numbers[a] != block:
+                    block, vectors, where = numbers[a], [], []
+                v = matrix(part.column("_v"))
+                if sides[a] == 0:
+                    vectors.append(v)
+                    where.append(part.column("_k").to_numpy().astype("int64"))
+                elif vectors:
+                    vectors, where = [np.concatenate(vectors)], [np.concatenate(where)]
+                    sums = _distance_sums(v, vectors[0], where[0], k)
+                    offsets = np.arange(0, sums.size + 1, k, dtype="int32")
+                    lists = pa.ListArray.from_arrays(offsets, sums.ravel())
+                    yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_k"), lists], ["_id", "_k", "sums"])
+
+    met = others.unionByName(points).repartition("_block").sortWithinPartitions("_block", "_side")
+    parts = met.mapInArrow(run, f"_id {id_type}, _k int, sums array<double>")
+    return parts.groupBy("_id", "_k").agg(vector_to_array(Summarizer.sum(array_to_vector(F.col("sums")))).alias("sums"))

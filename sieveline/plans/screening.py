@@ -14,7 +14,7 @@ from sieveline.operators.decisions import decide
 from sieveline.operators.embedding import DEFAULT_MODEL
 from sieveline.operators.joins import skew_join
 from sieveline.operators.matching import match_columns, rank_lists
-from sieveline.operators.ranking import rank_by_cosine
+from sieveline.operators.ranking import Cells, cut_into_cells, rank_by_cosine
 
 # Fixed value: length of the ranked lists in a report.
 LIST_LENGTH = 5
@@ -114,20 +114,20 @@ def with_rankings(
     job and travel with them. Ranking reads the vectors more than once (to size its blocks), so
     pass frames whose vectors are stored rather than freshly encoded.
     """
-    return rank_documents(docs, index, n), rank_for_jobs(jobs, index, n)
+    cells = cut_into_cells(index)
+    return rank_documents(docs, cells, n), rank_for_jobs(jobs, cells, n)
 
 
-def _lists(queries: DataFrame, index: DataFrame, n: int, key: str, out: str) -> DataFrame:
-    corpus = index.select(F.col("doc_id").alias("ranked_id"), "embedding")
-    return rank_lists(rank_by_cosine(queries, corpus, n, key, "ranked_id"), key, "ranked_id", out)
+def _lists(queries: DataFrame, index: Cells, n: int, key: str, out: str) -> DataFrame:
+    return rank_lists(rank_by_cosine(queries, index, n, key, "ranked_id"), key, "ranked_id", out)
 
 
-def rank_documents(docs: DataFrame, index: DataFrame, n: int = LIST_LENGTH) -> DataFrame:
+def rank_documents(docs: DataFrame, index: Cells, n: int = LIST_LENGTH) -> DataFrame:
     """Documents with their ``similar_docs``."""
     return docs.join(_lists(docs.select("doc_id", "embedding"), index, n, "doc_id", "similar_docs"), "doc_id", "left")
 
 
-def rank_for_jobs(jobs: DataFrame, index: DataFrame, n: int = LIST_LENGTH) -> DataFrame:
+def rank_for_jobs(jobs: DataFrame, index: Cells, n: int = LIST_LENGTH) -> DataFrame:
     """Jobs with their ``jd_ranked_docs``."""
     queries = jobs.select("job_id", F.col("jd_embedding").alias("embedding"))
     return jobs.join(_lists(queries, index, n, "job_id", "jd_ranked_docs"), "job_id", "left")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sieveline.functions import vectors as V
-from sieveline.operators import clustering
+from sieveline.operators import clustering, ranking
 from sieveline.operators.embedding import (
     EmbeddingStore,
     HashingEncoder,
@@ -166,7 +166,7 @@ def brute_top(queries, corpus, n):
     }
 
 
-@pytest.mark.parametrize("block", [None, 7])
+@pytest.mark.parametrize("block", [65_536, 3])
 @pytest.mark.parametrize("key", ["long", "string"])
 def test_ranking_against_brute_force(spark, block, key):
     rng = np.random.default_rng(5)
@@ -190,6 +190,24 @@ def test_ranking_against_brute_force(spark, block, key):
         assert [(d, s) for _, d, s in sorted(rows)] == [(name(d), pytest.approx(s)) for d, s in want[i]]
 
 
+def test_ranking_skips_cells(spark):
+    """On well separated groups a query sees few of the blocks, and still gets the exact answer."""
+    rng = np.random.default_rng(2)
+    centres = np.eye(12) * 10
+    corpus = np.concatenate([c + rng.normal(size=(50, 12)) * 0.1 for c in centres])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(corpus)], "doc_id long, embedding array<double>")
+    queries = df.where("doc_id % 25 = 0").withColumnRenamed("doc_id", "query_id")
+    cells = ranking.cut_into_cells(df)
+    asked = queries.selectExpr("query_id as _q", "embedding as _v", "0.99D as _least")
+    pairs = sum(ranking._routed(asked, cells, 5, later).count() for later in (False, True))
+    assert pairs < 0.4 * 24 * len(cells.sizes)
+    got = {}
+    for r in rank_by_cosine(queries, cells, 5).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["doc_id"]))
+    want = brute_top(corpus[::25], corpus, 5)
+    assert {q: [d for _, d in sorted(rows)] for q, rows in got.items()} == {25 * q: [d for d, _ in rows] for q, rows in want.items()}
+
+
 def test_ranking_of_nothing(spark):
     schema = "query_id long, embedding array<double>"
     q = spark.createDataFrame([(1, [1.0])], schema)
@@ -215,7 +233,7 @@ def brute_silhouette(x, labels):
     return float(np.mean(scores))
 
 
-@pytest.mark.parametrize("block", [None, 9])
+@pytest.mark.parametrize("block", [65_536, 9])
 def test_silhouette(spark, block):
     rng = np.random.default_rng(1)
     labels = np.array([0] * 20 + [5] * 15 + [7] * 4 + [9])
