@@ -1,12 +1,12 @@
-"""Literal cases for the cleaning rules, and random texts against a plain statement of them."""
+"""Literal cases for the cleaning rules, properties of random texts, and comparison with the SQL side."""
 
 import random
 import unicodedata
 
-import regex
 from pyspark.sql import functions as F
 
 from sieveline.functions import text as X
+from tests.by_sql import cleaned_by_sql, random_texts
 
 
 def test_html(one):
@@ -83,33 +83,6 @@ def test_blank(one):
     assert one(X.is_blank, [None, "", " \u3000\x1c\n", " a"]) == [True, True, True, False]
 
 
-# A plain statement of the rules with the regex module, whose classes are Unicode.
-
-
-def plain_clean(raw):
-    text = regex.sub("<[^>]+>", " ", raw)
-    word = r"[\p{L}\p{N}_]"
-    edge = rf"(?:(?<={word})(?!{word})|(?<!{word})(?={word}))"
-    text = regex.sub(rf"{edge}[\p{{L}}\p{{N}}_.%-]+@[\p{{L}}\p{{N}}_.-]+\.[A-Za-z]{{2,}}{edge}", " ", text)
-    text = regex.sub(rf"{edge}(?:https?://|www\.)[^\s\x1c-\x1f]+{edge}", " ", text)
-    gap = r"[\s\x1c-\x1f-]?"
-    text = regex.sub(
-        rf"(?:\+?\p{{Nd}}{{1,3}}{gap})?(?:\(\p{{Nd}}{{2,4}}\){gap})?\p{{Nd}}{{3,4}}{gap}\p{{Nd}}{{3,4}}", " ", text
-    )
-    kept, short = [], set()
-    for line in map(str.strip, text.splitlines()):
-        low = line.lower()
-        if low in ("resume", "curriculum vitae", "cv", "page") or low in short:
-            continue
-        if 1 <= len(low) <= 40:
-            short.add(low)
-        kept.append(line)
-    text = "\n".join(kept).replace("\u00a0", " ")
-    for pattern, by in ((r"[\t\r\f\x0b]+", " "), (r"\n{3,}", "\n\n"), (" {2,}", " ")):
-        text = regex.sub(pattern, by, text)
-    return text.strip().lower()
-
-
 PIECES = [
     "Résumé", "resume", "CV", "page", "Page ", "skills", "Skills:", "<b>", "</b>", "<", ">", "a.b@c.de", "é@ß.com",
     "@", "http://", "https://x.y/z)", "www.q.r", "www.", "123", "4567", "+44", "(020)", "-", "٣٤٥", "555", "½", "_",
@@ -118,15 +91,32 @@ PIECES = [
 ]
 
 
-def random_texts(n, seed, pieces=PIECES, length=25):
-    rng = random.Random(seed)
-    return ["".join(rng.choice(pieces) for _ in range(rng.randrange(length))) for _ in range(n)]
+# Pieces on which the ASCII classes of the SQL side and the Unicode rules agree.
+ASCII_PIECES = [p for p in PIECES if p.isascii() and not set(p) & set("\x0b\x1c\x1f")] + ["Resume", "curriculum vitae", "a-b_c@d-e.org", "+1 415-555-2671", "(x)", "years"]
+
+
+def test_clean_equals_sql_on_random_texts(one):
+    texts = random_texts(3000, 7, ASCII_PIECES)
+    for text, got, want in zip(texts, one(X.clean_text, texts), cleaned_by_sql(texts)):
+        assert got == want, repr(text)
+
+
+def test_cleaned_texts_are_in_normal_form(one):
+    """Whatever comes in: nothing to trim, no tabs, no double blanks, no wide gaps, lower case."""
+    for got in one(X.clean_text, random_texts(3000, 8, PIECES)):
+        assert got == got.strip() == got.lower()
+        assert not any(x in got for x in ("\t", "\r", "\x0b", "\u00a0", "  ", "\n\n\n"))
 
 
-def test_clean_on_random_texts(one):
-    texts = random_texts(4000, 7)
-    for text, got in zip(texts, one(X.clean_text, texts)):
-        assert got == plain_clean(text), repr(text)
+def test_repeated_lines_go_and_order_stays(one):
+    lines = [f"line {i}" for i in range(30)] + ["x" * 50]
+    rng = random.Random(4)
+    for _ in range(50):
+        picked = [rng.choice(lines) for _ in range(60)]
+        got = one(X.drop_repeated_lines, ["\n".join(picked)])[0].split("\n")
+        long = [x for x in picked if len(x) > 40]
+        assert [x for x in got if len(x) <= 40] == list(dict.fromkeys(x for x in picked if len(x) <= 40))
+        assert [x for x in got if len(x) > 40] == long
 
 
 def test_spaces_and_digits_are_complete():
