@@ -228,7 +228,7 @@ def test_token_files_roll_and_memory_map(spark, awkward):
         assert all(tokens[int(o) - 1] == 1 for o in offsets[1:])
 
 
-@pytest.mark.parametrize("text", ["I'm  l'l\u00a0we'LL <|endoftext|>x", "e\u0301 \u0301e", "\x1c a\x85b", "don 't 're", "ΑΣ ΟΔΟΣ\tİ", "  "])
+@pytest.mark.parametrize("text", ["I'm  l'l\u00a0we'LL <|endoftext|>x", "e\u0301 \u0301e", "\x1c a\x85b", "don 't 're", "ΑΣ ΟΔΟΣ\tİ", "  ", "Plain, Words. T\u0308 a., b.. CAN'T x.y ab, ÀB."])
 def test_pieces_encode_like_whole_texts(text):
     whole = Tokenizer.from_file(WORD_BPE).encode(text, add_special_tokens=False).ids
     assert np.frombuffer(tokenfiles.Encoder(WORD_BPE).encode([text.encode()])[0], "<u2").tolist() == whole
