@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sieveline.functions.binding import let
+
 # Characters of a term under which it is filed; shorter terms are filed whole.
 GRAM = 4
 
@@ -18,10 +20,18 @@ def term_table(domain_skill: DataFrame, alias: DataFrame) -> DataFrame:
     return direct.unionByName(through).where("needle <> ''").distinct()
 
 
-def _grams(text: Column, size: int) -> Column:
-    """The distinct pieces of a text of a number of characters."""
-    places = F.sequence(F.lit(1), F.length(text) - size + 1)
-    return F.when(F.length(text) >= size, F.array_distinct(F.transform(places, lambda i: F.substring(text, i, size))))
+def _grams(text: Column, sizes: list[int]) -> Column:
+    """The distinct pieces of a text of the given numbers of characters; a piece is found by place, not by counting."""
+
+    def of(chars: Column) -> Column:
+        def pieces(size: int) -> Column:
+            places = F.sequence(F.lit(0), F.size(chars) - size)
+            joined = F.transform(places, lambda i: F.concat(*[F.get(chars, i + k) for k in range(size)]))
+            return F.when(F.size(chars) >= size, F.array_distinct(joined)).otherwise(F.array().cast("array<string>"))
+
+        return F.flatten(F.array(*[pieces(n) for n in sizes]))
+
+    return let(F.filter(F.split(text, ""), lambda c: c != ""), of)
 
 
 def skills_by_join(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "clean_text") -> DataFrame:
@@ -33,9 +43,11 @@ def skills_by_join(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text:
     """
     filed = terms.select("needle", "skill", F.substring("needle", 1, GRAM).alias("_gram"))
     lowered = docs.select(key, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_text"))
-    pieces = F.flatten(F.filter(F.array(*[_grams(F.col("_text"), n) for n in range(1, GRAM + 1)]), lambda g: g.isNotNull()))
+    # At most GRAM different lengths.
+    sizes = sorted(r[0] for r in filed.select(F.length("_gram")).distinct().collect())
     wanted = filed.select("_gram").distinct()
-    spread = lowered.select(key, F.explode(pieces).alias("_gram")).join(wanted, "_gram", "left_semi")
+    pieces = F.explode_outer(_grams(F.col("_text"), sizes or [GRAM])).alias("_gram")
+    spread = lowered.select(key, pieces).join(wanted, "_gram", "left_semi")
     candidates = spread.join(filed, "_gram").groupBy(key).agg(F.collect_set(F.struct("needle", "skill")).alias("_terms"))
     met = lowered.join(candidates, key, "left")
     found = F.filter("_terms", lambda t: F.contains(F.col("_text"), t["needle"]))
