@@ -195,19 +195,22 @@ def repeated_windows(
 
 
 def _contexts(texts, keys, copies, found, length, gram):
-    """Contexts of the wanted anchors of some texts, one per different context, and settled spans."""
+    """The contexts of the wanted anchors of some texts, each with the places where it stands."""
     widest = length - gram
+    split = [(s, min(s + PART - 1, widest)) for s in range(0, widest + 1, PART)]
     seen: dict[tuple[int, bytes, bytes], list] = {}
-    for text, key, n_copies, wanted in zip(texts, keys, copies, found):
-        for a in wanted:
-            pos, h = a["pos"], a["h"]
-            parts = [(s, min(s + PART - 1, widest)) for s in range(0, widest + 1, PART)] if a["hot"] else [(0, widest)]
+    for text, key, n_copies, wanted, (places, hashes) in zip(texts, keys, copies, found, anchors(texts, length, gram)):
+        is_hot = {a["h"]: a["hot"] for a in wanted}
+        for pos, h in zip(places.tolist(), hashes.tolist()):
+            if h not in is_hot:
+                continue
+            parts = split if is_hot[h] else [(0, widest)]
             for low, high in parts:
                 before, after = text[max(0, pos - high) : pos], text[pos : pos + length - low]
                 if len(before) < low or len(before) + len(after) < length:
                     continue
                 block = h
-                if a["hot"]:
+                if is_hot[h]:
                     shared = text[pos - low : pos - high + length]
                     block = xxhash.xxh64_intdigest(shared, seed=low) - (1 << 63)
                 seen.setdefault((block, after, before), []).append((key, pos, n_copies))
@@ -217,29 +220,32 @@ def _contexts(texts, keys, copies, found, length, gram):
 def find_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
     """The rows (doc_id, text, key) and, for those with repeated windows, (key, doc_id, spans)."""
     keyed = docs.withColumn("text", F.coalesce("text", F.lit("")))
-    keyed = keyed.withColumn("key", F.substring(F.unhex(F.sha2("text", 256)), 1, 16))
+    # A key that cannot be null keeps both joins on one exchange of the texts.
+    key = F.coalesce(F.substring(F.unhex(F.sha2("text", 256)), 1, 16), F.lit(bytearray()))
+    keyed = keyed.withColumn("key", key)
     long_enough = keyed.where(F.octet_length("text") >= length)
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in blocks(batch):
-                found = anchors(texts, length, gram)
+                found = [np.unique(h, return_counts=True) for _, h in anchors(texts, length, gram)]
                 longs = pa.list_(pa.int64())
                 columns = [part.column("doc_id"), part.column("key")]
                 columns += [pa.array([f[i] for f in found], longs) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "pos", "h"])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "h", "times"])
 
-    schema = f"doc_id {id_type}, key binary, pos array<bigint>, h array<bigint>"
+    schema = f"doc_id {id_type}, key binary, h array<bigint>, times array<bigint>"
     every = cut(long_enough.select("doc_id", "key", "text").mapInArrow(find_anchors, schema), "anchors")
     texts = every.groupBy("key").agg(
-        F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("pos").alias("pos"), F.first("h").alias("h")
+        F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("h").alias("h"), F.first("times").alias("times")
     )
     texts = cut(texts, "texts")
-    single = texts.select("key", "doc_id", "copies", F.explode(F.arrays_zip("pos", "h")).alias("a"))
-    single = single.select("key", "doc_id", "copies", "a.pos", "a.h")
-    repeated = single.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", (F.col("n") > HOT).alias("hot"))
-    wanted = single.join(repeated, "h").groupBy("key", "doc_id", "copies").agg(F.collect_list(F.struct("pos", "h", "hot")).alias("found"))
+    # One row per text and anchor string, however often the text repeats it.
+    single = texts.select("key", F.explode(F.arrays_zip("h", "times")).alias("a")).select("key", "a.h", "a.times")
+    repeated = single.groupBy("h").agg(F.sum("times").alias("n")).where("n > 1").select("h", (F.col("n") > HOT).alias("hot"))
+    wanted = single.select("key", "h").join(repeated, "h").groupBy("key").agg(F.collect_list(F.struct("h", "hot")).alias("found"))
+    wanted = wanted.join(texts.select("key", "doc_id", "copies"), "key")
 
     def cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, rank = TaskContext.get().partitionId(), 0
