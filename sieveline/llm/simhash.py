@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from sieveline.llm.common import cut, extended, id_and_text, utf8
 from sieveline.llm.components import connected_components
+from sieveline.operators.joins import partitions_of
 
 DISTANCE = 4
 SEED = 42
@@ -160,7 +161,10 @@ def links(fingerprints: DataFrame, distance: int = DISTANCE) -> DataFrame:
         pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["u", "v"])
 
-    indexed = fingerprints.select("_fp", F.explode(variant_keys(F.col("_fp"))).alias("key"))
+    # Each row becomes 64, so rows are dealt evenly before, however few bytes they are. A deal by the
+    # fingerprint would be taken for the one that its grouping already has.
+    even = fingerprints.select("_fp").repartition(partitions_of(fingerprints))
+    indexed = even.select("_fp", F.explode(variant_keys(F.col("_fp"))).alias("key"))
     dealt = indexed.repartition("key").sortWithinPartitions("key", "_fp")
     return dealt.mapInArrow(run, "u long, v long").distinct()
 
