@@ -36,8 +36,8 @@ from sieveline.llm.common import blocks, cut, utf8
 from sieveline.session import shared_folder
 
 FILE_BYTES = 256 * 1024 * 1024
-#: Shards per shuffle partition, and sampled ids per shard.
-SHARDS, SAMPLE = 3, 20
+#: Shards per shuffle partition, payload bytes of a shard at most on average, and sampled ids per shard.
+SHARDS, SHARD_BYTES, SAMPLE = 3, 32 * 1024 * 1024, 20
 DATE = "2020-01-01T00:00:00Z"
 LEVEL = 6
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -96,12 +96,11 @@ def revisits(rows: DataFrame, min_bytes: int) -> DataFrame:
     return large.select("page_id", "digest").distinct().join(first, "digest").select("page_id", "digest", "refers_to")
 
 
-def shard_borders(rows: DataFrame, shards: int) -> list[int]:
-    """Ids that cut the rows into about equal shards, from a sample chosen by hash."""
-    total = rows.count()
+def shard_borders(rows: DataFrame, total: int, shards: int) -> list[int]:
+    """Ids that cut the ``total`` rows into about equal shards, from a sample chosen by hash."""
     rate = min(1.0, SAMPLE * shards / max(1, total))
     chosen = F.pmod(F.xxhash64("page_id"), F.lit(1 << 40)) < int(rate * (1 << 40))
-    # About SAMPLE ids per shard, as many as the partition setting asks for, come to the driver.
+    # About SAMPLE ids per shard come to the driver.
     ids = sorted(r[0] for r in rows.where(F.col("page_id").isNotNull() & chosen).select("page_id").distinct().collect())
     return [ids[len(ids) * k // shards] for k in range(1, shards)] if ids else []
 
@@ -133,12 +132,14 @@ def write_archives(
     spark = pages.sparkSession
     store, path = pafs.FileSystem.from_uri(folder)
     store.create_dir(path, recursive=True)
-    n_shards = shards or SHARDS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("html"))
     rows = rows.select("page_id", F.sha1("html").alias("digest"), "url", "html")
     narrow = cut(rows.select("page_id", "digest", F.octet_length("html").cast("long").alias("size")), "payloads")
-    borders = np.array(shard_borders(narrow, n_shards), np.int64)
+    total, size = narrow.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    least = SHARDS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_shards = shards or max(least, -(-size // SHARD_BYTES))
+    borders = np.array(shard_borders(narrow, total, n_shards), np.int64)
     marks = revisits(narrow, min_bytes).select(
         "page_id", "digest", F.lit(False).alias("page"), "refers_to", F.lit(None).cast("string").alias("url"), F.lit("").alias("html")
     )
