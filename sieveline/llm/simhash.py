@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from sieveline.llm.common import cut, extended, id_and_text, utf8
 from sieveline.llm.components import connected_components
+from sieveline.llm.neardup import drop_near_duplicates  # noqa: F401  the stage of the pipeline
 from sieveline.operators.joins import partitions_of
 
 DISTANCE = 4
@@ -188,22 +189,3 @@ def near_duplicates(
     return narrow.join(groups, "_fp").select(
         "doc_id", F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id"
     )
-
-
-def drop_near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, distance: int = DISTANCE
-) -> DataFrame:
-    """One row of each group with all its columns: that of the least id.
-
-    Rows with an equal id count as one document. A group without any id keeps one row, that of its
-    least fingerprint.
-    """
-    narrow = cut(with_fingerprint(id_and_text(docs, id_col, text_col), "text", words_per_shingle, True), "simhash")
-    groups = cut(fingerprint_groups(narrow, distance), "simhash-groups")
-    first = groups.where("component_id is not null").select(F.col("component_id").alias("_keep")).distinct()
-    named = docs.where(F.col(id_col).isNotNull())
-    kept = named.join(first, named[id_col] == first["_keep"], "left_semi").dropDuplicates([id_col])
-    unnamed = groups.where("component_id is null and _fp = _root").select(F.col("_fp").alias("_keep"))
-    bare = with_fingerprint(docs.where(F.col(id_col).isNull()), text_col, words_per_shingle)
-    bare = bare.join(unnamed, bare["_fp"] == unnamed["_keep"], "left_semi").dropDuplicates(["_fp"]).drop("_fp")
-    return kept.unionByName(bare)

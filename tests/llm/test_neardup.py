@@ -1,0 +1,71 @@
+"""The near-duplicate stage against brute-force Jaccard similarity of five-word shingles."""
+
+import random
+
+import pytest
+
+from sieveline.llm import neardup
+from sieveline.llm.queries import table
+from tests.llm.conftest import awkward_rows, prose
+
+
+def shingles_of(text, k=5):
+    w = (text or "").encode().lower().split()
+    k = min(k, len(w))
+    return frozenset(b" ".join(w[i : i + k]) for i in range(len(w) - k + 1)) if w else frozenset()
+
+
+def groups_of(texts, similarity=0.8):
+    """Sets of places that links of the similarity connect, by comparing all pairs."""
+    sets = [shingles_of(t) for t in texts]
+    group = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if group[i] != group[j] and (a == b or len(a & b) >= similarity * len(a | b)):
+                group = [group[i] if g == group[j] else g for g in group]
+    return group
+
+
+def kept_of(rows):
+    """The (id, text) that stay: those of the least id of each group."""
+    groups = groups_of([t for _, t in rows])
+    return {g: min((i is None, i) for (i, _), h in zip(rows, groups) if h == g)[1] for g in set(groups)}
+
+
+def test_given_documents(spark, data):
+    docs = table(spark, data, "documents")
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    found = neardup.drop_near_duplicates(docs)
+    assert found.columns == docs.columns
+    assert sorted(r["doc_id"] for r in found.collect()) == sorted(kept_of(rows).values())
+
+
+def test_awkward_rows(awkward):
+    """Distinct texts under one id both stay; the choice does not depend on the partitions."""
+    rows = [(i, t) for i, t, *_ in awkward_rows()] + [(12, "a wholly different short text"), (1, prose(77, 40))]
+    more = awkward.limit(1).select("*").collect()[0].asDict()
+    added = awkward.sparkSession.createDataFrame([{**more, "doc_id": i, "text": t} for i, t in rows[-2:]], awkward.schema)
+    docs = awkward.unionByName(added)
+    ids = lambda df: sorted((r["doc_id"] is None, r["doc_id"], r["text"] or "") for r in df.collect())
+    found = ids(neardup.drop_near_duplicates(docs.repartition(5)))
+    assert [x[1] for x in found] == sorted(kept_of(rows).values())
+    assert {t for _, t in rows[-2:]} | {"other text"} <= {x[2] for x in found}
+    assert found == ids(neardup.drop_near_duplicates(docs.repartition(1)))
+
+
+@pytest.mark.parametrize("copies", [2, 40])
+def test_copies_with_changes(spark, copies):
+    """Pairs and larger groups (crowded keys) of similarity 0.8 to 1, and some below."""
+    rng, rows = random.Random(copies), []
+    for n in range(240 // copies):
+        base = prose(1000 + n, 200).split()
+        for _ in range(copies):
+            w = list(base)
+            for at in rng.sample(range(len(w)), rng.randint(0, 6)):
+                w[at] = "x" + str(rng.random())
+            rows.append((len(rows), " ".join(w)))
+    expected = kept_of(rows).values()
+    assert len(expected) < len(rows)
+    found = neardup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in found.collect()) == sorted(expected)
