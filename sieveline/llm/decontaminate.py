@@ -6,7 +6,7 @@ words of its texts by the vocabulary of the windows (other words get none), hash
 numbers, looks the hashes up in the sorted set, and verifies each hit number by number.
 
 The set is broadcast in blocks of at most ``block_words`` item words, so its size is bounded however
-large the benchmark is; each block scans all rows and the hits of the blocks are united.
+large the benchmark is; rows go through the blocks one after the other and carry their hits along.
 
 Null and empty texts and items have no words and no hits. Item ids may repeat: rows with one id
 are one item. Rows with a null item_id take part as the item ``null``. Equal documents are scanned
@@ -27,6 +27,8 @@ from sieveline.llm.common import blocks, extended, id_and_text
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Item words in one broadcast block (with ten-word windows about 100 bytes each).
 BLOCK_WORDS = 2_000_000
+#: What a scan finds in a row.
+FOUND = {"n_words": T.LongType(), "starts": T.ArrayType(T.LongType()), "stops": T.ArrayType(T.LongType()), "items": T.ArrayType(T.StringType())}
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -114,30 +116,31 @@ def _hit_runs(hit: np.ndarray) -> tuple[list[int], list[int]]:
     return edges[::2].tolist(), edges[1::2].tolist()
 
 
-def _scan_block(docs: DataFrame, windows: WindowSet) -> DataFrame:
-    """Per row: n_words, runs of hit words, items."""
+def _scan_block(docs: DataFrame, windows: WindowSet, last: bool) -> DataFrame:
+    """Per row: n_words, runs of hit words, items, united with what earlier blocks found; the last drops the text."""
     shared = docs.sparkSession.sparkContext.broadcast(windows)
+    schema = extended(docs.select("doc_id", *(() if last else ("text",))).schema, **FOUND)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in blocks(batch):
+                earlier = [part.column(c).to_pylist() if c in part.schema.names else [[]] * len(texts) for c in ("starts", "stops", "items")]
                 n_words, starts, stops, items = [], [], [], []
-                for text in texts:
+                for text, old_starts, old_stops, old_items in zip(texts, *earlier):
                     words, hit, found = scan_text(shared.value, text)
+                    for a, b in zip(old_starts, old_stops):
+                        hit[a:b] = True
                     a, b = _hit_runs(hit)
                     n_words.append(len(words))
                     starts.append(a)
                     stops.append(b)
-                    items.append(found)
+                    items.append(sorted({*old_items, *found}))
                 ints, strings = pa.list_(pa.int64()), pa.list_(pa.string())
                 columns = [pa.array(n_words, pa.int64()), pa.array(starts, ints), pa.array(stops, ints), pa.array(items, strings)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), *columns], ["doc_id", "n_words", "starts", "stops", "items"]
-                )
+                kept = ["doc_id"] if last else ["doc_id", "text"]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *columns], [*kept, *FOUND])
 
-    longs = T.ArrayType(T.LongType())
-    more = {"n_words": T.LongType(), "starts": longs, "stops": longs, "items": T.ArrayType(T.StringType())}
-    return docs.mapInArrow(run, extended(docs.select("doc_id").schema, **more))
+    return docs.mapInArrow(run, schema)
 
 
 def contamination(
@@ -146,23 +149,16 @@ def contamination(
 ) -> DataFrame:
     """Per row: doc_id, n_words, n_hit, n_items, items (sorted array), items_sha256, contaminated.
 
-    With more than one block, the rows of a doc_id are united over the blocks; doc_id must then be
-    unique.
+    Every row is kept as it is, whatever its doc_id, and passes from block to block with its hits.
     """
-    narrow = id_and_text(docs, id_col, text_col)
-    scans = [_scan_block(narrow, WindowSet(block, n)) for block in item_blocks(items, item_col, "text", block_words)]
-    if len(scans) == 1:
-        scan = scans[0].withColumn("n_hit", F.expr("aggregate(arrays_zip(starts, stops), 0L, (s, x) -> s + x.stops - x.starts)"))
-    else:
-        scan = scans[0]
-        for more in scans[1:]:
-            scan = scan.unionByName(more)
-        words = "flatten(transform(arrays_zip(starts, stops), x -> sequence(x.starts, x.stops - 1)))"
-        scan = scan.groupBy("doc_id").agg(
-            F.max("n_words").alias("n_words"),
-            F.size(F.array_distinct(F.flatten(F.collect_list(F.expr(words))))).cast("long").alias("n_hit"),
-            F.flatten(F.collect_list("items")).alias("items"),
-        )
+    scan = id_and_text(docs, id_col, text_col)
+    rest = item_blocks(items, item_col, "text", block_words)
+    block = next(rest)
+    while block is not None:
+        after = next(rest, None)
+        scan = _scan_block(scan, WindowSet(block, n), after is None)
+        block = after
+    scan = scan.withColumn("n_hit", F.expr("aggregate(arrays_zip(starts, stops), 0L, (s, x) -> s + x.stops - x.starts)"))
     scan = scan.withColumn("items", F.array_sort(F.array_distinct("items")))
     return scan.select(
         "doc_id",
