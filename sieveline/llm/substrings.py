@@ -17,8 +17,10 @@ before its anchor is then repeated if another suffix lies in the same interval o
 
 Equal texts take part once and are repeated as a whole if they have ``LENGTH`` bytes. Equal contexts of
 a shard are one suffix. Anchor strings that occur more than ``HOT`` times are split by where the
-window starts and by the bytes that all such windows share, so no task gathers a frequent passage
-unless its surroundings are frequent too. Null texts are empty, ids may be null or repeated, and
+window starts and by the bytes that all such windows share. Where these bytes stand in more than
+``HOT`` texts too, the part is split again to single windows: the context is then the window itself,
+whatever surrounds it, and a task sends an equal one at most twice (unless it has met ``MET`` others
+in between). Null texts are empty, ids may be null or repeated, and
 other columns are ignored.
 """
 
@@ -37,6 +39,8 @@ from sieveline.llm.common import blocks, cut, id_and_text
 LENGTH, GRAM = 400, 160
 #: Occurrences in different texts above which an anchor string is split, and window starts per part.
 HOT, PART = 2_000, 48
+#: Single windows that a task remembers.
+MET = 200_000
 #: Bytes whose hashes are laid out at once; contexts merged at once (or one larger group).
 LAID_OUT, MERGED = 1 << 19, 16_384
 _BASE, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -194,13 +198,27 @@ def repeated_windows(
     yield rows, first, last
 
 
-def _contexts(texts, keys, copies, found, length, gram):
-    """The contexts of the wanted anchors of some texts, each with the places where it stands."""
+def _parts(length, gram):
     widest = length - gram
-    split = [(s, min(s + PART - 1, widest)) for s in range(0, widest + 1, PART)]
-    seen: dict[tuple[int, bytes, bytes], list] = {}
-    for text, key, n_copies, wanted, (places, hashes) in zip(texts, keys, copies, found, anchors(texts, length, gram)):
-        is_hot = {a["h"]: a["hot"] for a in wanted}
+    return [(s, min(s + PART - 1, widest)) for s in range(0, widest + 1, PART)]
+
+
+def _shared_block(text, pos, low, high, length):
+    """The block of a part of a hot anchor: the bytes that all its windows share; None where no window fits."""
+    if pos < low or max(0, pos - high) + length > len(text):
+        return None
+    return xxhash.xxh64_intdigest(text[pos - low : pos - high + length], seed=low) - (1 << 63)
+
+
+def _contexts(texts, keys, copies, found, hot_parts, length, gram):
+    """The contexts of the wanted anchors of some texts, each with the places where it stands.
+
+    A context is (block, after, before, single); ``single`` ones hold one window.
+    """
+    widest, split = length - gram, _parts(length, gram)
+    seen: dict[tuple[int, bytes, bytes, bool], list] = {}
+    for text, key, n_copies, wanted, hot, (places, hashes) in zip(texts, keys, copies, found, hot_parts, anchors(texts, length, gram)):
+        is_hot, hot = {a["h"]: a["hot"] for a in wanted}, set(hot or ())
         for pos, h in zip(places.tolist(), hashes.tolist()):
             if h not in is_hot:
                 continue
@@ -211,12 +229,25 @@ def _contexts(texts, keys, copies, found, length, gram):
                     continue
                 block = h
                 if is_hot[h]:
-                    shared = text[pos - low : pos - high + length]
-                    block = xxhash.xxh64_intdigest(shared, seed=low) - (1 << 63)
-                seen.setdefault((block, after, before), []).append((key, pos, n_copies))
+                    block = _shared_block(text, pos, low, high, length)
+                if is_hot[h] and block in hot:
+                    for b in range(low, high + 1):
+                        window = text[pos - b : pos - b + length] if pos >= b else b""
+                        if len(window) == length:
+                            block = xxhash.xxh64_intdigest(window, seed=PART + b) - (1 << 63)
+                            seen.setdefault((block, window[b:], window[:b], True), []).append((key, pos, n_copies))
+                    continue
+                seen.setdefault((block, after, before, False), []).append((key, pos, n_copies))
     return seen
 
 
+def _shared_blocks(text, found, places, hashes, length, gram):
+    """The blocks of all parts of the hot anchors of a text."""
+    hot = {a["h"] for a in found if a["hot"]}
+    places = [p for p, h in zip(places.tolist(), hashes.tolist()) if h in hot]
+    return {_shared_block(text, p, low, high, length) for p in places for low, high in _parts(length, gram)} - {None}
+
+
 def find_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
     """The rows (doc_id, text, key) and, for those with repeated windows, (key, doc_id, spans)."""
     keyed = docs.withColumn("text", F.coalesce("text", F.lit("")))
@@ -247,22 +278,39 @@ def find_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple
     wanted = single.select("key", "h").join(repeated, "h").groupBy("key").agg(F.collect_list(F.struct("h", "hot")).alias("found"))
     wanted = wanted.join(texts.select("key", "doc_id", "copies"), "key")
 
+    def share_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in blocks(batch):
+                places = anchors(texts, length, gram)
+                found = [sorted(_shared_blocks(t, f, *p, length, gram)) for t, f, p in zip(texts, part.column("found").to_pylist(), places)]
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(found, pa.list_(pa.int64()))], ["key", "parts"])
+
     def cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, rank = TaskContext.get().partitionId(), 0
+        met: dict[bytes, int] = {}  # single windows: 1 sent, 2 sent as repeated
         names = [c.split()[0] for c in CONTEXT.split(", ")]
         types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
         for batch in batches:
             for part, texts in blocks(batch, size=1 << 20):
-                columns = [part.column(c).to_pylist() for c in ("key", "copies", "found")]
+                columns = [part.column(c).to_pylist() for c in ("key", "copies", "found", "hot_parts")]
                 seen = _contexts(texts, *columns, length, gram)
                 rows = []
-                for block, after, before in sorted(seen):
-                    held = seen[block, after, before]
+                for block, after, before, single in sorted(seen):
+                    held = seen[block, after, before, single]
                     key, pos, copies = held[0]
                     weight = 1 if len(held) == 1 and copies == 1 else 2
+                    times = 0
+                    if single:
+                        name = xxhash.xxh3_128_digest(before + after, seed=len(before))
+                        times = met.get(name, 0)
+                        weight = 2 if times else weight
+                        if len(met) >= MET:
+                            met.clear()
+                        met[name] = weight
                     own = key if weight == 1 else None
-                    rows.append((block, shard, rank, before, after, weight, own, pos, None))
-                    rank += 1
+                    if times < 2:
+                        rows.append((block, shard, rank, before, after, weight, own, pos, None))
+                        rank += 1
                     if weight == 2:
                         rows += [
                             (xxhash.xxh64_intdigest(k, p) - (1 << 63), shard, 0, None, None, 0, k, p - len(before), p + len(after))
@@ -304,8 +352,17 @@ def find_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple
         yield from merged(pending)
 
     rows = keyed.select("key", "doc_id", "text")
+    # The parts of hot anchors whose shared bytes stand in many texts.
+    wanted = cut(wanted, "wanted")
+    split = cut(wanted.where(F.exists("found", lambda a: a["hot"])), "split")
+    same_row = (rows["key"] == split["key"]) & rows["doc_id"].eqNullSafe(split["doc_id"])
+    parts = rows.join(split, same_row).select(rows["key"], rows["text"], "found").mapInArrow(share_parts, "key binary, parts array<bigint>")
+    parts = cut(parts.select("key", F.explode("parts").alias("part")), "parts").distinct()
+    hot = parts.groupBy("part").count().where(F.col("count") > HOT).select("part")
+    hot = cut(parts.join(hot, "part").groupBy("key").agg(F.collect_list("part").alias("hot_parts")), "hot-parts")
+    wanted = wanted.join(hot, "key", "left")
     same_row = (rows["key"] == wanted["key"]) & rows["doc_id"].eqNullSafe(wanted["doc_id"])
-    contexts = rows.join(wanted, same_row).select(rows["key"], rows["text"], "copies", "found").mapInArrow(cut_contexts, CONTEXT)
+    contexts = rows.join(wanted, same_row).select(rows["key"], rows["text"], "copies", "found", "hot_parts").mapInArrow(cut_contexts, CONTEXT)
     merged = contexts.repartition("block").sortWithinPartitions("block", "shard", "rank").mapInArrow(
         merge, "key binary, start long, stop long"
     )
