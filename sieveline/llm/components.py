@@ -26,7 +26,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """node, root (the least node reachable) for each node of the links (u, v), u > v."""
+    """node, root (the least node reachable) for each node of the links (u, v), u > v, but the roots themselves."""
     state = cut(edges.select("u", "v"), "links")
     before = None
     while True:

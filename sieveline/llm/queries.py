@@ -4,7 +4,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import bytecnn, decontaminate, mixing, rulelist, simhash, substrings, tokencount, tokenfiles, urlfilter, warc
+from sieveline.llm import (
+    bytecnn,
+    decontaminate,
+    jaccard,
+    mixing,
+    rulelist,
+    runs,
+    search,
+    simhash,
+    substrings,
+    tokencount,
+    tokenfiles,
+    urlfilter,
+    warc,
+)
 
 QUERIES = {}
 ORACLE = {}
@@ -159,3 +173,66 @@ def op10_byte_cnn(spark, sf_dir):
         "score",
         (F.col("score") >= bytecnn.THRESHOLD).cast("int").alias("predicted"),
     )
+
+
+@query
+def op11_jaccard_join(spark, sf_dir):
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLE["op11_jaccard_join"] = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents
+), u AS (
+  SELECT doc_id, len(w) AS n, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w
+), v AS (
+  SELECT doc_id, n, i, concat_ws(' ', x, lead(x, 1) OVER p, lead(x, 2) OVER p, lead(x, 3) OVER p, lead(x, 4) OVER p) AS x
+  FROM u WINDOW p AS (PARTITION BY doc_id ORDER BY i)
+), e AS (
+  SELECT DISTINCT doc_id, md5_number(x) AS x FROM v WHERE i <= greatest(1, n - 4)
+), s AS (
+  SELECT w.doc_id, CAST(count(e.x) AS BIGINT) AS n FROM w LEFT JOIN e ON e.doc_id = w.doc_id GROUP BY w.doc_id
+), o AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL
+), l AS (
+  SELECT a, b FROM o JOIN s p ON p.doc_id = a JOIN s q ON q.doc_id = b WHERE 100 * o.n >= 80 * (p.n + q.n - o.n)
+), r AS (
+  SELECT doc_id, doc_id AS least FROM s UNION SELECT l.b, r.least FROM r JOIN l ON l.a = r.doc_id
+)
+SELECT s.doc_id, s.n AS n_shingles, min(r.least) AS component_id FROM s JOIN r ON r.doc_id = s.doc_id GROUP BY ALL
+"""
+
+
+@query
+def op12_periodic_runs(spark, sf_dir):
+    return runs.run_digests(runs.periodic_runs(runs.with_planted_runs(table(spark, sf_dir, "documents"))))
+
+
+@query
+def op13_ranked_search(spark, sf_dir):
+    return search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+ORACLE["op13_ranked_search"] = rf"""
+WITH q AS (
+  SELECT DISTINCT item_id, unnest({_TERMS}) AS t FROM benchmark
+), d AS (
+  SELECT doc_id, {_TERMS} AS w FROM documents
+), c AS (
+  SELECT count(*) FILTER (len(w) > 0) AS docs, CAST(sum(len(w)) AS BIGINT) AS terms FROM d
+), p AS (
+  SELECT doc_id, CAST(n AS BIGINT) AS n, t, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM d) GROUP BY ALL
+), f AS (
+  SELECT t, count(*) AS df FROM p GROUP BY t
+), i AS (
+  SELECT doc_id, p.t, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT)
+    * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms))) AS impact
+  FROM p JOIN f ON f.t = p.t CROSS JOIN c
+), b AS (
+  SELECT item_id, doc_id, CAST(sum(impact) AS BIGINT) AS score FROM q JOIN i ON i.t = q.t GROUP BY ALL HAVING sum(impact) > 0
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM b QUALIFY rank <= 10
+"""

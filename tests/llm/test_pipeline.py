@@ -77,7 +77,7 @@ def test_clean_documents_stay(spark, data):
 def test_queries_are_registered():
     names = set(entry_points.queries())
     assert set(QUERIES) <= names and "pipeline" in names
-    assert {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 14)}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -91,7 +91,7 @@ def test_query_equals_its_sql(spark, data, name):
     if sql is None:
         return
     connection = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         connection.sql(f"create view {t} as select * from '{data}/{t}.parquet'")
     expected = connection.sql(sql).to_arrow_table()
     columns = sorted(rows.column_names)
