@@ -42,7 +42,7 @@ from sieveline.operators.joins import partitions_of, skew_join
 
 WORDS, PERCENT = 5, 80
 #: c of the narrowing is one shingle and one in so many of the set.
-EXTRA = 20
+EXTRA = 7
 #: Prefix entries that a task gathers before it sends them.
 GATHERED = 4_000_000
 CELL_SHINGLES = 1 << 15
@@ -117,47 +117,55 @@ def rarest_length(size: int, percent: int) -> int:
 # ---- narrowing --------------------------------------------------------------------------------
 
 
+ENTRIES = ["doc_id", "th", "node", "n", "part", "hashes", "nodes", "counts"]
+
+
+def _dealt(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Places of the keys by partition, in order of the keys."""
+    at = (keys % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((keys, at))
+    edges = np.searchsorted(at[order], np.arange(parts + 1))
+    return ((p, order[a:b]) for p, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())) if a < b)
+
+
+def _packed(id_type: pa.DataType, rows: list[tuple]) -> pa.RecordBatch:
+    """Rows (part, hashes, nodes, counts) without a document."""
+    none = [pa.nulls(len(rows), t) for t in (id_type, pa.int64(), pa.int64(), pa.int64())]
+    types = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([*none, *(pa.array([r[i] for r in rows], t) for i, t in enumerate(types))], ENTRIES)
+
+
+def _packed_counts(nodes: np.ndarray, counts: np.ndarray, parts: int) -> list[tuple]:
+    dealt = _dealt(nodes.view(np.uint64), parts)
+    return [(p, None, nodes[at].tobytes(), counts[at].astype("<i8").tobytes()) for p, at in dealt]
+
+
 def prefix_entries(docs: DataFrame, words_per_shingle: int, percent: int, parts: int) -> DataFrame:
-    """Rows of two kinds: (doc_id, th, node, n) of each text, and packed prefix shingles for a partition.
+    """Rows of three kinds: a document (doc_id, th, node, n), prefix shingles and counts packed for a partition.
 
-    An entry is a shingle with the only set of the task that has it, or with the number 0 if there
-    are several; how many prefix shingles a set shares inside its task comes as ``shared``.
+    Prefix shingles go by their hash, each with the only set of the task that has it, or with the
+    number 0 if there are several; of the hash, 32 bits are sent, which can only make a shingle look
+    shared. How many shingles a set shares inside its task goes by the set.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "th", "node", "n", "shared", "part", "hashes", "nodes"]
 
     def send(id_type: pa.DataType, prefixes: dict[int, np.ndarray]) -> pa.RecordBatch:
-        nodes = np.fromiter(prefixes, np.int64, len(prefixes))
-        lengths = np.array([p.size for p in prefixes.values()], np.int64)
-        hashes = np.concatenate([*prefixes.values(), np.empty(0, np.uint64)])
-        owner = np.repeat(nodes, lengths)
+        owner = np.repeat(np.fromiter(prefixes, np.int64, len(prefixes)), [p.size for p in prefixes.values()])
+        hashes = np.concatenate(list(prefixes.values()))
         order = np.argsort(hashes, kind="stable")
         hashes, owner = hashes[order], owner[order]
-        first = np.r_[True, hashes[1:] != hashes[:-1]] if hashes.size else np.zeros(0, bool)
-        alone = first & np.r_[first[1:], True] if hashes.size else first
-        met, shared = np.unique(owner[~alone], return_counts=True)
+        first = np.r_[True, hashes[1:] != hashes[:-1]]
+        alone = first & np.r_[first[1:], True]
+        rows = _packed_counts(*np.unique(owner[~alone], return_counts=True), parts)
         hashes, owner = hashes[first], np.where(alone, owner, 0)[first]
-        part = (hashes % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        edges = np.searchsorted(part[order], np.arange(parts + 1))
-        packed = [(p, order[a:b]) for p, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if a < b]
-        k, m = len(met), len(packed)
-        none = lambda t, size: pa.nulls(size, t)
-        columns = [
-            none(id_type, k + m),
-            none(pa.int64(), k + m),
-            pa.array([*met.tolist(), *[None] * m], pa.int64()),
-            none(pa.int64(), k + m),
-            pa.array([*shared.tolist(), *[None] * m], pa.int64()),
-            pa.array([*[None] * k, *[p for p, _ in packed]], pa.int32()),
-            pa.array([*[None] * k, *[hashes[at].tobytes() for _, at in packed]], pa.binary()),
-            pa.array([*[None] * k, *[owner[at].tobytes() for _, at in packed]], pa.binary()),
-        ]
-        return pa.RecordBatch.from_arrays(columns, names)
+        for p, at in _dealt(hashes, parts):
+            at = at[np.argsort(owner[at], kind="stable")]  # equal numbers side by side take little room
+            rows.append((p, (hashes[at] >> np.uint64(24)).astype("<u4").tobytes(), owner[at].tobytes(), None))
+        return _packed(id_type, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prefixes: dict[int, np.ndarray] = {}
-        id_type, held = pa.null(), 0
+        id_type, held, seen = pa.null(), 0, 0
         for batch in batches:
             id_type = batch.schema.field("doc_id").type
             for piece, texts in blocks(batch):
@@ -170,61 +178,78 @@ def prefix_entries(docs: DataFrame, words_per_shingle: int, percent: int, parts:
                     if node is not None and node not in prefixes:
                         prefixes[node] = s[: prefix_length(s.size, percent)].copy()
                         held += prefixes[node].size
-                empty = [pa.nulls(len(texts), t) for t in (pa.int64(), pa.int32(), pa.binary(), pa.binary())]
-                columns = [piece.column("doc_id"), piece.column("th"), pa.array(nodes, pa.int64()), pa.array(counts, pa.int64())]
-                yield pa.RecordBatch.from_arrays([*columns, *empty], names)
+                n = len(texts)
+                turn = pa.array((np.arange(seen, seen + n) % parts).astype(np.int32))
+                seen += n
+                columns = [piece.column("doc_id"), piece.column("th"), pa.array(nodes, pa.int64()), pa.array(counts, pa.int64()), turn]
+                yield pa.RecordBatch.from_arrays([*columns, *[pa.nulls(n, pa.binary())] * 3], ENTRIES)
                 if held >= GATHERED:
                     yield send(id_type, prefixes)
                     prefixes, held = {}, 0
         if prefixes:
             yield send(id_type, prefixes)
 
-    schema = f"doc_id {kind}, th long, node long, n long, shared long, part int, hashes binary, nodes binary"
+    schema = f"doc_id {kind}, th long, node long, n long, part int, hashes binary, nodes binary, counts binary"
     return docs.mapInArrow(run, schema)
 
 
-def shared_counts(entries: DataFrame, parts: int) -> DataFrame:
-    """node, shared: prefix shingles that it has in common with sets of other tasks, from packed entries."""
+def settled_entries(entries: DataFrame, parts: int) -> DataFrame:
+    """The same rows with counts in place of the packed shingles: of those that sets of several tasks have."""
 
-    def settle(hashes: list[np.ndarray], nodes: list[np.ndarray]) -> pa.RecordBatch:
+    def settle(hashes: list[np.ndarray], nodes: list[np.ndarray]) -> list[tuple]:
         h, owner = np.concatenate(hashes), np.concatenate(nodes)
         order = np.lexsort((owner, h))
         h, owner = h[order], owner[order]
         new = np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])]  # a set in several tasks is one
-        h, owner = h[new], owner[new]
+        h, owner, several = h[new], owner[new], owner[new] == 0
         first = np.r_[True, h[1:] != h[:-1]]
         alone = first & np.r_[first[1:], True]
-        met, counts = np.unique(owner[~alone & (owner != 0)], return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(met), pa.array(counts)], ["node", "shared"])
+        return _packed_counts(*np.unique(owner[~alone & ~several], return_counts=True), parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, hashes, nodes = None, [], []
+        id_type, part, hashes, nodes = pa.null(), None, [], []
         for batch in batches:
-            for p, h, n in zip(batch.column("part").to_pylist(), batch.column("hashes").to_pylist(), batch.column("nodes").to_pylist()):
+            id_type = batch.schema.field("doc_id").type
+            packed = batch.column("hashes").is_valid()
+            yield batch.filter(packed.to_numpy(zero_copy_only=False) == 0)
+            some = batch.filter(packed)
+            for p, h, n in zip(*(some.column(c).to_pylist() for c in ("part", "hashes", "nodes"))):
                 if p != part and hashes:
-                    yield settle(hashes, nodes)
+                    yield _packed(id_type, settle(hashes, nodes))
                     hashes, nodes = [], []
                 part = p
-                hashes.append(np.frombuffer(h, np.uint64))
+                hashes.append(np.frombuffer(h, "<u4"))
                 nodes.append(np.frombuffer(n, np.int64))
         if hashes:
-            yield settle(hashes, nodes)
+            yield _packed(id_type, settle(hashes, nodes))
+
+    return entries.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, entries.schema)
+
+
+def shared_counts(found: DataFrame, parts: int) -> DataFrame:
+    """node, shared: prefix shingles of each set that others have too, from packed counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for batch in batches:
+            nodes += [np.frombuffer(x, np.int64) for x in batch.column("nodes").to_pylist()]
+            counts += [np.frombuffer(x, "<i8") for x in batch.column("counts").to_pylist()]
+        names, at = np.unique(np.concatenate(nodes), return_inverse=True)
+        sums = np.bincount(at, np.concatenate(counts), names.size).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(sums)], ["node", "shared"])
 
-    dealt = entries.select("part", "hashes", "nodes").repartition(parts, "part").sortWithinPartitions("part")
-    return dealt.mapInArrow(run, "node long, shared long")
+    packed = found.where("counts is not null").select("part", "nodes", "counts")
+    return packed.repartition(parts, "part").mapInArrow(run, "node long, shared long")
 
 
 def narrowed(found: DataFrame, nodes: DataFrame, percent: int, parts: int) -> DataFrame:
     """The nodes (node, n, th) that may have a partner."""
-    inside = found.where("shared is not null").select("node", "shared")
-    across = shared_counts(found.where("part is not null"), parts)
-    counts = inside.unionByName(across).groupBy("node").agg(F.sum("shared").alias("shared"))
     size = F.col("n")
     least = lambda n: F.ceil(F.lit(percent) * n / 100)
     extra = lambda n: 1 + F.floor(n / EXTRA)
     prefix = F.least(size, size - least(size) + extra(size))
     rarest = prefix - extra(least(size)) + 1
-    return nodes.join(counts, "node").where(F.col("shared") > prefix - rarest).select("node", "n", "th")
+    return nodes.join(shared_counts(found, parts), "node").where(F.col("shared") > prefix - rarest).select("node", "n", "th")
 
 
 # ---- neighbourhoods ---------------------------------------------------------------------------
@@ -486,7 +511,7 @@ def jaccard_components(
     parts = partitions_of(docs)
     texts = id_and_text(docs, id_col, text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.withColumn("th", F.xxhash64("text"))
-    found = cut(prefix_entries(texts, words_per_shingle, percent, parts), "prefixes")
+    found = cut(settled_entries(prefix_entries(texts, words_per_shingle, percent, parts), parts), "prefixes")
     rows = found.where("n is not null").select("doc_id", "th", "node", "n")
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("th").alias("th"), F.first("n").alias("n"))
     nodes = cut(nodes, "shingle-nodes")

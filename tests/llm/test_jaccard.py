@@ -87,7 +87,7 @@ def test_search_finds_all_pairs(monkeypatch, percent, heaped):
         base = np.unique(np.r_[rng.integers(0, 30, 20), rng.integers(100, 100_000, rng.integers(1, 60))])
         for _ in range(rng.integers(1, 5)):
             kept = base[rng.random(base.size) > rng.choice([0, 0.05, 0.2])]
-            sets.append(np.unique(np.r_[kept, rng.integers(100, 100_000, rng.integers(0, 6))]))
+            sets.append(np.unique(np.r_[kept, rng.integers(100, 100_000, rng.integers(0, 3))]))
     sets.sort(key=len)
     everything = lambda q, places: np.ones(places.size, bool)
     found = set(jaccard.search(sets, everything, percent))
@@ -97,7 +97,7 @@ def test_search_finds_all_pairs(monkeypatch, percent, heaped):
             common = np.intersect1d(a, sets[j]).size
             if 100 * common >= percent * (a.size + sets[j].size - common):
                 expected.add((i, j))
-    assert found == expected and len(expected) > 10
+    assert found == expected and len(expected) > 5
 
 
 def test_bounds_hold_for_all_sizes():
