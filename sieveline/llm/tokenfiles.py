@@ -14,7 +14,7 @@ same bytes to the same name. Readers map the files into memory.
 
 A text is cut at ASCII white space, which this tokenizer drops and across which nothing merges, and
 each distinct piece goes through the tokenizers library once per worker while it is remembered; the
-number of remembered pieces is bounded. Pieces of ASCII letters, with or without a full stop or comma,
+number of remembered pieces is bounded, and the frequent ones stay. Pieces of ASCII letters, with or without a full stop or comma,
 go to the library's model directly: its normalizer lower-cases them and its splitter cuts before the
 mark. Equal ids stand in the order of a hash of their texts. Null
 and empty texts are the end id alone; other columns are ignored. doc_id must be an integer.
@@ -37,14 +37,18 @@ from sieveline.session import shared_folder
 
 FILE_BYTES = 256 * 1024 * 1024
 #: Distinct pieces that a worker remembers (about 200 bytes each), and the longest such piece.
-REMEMBERED, LONGEST = 500_000, 200
+REMEMBERED, LONGEST = 700_000, 200
 NULL_ID = -(1 << 63)
 #: Letters, and a mark before which the tokenizer cuts.
 PLAIN = re.compile(rb"([A-Za-z]+)([.,]?)").fullmatch
 
 
-class Encoder:
-    """Texts to the bytes of their ids, by way of remembered pieces."""
+class Encoder(dict):
+    """Texts to the bytes of their ids, by way of remembered pieces: a mapping from a piece to its ids.
+
+    Pieces are remembered in two generations. When the younger is full it becomes the older and what
+    was the older is forgotten, so frequent pieces stay.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -53,8 +57,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"
-        self.pieces: dict[bytes, bytes] = {}
-        self.letters: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.model = self.tokenizer.model
         self.marks = {m: self.by_model(m) for m in (b"", b".", b",")}
 
@@ -64,32 +67,23 @@ class Encoder:
     def pack(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
+    def __missing__(self, piece: bytes) -> bytes:
+        found = self.older.get(piece)
+        if found is None:
+            if (plain := PLAIN(piece)) is None:
+                found = self.pack(self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids)
+            else:
+                word, mark = plain.groups()
+                found = self.by_model(word.lower()) + self.marks[mark]
+        if len(piece) <= LONGEST:
+            if len(self) >= REMEMBERED // 2:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = found
+        return found
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        wanted = set().union(*split) if split else set()
-        if len(self.pieces) + len(self.letters) + len(wanted) > REMEMBERED:
-            self.pieces.clear()
-            self.letters.clear()
-        new = []
-        for p in wanted:
-            if p in self.pieces:
-                continue
-            if (plain := PLAIN(p)) is None:
-                new.append(p)
-                continue
-            word, mark = plain.groups()
-            word = word.lower()
-            if (ids := self.letters.get(word)) is None:
-                ids = self.letters[word] = self.by_model(word)
-            self.pieces[p] = ids + self.marks[mark]
-        found = self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)
-        self.pieces.update(zip(new, [self.pack(e.ids) for e in found]))
-        out = [b"".join(map(self.pieces.__getitem__, words)) for words in split]
-        for p in wanted:
-            if len(p) > LONGEST:
-                del self.pieces[p]
-                self.letters.pop(p.lower(), None)
-        return out
+        return [b"".join(map(self.__getitem__, t.split())) for t in texts]
 
 
 _ENCODERS: dict[str, Encoder] = {}
