@@ -13,8 +13,8 @@ A source takes whole epochs of all its documents and then the documents from the
 up to the rest of its budget.
 
 Texts that are null or without words have size 0 and take nothing. A null source is a source, the
-last. Rows with an equal id stand together in the order, by size; a null id is hashed like an empty
-one. Tables with one row per source, or per source and range, are the only small ones; the single
+last. Rows with an equal id stand together in the order, by size (by a hash of all columns where whole
+documents are taken); a row without an id is placed by its text. Tables with one row per source, or per source and range, are the only small ones; the single
 ordered pass over all rows of a table is over the sources.
 """
 
@@ -31,22 +31,24 @@ LEAST_RANGES = 64
 KEY = ["_null", "_source"]
 
 
-def hash_key(id_col: Column, seed: str) -> Column:
-    return F.md5(F.concat(F.lit(seed), F.coalesce(id_col.cast("string"), F.lit(""))).cast("binary"))
+def hash_key(id_col: Column, text_col: Column, seed: str) -> Column:
+    text = F.md5(F.coalesce(text_col, F.lit("")).cast("binary"))
+    return F.md5(F.concat(F.lit(seed), F.coalesce(id_col.cast("string"), text)).cast("binary"))
 
 
 def _source_key(source: Column) -> list[Column]:
     return [source.isNull().alias("_null"), F.coalesce(source, F.lit("")).alias("_source")]
 
 
-def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str) -> DataFrame:
-    """doc_id, source key, size in words and hash of every row."""
-    words = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
+def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str, tie: Column | None = None) -> DataFrame:
+    """doc_id, source key, size in words, hash of every row, and what orders equal hashes."""
+    words = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
     return docs.select(
         F.col(id_col).alias("doc_id"),
         *_source_key(F.col(source_col)),
-        words.cast("long").alias("size"),
-        hash_key(F.col(id_col), seed).alias("_hash"),
+        words.alias("size"),
+        hash_key(F.col(id_col), F.col(text_col), seed).alias("_hash"),
+        (words if tie is None else tie).alias("_tie"),
     )
 
 
@@ -77,7 +79,7 @@ def placed(sizes: DataFrame, ranges: int) -> DataFrame:
     sums = rows.groupBy(*KEY, "_range").agg(F.sum("size").alias("_sum"))
     ahead = Window.partitionBy(*KEY).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select(*KEY, "_range", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy(*KEY, "_range").orderBy("_hash", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*KEY, "_range").orderBy("_hash", "_tie").rowsBetween(Window.unboundedPreceding, -1)
     local = rows.withColumn("_local", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     return local.join(bases, [*KEY, "_range"]).withColumn("_before", F.col("_base") + F.col("_local"))
 
@@ -107,15 +109,22 @@ def mixed_documents(
     """The rows that the mix takes, whole and repeated as often as it takes them, with all columns.
 
     The last document of a budget is taken if at least half of it is within the budget. The rows
-    taken once more are those up to one hash per source, so texts meet a table of the sources only.
+    taken once more are those up to one hash per source (and up to one hash of the whole row among equal
+    ones), so texts meet a table of the sources only. Rows that are equal in all columns are taken alike.
     """
-    sizes = cut(sized(docs, id_col, text_col, source_col, seed), "mix")
+    every = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
+    sizes = cut(sized(docs, id_col, text_col, source_col, seed, every), "mix")
     plan = budgets(sizes, weights, max_epochs)
     within = (F.col("_rest") - F.col("_before")) * 2 >= F.col("size")
     rows = placed(sizes, _ranges(sizes)).join(plan.select(*KEY, "_rest"), KEY)
-    last = rows.where((F.col("_rest") > 0) & within).groupBy(*KEY).agg(F.max("_hash").alias("_last"))
-    plan = cut(plan.join(last, KEY, "left").select(*KEY, "_epochs", F.coalesce("_last", F.lit("")).alias("_last")), "mix-plan")
-    keyed = docs.select("*", *_source_key(F.col(source_col)), hash_key(F.col(id_col), seed).alias("_hash")).join(plan, KEY)
-    copies = F.col("_epochs") + F.when(F.col("_hash") <= F.col("_last"), 1).otherwise(0)
-    repeated = keyed.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int"))))
-    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
+    last = rows.where((F.col("_rest") > 0) & within).groupBy(*KEY).agg(F.max(F.struct("_hash", "_tie")).alias("_last"))
+    plan = cut(plan.join(last, KEY, "left").select(*KEY, "_epochs", "_last"), "mix-plan")
+    # The row is packed, so none of its names can clash.
+    packed = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"),
+        *_source_key(F.col(source_col)),
+        F.struct(hash_key(F.col(id_col), F.col(text_col), seed).alias("_hash"), every.alias("_tie")).alias("_at"),
+    ).join(plan, KEY)
+    once_more = F.coalesce(F.col("_at") <= F.col("_last"), F.lit(False)).cast("int")
+    repeated = packed.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), (F.col("_epochs") + once_more).cast("int"))))
+    return repeated.select("_row.*")
