@@ -46,3 +46,27 @@ def blocks(batch: pa.RecordBatch, text: str = "text", size: int = BLOCK_BYTES) -
 def extended(schema: T.StructType, **more: T.DataType) -> T.StructType:
     """The schema with more columns; the given one stays as it is."""
     return T.StructType([*schema.fields, *(T.StructField(n, t) for n, t in more.items())])
+
+
+class Forest:
+    """Disjoint sets of numbers."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        parent = self.parent
+        root = x
+        while (up := parent.get(root, root)) != root:
+            root = up
+        while (up := parent.get(x, x)) != root:
+            parent[x] = root
+            x = up
+        return root
+
+    def join(self, a: int, b: int) -> bool:
+        """True if the two were apart."""
+        a, b = self.find(a), self.find(b)
+        if a != b:
+            self.parent[max(a, b)] = min(a, b)
+        return a != b

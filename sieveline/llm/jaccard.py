@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import blocks, cut, id_and_text
+from sieveline.llm.common import Forest, blocks, cut, id_and_text
 from sieveline.llm.components import connected_components
 from sieveline.operators.joins import partitions_of, skew_join
 
@@ -341,30 +341,6 @@ def cells(neighbours: DataFrame, percent: int, cell_shingles: int = CELL_SHINGLE
 # ---- search -----------------------------------------------------------------------------------
 
 
-class Forest:
-    """Disjoint sets of nodes."""
-
-    def __init__(self):
-        self.parent: dict[int, int] = {}
-
-    def find(self, x: int) -> int:
-        parent = self.parent
-        root = x
-        while (up := parent.get(root, root)) != root:
-            root = up
-        while (up := parent.get(x, x)) != root:
-            parent[x] = root
-            x = up
-        return root
-
-    def join(self, a: int, b: int) -> bool:
-        """True if the two were apart."""
-        a, b = self.find(a), self.find(b)
-        if a != b:
-            self.parent[max(a, b)] = min(a, b)
-        return a != b
-
-
 class InvertedLists:
     """The lists of a cell: for each shingle that several sets have, the places of these in order of size."""
 

@@ -8,9 +8,10 @@ distance meet under a key with equality and are verified on all 64 bits.
 
 Only what keeps groups connected is emitted. A key with many fingerprints is dealt with by pivots:
 everything within the distance of a pivot is linked to it and to nothing else, and what lies
-farther is compared with the members of the pivot's ball. So a large group of copies costs links in
-proportion to its members, and no link between different groups is lost. The fingerprints that one
-key holds are bounded by their closeness, not by the documents: copies share one fingerprint.
+farther is compared with the members of the pivot's ball. Of all links that a task finds it emits
+those that connect something new to it (a spanning forest over all its keys), so links are fewer than
+the fingerprints a task holds, however dense a group is, and no link between groups is lost. The
+fingerprints that one key holds are bounded by their closeness, not by the documents: copies share one.
 
 Null and empty texts have fingerprint zero and link like any other. Rows without a doc_id belong to
 groups but cannot name them: a group made of such rows alone has component_id null.
@@ -26,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sieveline.llm.common import cut, extended, id_and_text, utf8
+from sieveline.llm.common import Forest, blocks, cut, extended, id_and_text
 from sieveline.llm.components import connected_components
-from sieveline.llm.neardup import drop_near_duplicates  # noqa: F401  the stage of the pipeline
-from sieveline.operators.joins import partitions_of
+from sieveline.operators.joins import partitions_of, skew_join
 
-DISTANCE = 4
+#: Words of a shingle and differing bits of a link.
+WORDS, DISTANCE = 4, 4
 SEED = 42
 #: (lowest bit, bits) of the segments.
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
@@ -68,9 +69,10 @@ def with_fingerprint(docs: DataFrame, text_col: str, words_per_shingle: int, dro
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pa.array([simhash(t, words_per_shingle) for t in utf8(batch.column(text_col))], pa.int64())
-            kept = [n for n in batch.schema.names if not (drop_text and n == text_col)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), found], [*kept, "_fp"])
+            for part, texts in blocks(batch, text_col):
+                found = pa.array([simhash(t, words_per_shingle) for t in texts], pa.int64())
+                kept = [n for n in part.schema.names if not (drop_text and n == text_col)]
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in kept), found], [*kept, "_fp"])
 
     return docs.mapInArrow(run, extended(schema, _fp=T.LongType()))
 
@@ -145,6 +147,7 @@ def links(fingerprints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Columns u > v: links between distinct fingerprints ``_fp`` that connect each group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = Forest()
         keys, fps = np.empty(0, np.int32), np.empty(0, np.int64)
         for batch in batches:
             keys = np.r_[keys, batch.column("key").to_numpy()]
@@ -152,15 +155,16 @@ def links(fingerprints: DataFrame, distance: int = DISTANCE) -> DataFrame:
             if not keys.size:
                 continue
             done = np.searchsorted(keys, keys[-1])  # the last key may go on in the next batch
-            yield emit(keys[:done], fps[:done])
+            yield emit(keys[:done], fps[:done], forest)
             keys, fps = keys[done:], fps[done:]
-        yield emit(keys, fps)
+        yield emit(keys, fps, forest)
 
-    def emit(keys, fps):
+    def emit(keys, fps, forest):
         a, b = link_sorted(keys, fps.view(np.uint64), distance) if keys.size > 1 else (fps[:0], fps[:0])
         a, b = a.view(np.int64), b.view(np.int64)
-        pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["u", "v"])
+        pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1).T.tolist()
+        new = np.array([x for x in pairs if forest.join(*x)], np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(new[:, 0]), pa.array(new[:, 1])], ["u", "v"])
 
     # Each row becomes 64, so rows are dealt evenly before, however few bytes they are. A deal by the
     # fingerprint would be taken for the one that its grouping already has.
@@ -172,16 +176,17 @@ def links(fingerprints: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 def fingerprint_groups(rows: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """For each distinct ``_fp`` of (doc_id, _fp) rows: component_id and the group's least fingerprint ``_root``."""
-    distinct = rows.groupBy("_fp").agg(F.min("doc_id").alias("_least"))
+    distinct = cut(rows.groupBy("_fp").agg(F.min("doc_id").alias("_least")), "fingerprints")
     roots = connected_components(links(distinct.select("_fp"), distance))
     rooted = distinct.join(roots.select(F.col("node").alias("_fp"), "root"), "_fp", "left")
     rooted = rooted.select("_fp", "_least", F.coalesce("root", "_fp").alias("_root"))
     named = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    return rooted.select("_fp", "_root").join(named, "_root").select("_fp", "_root", "component_id")
+    # A group may hold a third of all fingerprints.
+    return skew_join(rooted, named, "_root", spread_by="_fp").select("_fp", "_root", "component_id")
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 4, distance: int = DISTANCE
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = WORDS, distance: int = DISTANCE
 ) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable over links) of every row."""
     narrow = cut(with_fingerprint(id_and_text(docs, id_col, text_col), "text", words_per_shingle, True), "simhash")
@@ -189,3 +194,23 @@ def near_duplicates(
     return narrow.join(groups, "_fp").select(
         "doc_id", F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def drop_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = WORDS, distance: int = DISTANCE
+) -> DataFrame:
+    """One row of each group with all its columns: that of the least (id, fingerprint, text); rows without an id come last.
+
+    Rows with an equal id and an equal text are one document; which of them stays (by a hash of all
+    their columns) does not depend on the partitions.
+    """
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    packed = packed.withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    narrow = cut(with_fingerprint(packed.select("doc_id", "th", "text"), "text", words_per_shingle, True), "simhash")
+    groups = fingerprint_groups(narrow.select("doc_id", "_fp"), distance)
+    rooted = narrow.join(groups.select("_fp", "_root"), "_fp")
+    least = rooted.groupBy("_root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_fp", "th")).alias("x"))
+    least = cut(least.select(F.col("x.doc_id").alias("keep_id"), F.col("x.th").alias("keep_th")), "kept")
+    same = (packed["th"] == least["keep_th"]) & packed["doc_id"].eqNullSafe(least["keep_id"])
+    kept = packed.join(least, same, "left_semi").withColumn("hash", F.xxhash64("row"))
+    return kept.groupBy("doc_id", "th").agg(F.min_by("row", "hash").alias("row")).select("row.*")

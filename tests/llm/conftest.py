@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-CLASHING = ["key", "pos", "h", "score", "token", "start", "stop", "items", "digest", "page", "size", "rule", "copies", "spans", "target"]
+CLASHING = ["key", "pos", "h", "score", "token", "start", "stop", "items", "digest", "page", "size", "rule", "copies", "spans", "target", "row", "hash", "text_hash", "th", "n", "node", "part", "_hash", "_null", "_source", "_copy", "_last", "_epochs", "_fp", "found", "place", "rank", "collapsed", "runs", "_h", "_words"]
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 

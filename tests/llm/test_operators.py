@@ -129,23 +129,28 @@ def fingerprint_of(text, k):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def components_of(ids, fps):
-    root = list(range(len(ids)))
+def roots_of(fps):
+    """The group of each fingerprint, as a place in it."""
+    root = list(range(len(fps)))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for a in range(len(ids)):
+    for a in range(len(fps)):
         for b in range(a):
             if (fps[a] ^ fps[b]).bit_count() <= simhash.DISTANCE:
                 root[find(a)] = find(b)
-    least = {}
-    for i, x in enumerate(ids):
+    return [find(i) for i in range(len(fps))]
+
+
+def components_of(ids, fps):
+    roots, least = roots_of(fps), {}
+    for x, r in zip(ids, roots):
         if x is not None:
-            least[find(i)] = min(x, least.get(find(i), x))
-    return [least.get(find(i)) for i in range(len(ids))]
+            least[r] = min(x, least.get(r, x))
+    return [least.get(r) for r in roots]
 
 
 def test_near_duplicates(awkward, empty_docs):
@@ -159,16 +164,32 @@ def test_near_duplicates(awkward, empty_docs):
 
 def test_drop_near_duplicates(awkward, empty_docs, spark):
     rows = awkward_rows()
-    fps = [fingerprint_of(t, 5) for _, t, *_ in rows]
-    components = components_of([r[0] for r in rows], fps)
+    fps = [fingerprint_of(t, 4) for _, t, *_ in rows]
+    # One row of each group stays; two groups may have the same least id.
+    expected = sorted(dict(zip(roots_of(fps), components_of([r[0] for r in rows], fps))).values())
     kept = simhash.drop_near_duplicates(awkward)
     assert kept.columns == awkward.columns
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(components))
+    assert sorted(r["doc_id"] for r in kept.collect()) == expected
     bare = spark.createDataFrame([(None, "q w e r t y"), (None, "q w e r t y"), (None, "z u i")], "doc_id long, text string")
     assert sorted(r["text"] for r in simhash.drop_near_duplicates(bare).collect()) == ["q w e r t y", "z u i"]
     assert simhash.drop_near_duplicates(empty_docs).count() == 0
 
 
+def test_distinct_texts_under_one_id_both_stay(spark):
+    rows = [(1, prose(1, 40)), (1, prose(2, 40)), (1, prose(2, 40)), (2, prose(1, 40)), (None, prose(3, 9))]
+    found = lambda n: sorted(map(repr, simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(n)).collect()))
+    assert found(1) == found(4)
+    assert len(found(1)) == 3
+
+
+@pytest.mark.parametrize("size", [60, 400])
+def test_links_of_a_dense_group_are_fewer_than_its_fingerprints_in_each_task(spark, size):
+    rng = random.Random(size)
+    fps = {sum(1 << b for b in rng.sample(range(64), rng.randint(0, 3))) for _ in range(size)}
+    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "_fp long")
+    assert simhash.links(df).count() <= (len(fps) - 1) * 4  # four partitions
+
+
 @pytest.mark.parametrize("flips", [1, 3, 6])
 def test_links_connect_what_brute_force_connects(spark, flips):
     """Dense balls of fingerprints (large runs, pivots) and scattered ones."""
@@ -366,6 +387,17 @@ def test_mixed_documents(awkward, spark, empty_docs):
     assert mixing.mixed_documents(empty_docs).count() == 0
 
 
+def test_mixed_documents_without_ids(spark):
+    """Rows without an id are spread by their text; rows of one id by all columns."""
+    rows = [(None if i % 2 else i // 40, prose(i, 20), "abcd"[i // 2 % 4]) for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    taken = Counter((r["text"], r["source"]) for r in mixing.mixed_documents(df).collect())
+    target = targets_of({s: 4000 for s in "abcd"})
+    for s in "abcd":
+        assert abs(sum(20 * n for (_, x), n in taken.items() if x == s) - target[s]) <= 20
+    assert taken == Counter((r["text"], r["source"]) for r in mixing.mixed_documents(df.repartition(2)).collect())
+
+
 # ---- rules and network ------------------------------------------------------------------------
 
 

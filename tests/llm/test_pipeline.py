@@ -22,7 +22,7 @@ def plain_pipeline(spark, data):
     rows = [tuple(r) for r in table(spark, data, "documents").select(*COLUMNS).collect()]
     net = bytecnn.train(table(spark, data, "documents"), table(spark, data, "labels"))
     rows = [r for r in rows if net.score([(r[1] or "").encode()])[0] >= 0.3]
-    components = components_of([r[0] for r in rows], [fingerprint_of(r[1], 5) for r in rows])
+    components = components_of([r[0] for r in rows], [fingerprint_of(r[1], 4) for r in rows])
     rows = [r for r, c in zip(rows, components) if r[0] == c]
     items = [(str(r["item_id"]), r["text"]) for r in table(spark, data, "benchmark").collect()]
     rows = [r for r in rows if not contamination_of(r[1], items)[4]]
