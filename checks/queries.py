@@ -16,7 +16,7 @@ from sieveline.ontology import STANDARD
 from sieveline.operators import classifier, clustering, corpus, metrics
 from sieveline.operators.decisions import decide
 from sieveline.operators.embedding import EmbeddingStore, HashingEncoder, ModelEncoder, embed_chunks, fingerprint, pool_chunks
-from sieveline.operators.joins import skew_join
+from sieveline.operators.joins import hot_tables, skew_join
 from sieveline.operators.matching import match_columns, shortlist
 from sieveline.operators.ranking import cut_into_cells, rank_by_cosine
 from sieveline.operators.terms import skills_by_join, term_table
@@ -405,8 +405,9 @@ def _pairs(t):
 
 def _requested(t, docs, jobs):
     """Requests with both sides; a third of them want the same job."""
-    with_docs = skew_join(t.requests(), docs, "doc_id", "inner", "job_id")
-    return skew_join(with_docs, jobs, "job_id", "inner", "doc_id", counts_from=t.requests())
+    hot = hot_tables(t.requests(), ["doc_id", "job_id"])
+    with_docs = skew_join(t.requests(), docs, "doc_id", "inner", "job_id", hot=hot["doc_id"])
+    return skew_join(with_docs, jobs, "job_id", "inner", "doc_id", hot=hot["job_id"])
 
 
 @query

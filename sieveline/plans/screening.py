@@ -12,7 +12,7 @@ from sieveline.operators.classifier import max_probability, top_classes
 from sieveline.operators.corpus import split_blank
 from sieveline.operators.decisions import decide
 from sieveline.operators.embedding import DEFAULT_MODEL
-from sieveline.operators.joins import skew_join
+from sieveline.operators.joins import hot_tables, skew_join
 from sieveline.operators.matching import match_columns, rank_lists
 from sieveline.operators.ranking import Cells, cut_into_cells, rank_by_cosine
 
@@ -95,9 +95,10 @@ def screen(
     keeps its row with a ``reason`` and without scores.
     """
     known = docs.withColumn("_known", F.lit(True))
-    with_docs = skew_join(requests, known, "doc_id", "left", "job_id")
+    hot = hot_tables(requests, ["doc_id", "job_id"])  # counted once for both joins
+    with_docs = skew_join(requests, known, "doc_id", "left", "job_id", hot=hot["doc_id"])
     side = jobs.select([c for c in JOB_COLUMNS if c in jobs.columns])
-    pairs = skew_join(with_docs, side, "job_id", "left", "doc_id", counts_from=requests)
+    pairs = skew_join(with_docs, side, "job_id", "left", "doc_id", hot=hot["job_id"])
     scored = score_pairs(pairs, alpha, beta, encoder)
     unknown = F.col("_known").isNull()
     new = [c for c in scored.columns if c not in pairs.columns]
