@@ -475,7 +475,7 @@ def node_components(docs: DataFrame, nodes: DataFrame, found: DataFrame, words_p
     sets = cut(sets_of(docs, left, words_per_shingle), "shingle-sets")
     met = connected_components(cut(meetings(cut(rare_keys(sets, percent), "rare-keys"), percent), "meetings"))
     met = met.unionByName(met.select(F.col("root").alias("node"), "root").distinct())
-    neighbours = sets.select("node", "n").join(met, "node")
+    neighbours = cut(sets.select("node", "n").join(met, "node"), "neighbours")
     searched = cut(cells(neighbours, percent), "cells").join(sets, "node")
     return connected_components(cut(links(searched, percent, parts), "jaccard-links"))
 
@@ -493,6 +493,7 @@ def jaccard_components(
     nodes = cut(nodes, "shingle-nodes")
     roots = node_components(texts, nodes, found, words_per_shingle, percent, parts)
     rooted = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = cut(rooted, "rooted")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     members = cut(skew_join(rooted, named, "root", spread_by="node").select("node", "component_id"), "members")
     joined = skew_join(rows.withColumn("at", F.xxhash64("doc_id", "th")), members, "node", "left", spread_by="at")

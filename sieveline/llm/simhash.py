@@ -179,7 +179,7 @@ def fingerprint_groups(rows: DataFrame, distance: int = DISTANCE) -> DataFrame:
     distinct = cut(rows.groupBy("_fp").agg(F.min("doc_id").alias("_least")), "fingerprints")
     roots = connected_components(links(distinct.select("_fp"), distance))
     rooted = distinct.join(roots.select(F.col("node").alias("_fp"), "root"), "_fp", "left")
-    rooted = rooted.select("_fp", "_least", F.coalesce("root", "_fp").alias("_root"))
+    rooted = cut(rooted.select("_fp", "_least", F.coalesce("root", "_fp").alias("_root")), "rooted")
     named = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"))
     # A group may hold a third of all fingerprints.
     return skew_join(rooted, named, "_root", spread_by="_fp").select("_fp", "_root", "component_id")
