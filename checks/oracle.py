@@ -519,6 +519,7 @@ ranked("top_jobs", "job_vec", "job_id", "v", "doc_vec", "doc_id")
 cte("vec_queries", "select vec_id as query_id, v as qv from vecs", "vecs")
 ranked("top_vecs", "vec_queries", "query_id", "qv", "vecs", "vec_id")
 ask("topn_similar", f"select label, rank, vec_id, {r6('similarity')} as similarity from top_means", "top_means")
+ask("ranked_from_store", f"select job_id, rank, doc_id, {r6('similarity')} as similarity from top_jobs", "top_jobs")
 ask("jd_ranked_docs", f"select job_id, rank, doc_id, {r6('similarity')} as similarity from top_jobs", "top_jobs")
 ask("similar_docs", f"select query_id, rank, vec_id, {r6('similarity')} as similarity from top_vecs", "top_vecs")
 

@@ -18,7 +18,7 @@ from sieveline.operators.decisions import decide
 from sieveline.operators.embedding import EmbeddingStore, HashingEncoder, ModelEncoder, embed_chunks, fingerprint, pool_chunks
 from sieveline.operators.joins import hot_tables, skew_join
 from sieveline.operators.matching import match_columns, shortlist
-from sieveline.operators.ranking import cut_into_cells, rank_by_cosine
+from sieveline.operators.ranking import cut_into_cells, load_cells, rank_by_cosine
 from sieveline.operators.terms import skills_by_join, term_table
 from sieveline.plans import screening
 from sieveline.plans.offline import evaluation_report as build_report
@@ -433,6 +433,15 @@ def jd_ranked_docs(t):
     return _ranked(rank_by_cosine(jobs, t.doc_vectors(), 5, "job_id", "doc_id"), "job_id", "doc_id")
 
 
+@query
+def ranked_from_store(t):
+    """The same lists from an index that has been written and loaded again."""
+    folder = shared_folder(t.spark, "cells")
+    cut_into_cells(t.doc_vectors(), folder=folder)
+    jobs = t.job_vectors().select("job_id", F.col("jd_embedding").alias("embedding"))
+    return _ranked(rank_by_cosine(jobs, load_cells(t.spark, folder), 5, "job_id", "doc_id"), "job_id", "doc_id")
+
+
 @query
 def similar_docs(t):
     corpus_rows = t.read("embeddings").select("vec_id", "embedding")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sieveline.operators import classifier, clustering, metrics
 from sieveline.operators.embedding import EmbeddingStore, HashingEncoder, embed_chunks, embed_chunks_stored
+from sieveline.operators.ranking import cut_into_cells
 from sieveline.plans.screening import preprocess
 from sieveline.sources import artifacts
 
@@ -94,6 +95,7 @@ def build(
     quality = clustering.silhouette(clustered, n_clusters, "doc_id", squared=not exact_silhouette)
     artifacts.save_models(f"{folder}/models", model, kmeans)
     artifacts.write_index(clustered, f"{folder}/index")
+    cut_into_cells(vectors, folder=f"{folder}/cells")  # load_cells gives them back, ready to be ranked
 
     index_size = vectors.agg(F.count(F.lit(1)).alias("n_resumes"))
     name = "silhouette_score" if exact_silhouette else "silhouette_squared"

@@ -15,6 +15,7 @@ from sieveline.operators.embedding import DEFAULT_MODEL
 from sieveline.operators.joins import hot_tables, skew_join
 from sieveline.operators.matching import match_columns, rank_lists
 from sieveline.operators.ranking import Cells, cut_into_cells, rank_by_cosine
+from sieveline.operators.ranking import _settled as settled
 
 # Fixed value: length of the ranked lists in a report.
 LIST_LENGTH = 5
@@ -107,7 +108,7 @@ def screen(
 
 
 def with_rankings(
-    docs: DataFrame, jobs: DataFrame, index: DataFrame, n: int = LIST_LENGTH
+    docs: DataFrame, jobs: DataFrame, index: DataFrame | Cells, n: int = LIST_LENGTH
 ) -> tuple[DataFrame, DataFrame]:
     """Documents and jobs with the index documents closest to each.
 
@@ -115,8 +116,17 @@ def with_rankings(
     job and travel with them. Ranking reads the vectors more than once (to size its blocks), so
     pass frames whose vectors are stored rather than freshly encoded.
     """
-    cells = cut_into_cells(index)
-    return rank_documents(docs, cells, n), rank_for_jobs(jobs, cells, n)
+    cells = index if isinstance(index, Cells) else cut_into_cells(index, copies=n)
+    d_type, j_type = docs.schema["doc_id"].dataType, jobs.schema["job_id"].dataType
+    who = lambda d, j: F.struct(d.cast(d_type).alias("doc_id"), j.cast(j_type).alias("job_id")).alias("who")
+    # Documents and jobs are ranked together: the index is met once.
+    asked = docs.select(who(F.col("doc_id"), F.lit(None)), F.col("embedding").cast("array<double>"), F.lit(0).alias("side"))
+    asked = asked.union(jobs.select(who(F.lit(None), F.col("job_id")), F.col("jd_embedding").cast("array<double>"), F.lit(1)))
+    asked = asked.withColumn("who", F.struct("side", "who.doc_id", "who.job_id")).drop("side")
+    lists = settled(_lists(asked, cells, n, "who", "ranked"), "ranked-lists")
+    of_docs = lists.where("who.side = 0").select("who.doc_id", F.col("ranked").alias("similar_docs"))
+    of_jobs = lists.where("who.side = 1").select("who.job_id", F.col("ranked").alias("jd_ranked_docs"))
+    return docs.join(of_docs, "doc_id", "left"), jobs.join(of_jobs, "job_id", "left")
 
 
 def _lists(queries: DataFrame, index: Cells, n: int, key: str, out: str) -> DataFrame:

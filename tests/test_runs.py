@@ -10,7 +10,8 @@ from checks.queries import QUERIES
 from sieveline.operators.classifier import class_probabilities, train_classifier
 from sieveline.operators.clustering import predict_clusters
 from sieveline.operators.embedding import HashingEncoder, embed_chunks
-from sieveline.operators.joins import hot_keys, skew_join
+from sieveline.operators.joins import hot_keys, hot_tables, skew_join
+from sieveline.operators.ranking import load_cells, rank_by_cosine
 from sieveline.plans import offline, screening
 from sieveline.sources import artifacts
 from sieveline.streaming import screening as stream
@@ -77,6 +78,27 @@ def built(spark, corpus, tmp_path_factory):
     return folder, offline.build(corpus, folder, HashingEncoder(32), n_clusters=3)
 
 
+def test_built_cells_rank_without_the_build(spark, built):
+    """The stored cells of the build give the lists that its vectors give."""
+    folder, build = built
+    vectors = build.vectors.where("embedding is not null")
+    queries = vectors.select(F.col("doc_id").alias("query_id"), "embedding").limit(9)
+    from_store = rank_by_cosine(queries, load_cells(spark, f"{folder}/cells"), 4)
+    assert sorted(map(tuple, from_store.collect())) == sorted(map(tuple, rank_by_cosine(queries, vectors, 4).collect()))
+
+
+def test_hot_tables_count_all_keys_in_one_pass(spark):
+    rows = spark.range(4000).select(
+        F.when(F.col("id") % 2 == 0, "a").otherwise(F.col("id").cast("string")).alias("s"),
+        F.when(F.col("id") % 5 != 0, F.col("id") % 2).alias("n"),
+    )
+    found = hot_tables(rows, ["s", "n"], 8)
+    assert [tuple(r) for r in found["s"].collect()] == [("a", 4)]
+    assert sorted(map(tuple, found["n"].collect())) == [(0, 4), (1, 4)]
+    assert hot_tables(spark.range(100), ["id"], 8)["id"].count() == 0
+    assert hot_tables(rows.limit(0), ["s"], 8)["s"].count() == 0
+
+
 def test_offline_build(spark, built):
     folder, result = built
     report = {(r["section"], r["name"]): r["value"] for r in result.report.collect()}

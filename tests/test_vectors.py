@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 
 import numpy as np
 import pytest
@@ -208,6 +209,75 @@ def test_ranking_skips_cells(spark):
     assert {q: [d for _, d in sorted(rows)] for q, rows in got.items()} == {25 * q: [d for d, _ in rows] for q, rows in want.items()}
 
 
+def grouped_vectors(spark, groups=12, size=50):
+    rng = np.random.default_rng(2)
+    corpus = np.concatenate([c + rng.normal(size=(size, groups)) * 0.1 for c in np.eye(groups) * 10])
+    return corpus, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(corpus)], "doc_id long, embedding array<double>")
+
+
+def lists_of(found):
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["doc_id"]))
+    return {q: [d for _, d in sorted(rows)] for q, rows in got.items()}
+
+
+def test_stored_cells_rank_alike_and_are_read_in_part(spark, tmp_path):
+    """A loaded index gives the same lists; one query reads only the partitions of the upper pivots it needs."""
+    corpus, df = grouped_vectors(spark)
+    folder = str(tmp_path / "cells")
+    ranking.cut_into_cells(df, folder=folder, copies=5)
+    loaded = ranking.load_cells(spark, folder)
+    queries = df.where("doc_id % 25 = 0").withColumnRenamed("doc_id", "query_id")
+    want = brute_top(corpus[::25], corpus, 5)
+    assert lists_of(rank_by_cosine(queries, loaded, 5)) == {25 * q: [d for d, _ in rows] for q, rows in want.items()}
+    asked = queries.limit(1).selectExpr("query_id as _q", "embedding as _v")
+    tops, _ = ranking._demand(ranking._routed(asked, loaded, 5, False))
+    assert 0 < len(tops) < len(loaded.table.tree.upper)
+    one = rank_by_cosine(queries.limit(1), loaded, 5)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*_top#", plan)
+    with pytest.raises(ValueError):
+        rank_by_cosine(queries, loaded, 6)
+
+
+def test_copies_are_collapsed_before_the_corpus_is_cut(spark):
+    """A vector that most rows share takes as many rows as a list can show, and ties go to the least keys."""
+    rng = np.random.default_rng(6)
+    corpus = np.vstack([np.ones((900, 3)), rng.normal(size=(60, 3))])
+    keys = rng.permutation(len(corpus)).tolist()
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in zip(keys, corpus)], "doc_id long, embedding array<double>").repartition(4)
+    cells = ranking.cut_into_cells(df, copies=7)
+    assert cells.sizes.sum() == 67
+    ordered = corpus[np.argsort(keys)]
+    queries = df.where("doc_id % 90 = 0").withColumnRenamed("doc_id", "query_id")
+    want = brute_top(ordered[::90], ordered, 7)
+    assert lists_of(rank_by_cosine(queries, cells, 7)) == {90 * q: [d for d, _ in rows] for q, rows in want.items()}
+
+
+def test_a_popular_block_goes_to_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "QUERIES", 10)
+    corpus, df = grouped_vectors(spark, 3, 40)
+    queries = df.selectExpr("doc_id as query_id", "embedding")
+    cells = ranking.cut_into_cells(df)
+    asked = queries.selectExpr("query_id as _q", "embedding as _v")
+    assert ranking._demand(ranking._routed(asked, cells, 5, False))[1]
+    want = brute_top(corpus, corpus, 5)
+    assert lists_of(rank_by_cosine(queries, cells, 5)) == {q: [d for d, _ in rows] for q, rows in want.items()}
+
+
+def test_placing_meets_no_more_than_a_few_branches():
+    """Vectors are compared with the upper pivots and with what hangs below a few of them."""
+    rng = np.random.default_rng(0)
+    tree = ranking.PivotTree.of(ranking.unit_rows(rng.normal(size=(400, 8))))
+    vectors = ranking.unit_rows(rng.normal(size=(1000, 8)))
+    cell, angle = tree.place(vectors)
+    assert np.allclose(np.cos(angle), (vectors * tree.pivots[cell]).sum(axis=1), atol=1e-6)
+    table = ranking.CellTable(tree, np.zeros(400), np.bincount(cell, minlength=400), np.zeros(400, int), np.ones(400, int))
+    rows, cells = table.nearest(vectors, ranking._angles(vectors, tree.upper), 3)
+    assert np.bincount(rows, table.sizes[cells]).min() >= 3
+
+
 def test_ranking_of_nothing(spark):
     schema = "query_id long, embedding array<double>"
     q = spark.createDataFrame([(1, [1.0])], schema)
