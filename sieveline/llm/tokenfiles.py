@@ -14,9 +14,9 @@ same bytes to the same name. Readers map the files into memory.
 
 A text is cut at ASCII white space, which this tokenizer drops and across which nothing merges, and
 each distinct piece goes through the tokenizers library once per worker while it is remembered; the
-number of remembered pieces is bounded, and the frequent ones stay. Pieces of ASCII letters, with or without a full stop or comma,
-go to the library's model directly: its normalizer lower-cases them and its splitter cuts before the
-mark. Equal ids stand in the order of a hash of their texts. Null
+number of remembered pieces is bounded, and the frequent ones stay. Pieces of Latin letters, with or
+without a full stop or comma, go to the library's model directly, lower-cased and as letters for
+bytes: its normalizer and splitter do no more to them but cut before the mark. Equal ids stand in the order of a hash of their texts. Null
 and empty texts are the end id alone; other columns are ignored. doc_id must be an integer.
 """
 
@@ -37,10 +37,14 @@ from sieveline.session import shared_folder
 
 FILE_BYTES = 256 * 1024 * 1024
 #: Distinct pieces that a worker remembers (about 200 bytes each), and the longest such piece.
-REMEMBERED, LONGEST = 700_000, 200
+REMEMBERED, LONGEST = 1_200_000, 200
 NULL_ID = -(1 << 63)
-#: Letters, and a mark before which the tokenizer cuts.
-PLAIN = re.compile(rb"([A-Za-z]+)([.,]?)").fullmatch
+#: Latin letters (U+0041 to U+00FF, bytes of UTF-8), and marks before which the tokenizer cuts.
+PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,]?)").fullmatch
+
+#: The model's letter for a byte: printable Latin-1 stands for itself, other bytes for U+0100 and on, in order.
+_OTHER = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b)]
+BYTE_LETTERS = {b: 0x100 + i for i, b in enumerate(_OTHER)}
 
 
 class Encoder(dict):
@@ -62,7 +66,10 @@ class Encoder(dict):
         self.marks = {m: self.by_model(m) for m in (b"", b".", b",")}
 
     def by_model(self, plain: bytes) -> bytes:
-        return self.pack([t.id for t in self.model.tokenize(plain.decode())]) if plain else b""
+        text = plain.decode().lower()
+        if not plain.isascii():
+            text = text.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return self.pack([t.id for t in self.model.tokenize(text)]) if text else b""
 
     def pack(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{self.code}", *ids)
@@ -74,7 +81,7 @@ class Encoder(dict):
                 found = self.pack(self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids)
             else:
                 word, mark = plain.groups()
-                found = self.by_model(word.lower()) + self.marks[mark]
+                found = self.by_model(word) + self.marks[mark]
         if len(piece) <= LONGEST:
             if len(self) >= REMEMBERED // 2:
                 self.older = dict(self)

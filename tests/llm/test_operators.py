@@ -255,6 +255,17 @@ def test_pieces_encode_like_whole_texts(text):
     assert np.frombuffer(tokenfiles.Encoder(WORD_BPE).encode([text.encode()])[0], "<u2").tolist() == whole
 
 
+def test_latin_words_encode_like_whole_texts(monkeypatch):
+    """All Latin letters, in words of several lengths, with a memory that forgets."""
+    monkeypatch.setattr(tokenfiles, "REMEMBERED", 50)
+    rng, tokenizer, encoder = random.Random(8), Tokenizer.from_file(WORD_BPE), tokenfiles.Encoder(WORD_BPE)
+    letters = [chr(c) for c in range(0xC0, 0x100)] + list("abcdefgXYZ")
+    made = [*letters, *("".join(rng.choices(letters, k=rng.randint(1, 9))) + rng.choice(["", ".", ",", "!"]) for _ in range(2000))]
+    for text in (*made, " ".join(made)):
+        assert np.frombuffer(encoder.encode([text.encode()])[0], "<u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(encoder) <= 25 and len(encoder.older) <= 25
+
+
 # ---- repeated substrings ----------------------------------------------------------------------
 
 
