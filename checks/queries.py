@@ -19,7 +19,7 @@ from sieveline.operators.embedding import EmbeddingStore, HashingEncoder, ModelE
 from sieveline.operators.joins import hot_tables, skew_join
 from sieveline.operators.matching import match_columns, shortlist
 from sieveline.operators.ranking import cut_into_cells, load_cells, rank_by_cosine
-from sieveline.operators.terms import skills_by_join, term_table
+from sieveline.operators.terms import skills_by_automata, term_table
 from sieveline.plans import screening
 from sieveline.plans.offline import evaluation_report as build_report
 from sieveline.session import shared_folder
@@ -287,7 +287,7 @@ def extract_skills_joined(t):
     texts = docs.select("doc_id", F.concat("clean_text", F.lit(" x"), F.coalesce("p_name", F.lit("")), F.lit("y")).alias("clean_text"))
     alias = t.spark.range(1).select(F.lit("the").alias("alias"), F.lit("small ring").alias("canonical"))
     terms = term_table(parts.select(F.col("p_name").alias("skill")), alias)
-    return skills_by_join(texts, terms).select("doc_id", joined(F.col("skills")).alias("skills"))
+    return skills_by_automata(texts, terms).select("doc_id", joined(F.col("skills")).alias("skills"))
 
 
 @query

@@ -1,12 +1,16 @@
-"""Skills found by joins, for an ontology that is a table of any size."""
+"""Skills found by automata, for an ontology that is a table of any size."""
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.functions.binding import let
+from sieveline.session import shared_folder
 
-# Characters of a term under which it is filed; shorter terms are filed whole.
-GRAM = 4
+# Characters of terms in one automaton, which is what a task holds beside its batch of texts.
+BLOCK_CHARS = 2_000_000
 
 
 def term_table(domain_skill: DataFrame, alias: DataFrame) -> DataFrame:
@@ -20,36 +24,64 @@ def term_table(domain_skill: DataFrame, alias: DataFrame) -> DataFrame:
     return direct.unionByName(through).where("needle <> ''").distinct()
 
 
-def _grams(text: Column, sizes: list[int]) -> Column:
-    """The distinct pieces of a text of the given numbers of characters; a piece is found by place, not by counting."""
-
-    def of(chars: Column) -> Column:
-        def pieces(size: int) -> Column:
-            places = F.sequence(F.lit(0), F.size(chars) - size)
-            joined = F.transform(places, lambda i: F.concat(*[F.get(chars, i + k) for k in range(size)]))
-            return F.when(F.size(chars) >= size, F.array_distinct(joined)).otherwise(F.array().cast("array<string>"))
+def term_blocks(terms: DataFrame, size: int = BLOCK_CHARS) -> Iterator[list[tuple[str, str]]]:
+    """The terms in pieces of at most ``size`` characters, or one longer term; one piece is held at a time."""
+    block, held = [], 0
+    for needle, skill in terms.select("needle", "skill").toLocalIterator():
+        if block and held + len(needle) + len(skill) > size:
+            yield block
+            block, held = [], 0
+        block.append((needle, skill))
+        held += len(needle) + len(skill)
+    if block:
+        yield block
 
-        return F.flatten(F.array(*[pieces(n) for n in sizes]))
 
-    return let(F.filter(F.split(text, ""), lambda c: c != ""), of)
+def automaton(block: list[tuple[str, str]]) -> "ahocorasick.Automaton":
+    """Finds every term of a block in one pass over a text; a term may stand for several skills."""
+    found = ahocorasick.Automaton()
+    for needle, skill in block:
+        found.add_word(needle, (*found.get(needle, ()), skill))
+    found.make_automaton()
+    return found
 
 
-def skills_by_join(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "clean_text") -> DataFrame:
+def skills_by_automata(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "clean_text", size: int = BLOCK_CHARS) -> DataFrame:
     """``key, skills``: the sorted skills of every row whose terms occur anywhere in the text.
 
-    A term is filed under its first characters. The distinct pieces of a text meet the files by
-    equality and only the terms found there are looked for in the text. Pieces and candidates move
-    without the text; the text moves once, to its candidates.
+    One pass over the texts for each block of terms, without a shuffle: a row carries what it has
+    found to the next block. Between two blocks the rows are written, so a job holds one block,
+    whatever the number of terms; after the last block nothing is written. Rows are told apart by
+    their place only, so null and repeated keys keep their own skills. Null text holds no term.
     """
-    filed = terms.select("needle", "skill", F.substring("needle", 1, GRAM).alias("_gram"))
-    lowered = docs.select(key, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_text"))
-    # At most GRAM different lengths.
-    sizes = sorted(r[0] for r in filed.select(F.length("_gram")).distinct().collect())
-    wanted = filed.select("_gram").distinct()
-    pieces = F.explode_outer(_grams(F.col("_text"), sizes or [GRAM])).alias("_gram")
-    spread = lowered.select(key, pieces).join(wanted, "_gram", "left_semi")
-    candidates = spread.join(filed, "_gram").groupBy(key).agg(F.collect_set(F.struct("needle", "skill")).alias("_terms"))
-    met = lowered.join(candidates, key, "left")
-    found = F.filter("_terms", lambda t: F.contains(F.col("_text"), t["needle"]))
-    skills = F.sort_array(F.array_distinct(F.transform(found, lambda t: t["skill"])))
-    return met.select(key, F.coalesce(skills, F.array().cast("array<string>")).alias("skills"))
+    spark = docs.sparkSession
+    rows = docs.select(
+        F.col(key).alias("_key"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_text"), F.array().cast("array<string>").alias("_found")
+    )
+    schema, held = rows.schema, None
+    for block in term_blocks(terms, size):
+        if held is not None:
+            folder = shared_folder(spark, "skills")
+            rows.write.parquet(folder)
+            rows = spark.read.schema(schema).parquet(folder)
+            held.destroy()
+        held = spark.sparkContext.broadcast(block)
+        rows = rows.mapInArrow(_scan(held), schema)
+    return rows.select(F.col("_key").alias(key), F.sort_array("_found").alias("skills"))
+
+
+def _scan(held):
+    """A pass over Arrow batches that adds the skills of one block to ``_found``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = automaton(held.value)
+        for batch in batches:
+            found = []
+            # One text at a time as a Python object, however many a batch holds.
+            for text, before in zip(batch.column("_text"), batch.column("_found")):
+                hits = {skill for _, skills in search.iter(text.as_py()) for skill in skills}
+                found.append(sorted(hits.union(before.as_py())))
+            columns = [batch.column("_key"), batch.column("_text"), pa.array(found, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, ["_key", "_text", "_found"])
+
+    return run

@@ -1,7 +1,9 @@
+import pytest
 from pyspark.sql import functions as F
 
 from sieveline.functions import skills as K
 from sieveline.ontology import STANDARD, Ontology
+from sieveline.operators.terms import BLOCK_CHARS, skills_by_automata, term_blocks, term_table
 from sieveline.sources import artifacts, files
 
 
@@ -62,14 +64,58 @@ def test_ontology_json(spark, tmp_path):
     assert artifacts.load_ontology(*files.read_ontology_tables(spark, str(tmp_path / "empty"))) == Ontology()
 
 
-def test_join_form_equals_the_row_form(spark):
-    from sieveline.ontology import STANDARD
-    from sieveline.operators.terms import skills_by_join, term_table
+TEXTS = ["uses mlops and C++", "react native, rest", "scikit learn", "", None, "sq", "HTML" * 3, "penetration testing siem"]
 
-    texts = ["uses mlops and C++", "react native, rest", "scikit learn", "", None, "sq", "HTML" * 3, "penetration testing siem"]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, clean_text string")
+
+def standard_terms(spark):
     rows = [(s,) for members in STANDARD.domains.values() for s in members] + [(None,)]
-    terms = term_table(spark.createDataFrame(rows, "skill string"), spark.createDataFrame(list(STANDARD.aliases.items()), "alias string, canonical string"))
+    return term_table(spark.createDataFrame(rows, "skill string"), spark.createDataFrame(list(STANDARD.aliases.items()), "alias string, canonical string"))
+
+
+@pytest.mark.parametrize("size", [1, 60, BLOCK_CHARS])
+def test_automata_equal_the_row_form(spark, size):
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id int, clean_text string")
+    terms = standard_terms(spark)
     assert sorted(map(tuple, terms.collect())) == STANDARD.terms()
     plain = {r[0]: r[1] for r in df.select("doc_id", K.skills_in(F.col("clean_text"), STANDARD)).collect()}
-    assert {r["doc_id"]: r["skills"] for r in skills_by_join(df, terms).collect()} == plain
+    if size == 60:
+        assert len(list(term_blocks(terms, size))) > 5
+    assert {r["doc_id"]: r["skills"] for r in skills_by_automata(df, terms, size=size).collect()} == plain
+
+
+@pytest.mark.parametrize("size", [40, BLOCK_CHARS])
+def test_null_and_repeated_keys_keep_their_own_skills(spark, size):
+    df = spark.createDataFrame([(None, "sql"), (None, "docker"), (1, "aws"), (1, "aws"), (1, "nothing")], "_text int, t string")
+    found = skills_by_automata(df, standard_terms(spark), "_text", "t", size)
+    assert found.columns == ["_text", "skills"]
+    assert sorted((r[0] or 0, r[1]) for r in found.collect()) == [(0, ["docker"]), (0, ["sql"]), (1, []), (1, ["aws"]), (1, ["aws"])]
+
+
+def test_no_terms_and_no_texts(spark):
+    none = spark.createDataFrame([], "needle string, skill string")
+    df = spark.createDataFrame([(1, "sql")], "doc_id int, clean_text string")
+    assert [tuple(r) for r in skills_by_automata(df, none).collect()] == [(1, [])]
+    assert skills_by_automata(df.where("false"), standard_terms(spark)).collect() == []
+
+
+def test_a_term_may_stand_for_several_skills_and_lie_in_another(spark):
+    terms = spark.createDataFrame([("ab", "x"), ("ab", "y"), ("zabz", "z"), ("b", "ß"), ("日本", "j")], "needle string, skill string")
+    df = spark.createDataFrame([(1, "ZABZ"), (2, "xx日本b"), (3, "a b")], "doc_id int, clean_text string")
+    assert {r[0]: r[1] for r in skills_by_automata(df, terms).collect()} == {1: ["x", "y", "z", "ß"], 2: ["j", "ß"], 3: ["ß"]}
+
+
+def test_texts_do_not_move(spark):
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id int, clean_text string")
+    plan = skills_by_automata(df, standard_terms(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("MapInArrow") == 1
+
+
+def test_many_terms_in_blocks(spark):
+    """A hundred thousand terms: each text names one of them, and finds it and the terms inside it."""
+    n = 100_000
+    terms = spark.range(n).select(F.concat(F.lit("t"), F.lpad(F.col("id").cast("string"), 8, "0"), F.lit("e")).alias("needle"))
+    terms = terms.withColumn("skill", F.col("needle"))
+    texts = spark.range(0, n, 997).select("id", F.concat(F.lit("uses t"), F.lpad(F.col("id").cast("string"), 8, "0"), F.lit("e x")).alias("t"))
+    found = skills_by_automata(texts, terms, "id", "t", 700_000).collect()
+    assert len(found) == len(range(0, n, 997))
+    assert all(r["skills"] == [f"t{r['id']:08d}e"] for r in found)
