@@ -340,6 +340,7 @@ def embed_incremental(t):
     store = EmbeddingStore(t.spark, shared_folder(t.spark, "vectors"), HashingEncoder())
     docs = t.read("documents").select("doc_id", "lang", "text")
     store.add(docs.filter(F.col("lang") == "en"), "text")
+    store.compact()
     pending = store.missing(docs, "text").withColumnRenamed("text_key", "pending")
     # Which texts were pending has to be settled before the store grows.
     folder = shared_folder(t.spark, "pending")

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import re
 
 import numpy as np
@@ -120,6 +121,79 @@ def test_store_encodes_each_text_once(spark, tmp_path):
     assert out.count() == 31 and out.filter("embedding is null").count() == 0 and out.columns == ["text_key", "i", "embedding"]
 
 
+def keyed(store):
+    return {r["text_key"]: r["embedding"] for r in store.read().collect()}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_compaction_settles_double_writes(spark, tmp_path):
+    store = EmbeddingStore(spark, str(tmp_path / "store"), HashingEncoder(8))
+    assert store.compact() is False and store.vacuum() == 0
+    texts = spark.createDataFrame([(i, f"text {i % 40}") for i in range(80)], "i int, t string")
+    store.add(texts.where("i < 20"), "t")
+    spark.read.parquet(store.path).write.mode("append").parquet(store.path)
+    before = keyed(store)
+    assert store.compact(4) and store.compact(4) is False
+    assert keyed(store) == before and store.read().count() == 20
+    assert "Aggregate" not in plan_of(store.read()) and "Exchange" not in plan_of(store.read())
+    # A late second writer appends settled keys again; new texts come too.
+    spark.read.parquet(store.files.folder(store.files.state().generation)).drop("bucket").write.mode("append").parquet(store.path)
+    store.add(texts, "t")
+    assert store.read().count() == 40 and store.missing(texts, "t").count() == 0
+    found = keyed(store)
+    assert store.compact(8) and keyed(store) == found and store.files.state().buckets == 8
+    assert store.vacuum() > 0 and keyed(store) == found
+    assert store.attach(texts, "t").where("embedding is not null").count() == 80
+
+
+def test_a_small_batch_reads_its_buckets_only(spark, tmp_path):
+    store = EmbeddingStore(spark, str(tmp_path / "store"), HashingEncoder(8))
+    store.add(spark.range(200).select(F.concat(F.lit("t"), F.col("id")).alias("t")), "t")
+    store.compact(16)
+    batch = spark.createDataFrame([(1, "t7"), (2, "t7"), (3, "t90")], "i int, t string")
+    out = store.attach(batch, "t", few=True)
+    buckets = {r[0] for r in batch.select(store.key(F.col("t")).alias("text_key")).selectExpr("cast(pmod(xxhash64(text_key), 16) as int)").collect()}
+    keys = batch.select(store.key(F.col("t")).alias("text_key"))
+    read = store.read(keys)
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan_of(read))
+    whole = store.read().select("text_key", F.expr("pmod(xxhash64(text_key), 16)").cast("int").alias("b"))
+    assert sorted(r["text_key"] for r in read.collect()) == sorted(r["text_key"] for r in whole.collect() if r["b"] in buckets)
+    assert {r["i"]: r["embedding"] for r in out.collect()} == {r["i"]: r["embedding"] for r in store.attach(batch, "t").collect()}
+    assert out.where("embedding is not null").count() == 3
+
+
+def test_a_second_compaction_of_the_same_state_is_dropped(spark, tmp_path):
+    store = EmbeddingStore(spark, str(tmp_path / "store"), HashingEncoder(8))
+    texts = spark.createDataFrame([("a",), ("b",), (None,)], "t string")
+    store.add(texts, "t")
+    seen = store.files.state()
+    assert store.compact()
+    assert store.files.publish(seen, "generation-other", 1) is False
+    assert store.read().count() == 3 and store.files.state().number == 1
+
+
+def test_files_of_a_bucket_hold_a_filter_of_their_keys(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    store = EmbeddingStore(spark, str(tmp_path / "store"), HashingEncoder(8))
+    store.add(spark.range(50).select(F.col("id").cast("string").alias("t")), "t")
+    store.compact(2)
+    files = glob.glob(f"{store.files.folder(store.files.state().generation)}/bucket=*/*.parquet")
+    assert len(files) == 2
+    for f in files:
+        keys = pq.read_table(f, columns=["text_key"], partitioning=None)["text_key"].to_pylist()
+        assert keys == sorted(keys)
+        # What a file holds beside columns and footer is the filter and a small page index.
+        meta = pq.read_metadata(f)
+        chunks = sum(meta.row_group(0).column(i).total_compressed_size for i in range(meta.num_columns))
+        assert os.path.getsize(f) - chunks - meta.serialized_size > 1_000
+
+
 def test_stored_chunks_equal_encoded_ones(spark, tmp_path):
     rows = [(1, ("a b", "", "c")), (2, ("", "", "")), (3, ("", "x y", "a b"))]
     df = spark.createDataFrame(rows, "doc_id int, chunks struct<summary:string,experience:string,skills:string>")
