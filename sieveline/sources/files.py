@@ -6,6 +6,7 @@ from pyspark.sql import types as T
 
 from sieveline.functions.bytes import decode_text
 from sieveline.operators.corpus import MISSING_MARKS, normalize_corpus
+from sieveline.sources.csv_splits import csv_records
 
 
 def read_table(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
@@ -18,13 +19,15 @@ def read_table(spark: SparkSession, path: str, partitions: int | None = None) ->
     return df.repartition(partitions) if partitions else df
 
 
-def read_labeled_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_labeled_csv(spark: SparkSession, path: str, split: bool = False) -> DataFrame:
     """A labelled corpus with either accepted header, as ``id, doc_text, label``.
 
-    Columns are read as text by header name; quoted cells may span lines, so a file is read by
-    one task. A large corpus comes as many files, or as JSON lines or Parquet with the same
-    columns through ``normalize_corpus``.
+    Columns are read as text by header name. Quoted cells may span lines, so a file is read by one
+    task; with ``split`` it is read by as many as it has splits, at the price of two passes, which a
+    well-formed large file is worth (``csv_splits``).
     """
+    if split:
+        return normalize_corpus(csv_records(spark, path, "_number"), MISSING_MARKS, "_number")
     options = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "inferSchema": False}
     return normalize_corpus(spark.read.options(**options).csv(path), MISSING_MARKS)
 

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -25,6 +27,56 @@ def test_csv_with_keyed_header(spark, tmp_path):
     assert sorted(map(tuple, rows)) == [("007", "text", "HR"), ("8", "", "Unknown")]
 
 
+@pytest.fixture
+def small_splits(spark):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64b")
+    yield
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def by_number(df):
+    return sorted(map(tuple, df.collect()), key=lambda r: int(r[0]))
+
+
+CELLS = ["plain", "", "NA", "two\nlines", 'he said ""x""\n\n', ",", "a\r\nb", "x" * 300, "\n" * 90, "日本\n\"\"", " pad ", '""']
+
+
+def written(rows, end):
+    quoted = lambda c: f'"{c}"' if any(x in c for x in ',"\r\n') else c
+    return end.join(",".join(map(quoted, r)) for r in rows) + end
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_a_split_file_reads_like_a_whole_one(spark, tmp_path, small_splits, end):
+    draw = random.Random(7)
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for name in ("a.csv", "b.csv"):
+        rows = [("Resume", "Category")] + [(draw.choice(CELLS), draw.choice(CELLS)) for _ in range(150)]
+        (folder / name).write_text(written(rows, end), newline="")
+    whole, split = (files.read_labeled_csv(spark, str(folder), split=s) for s in (False, True))
+    assert spark.read.text(str(folder), lineSep="\n").rdd.getNumPartitions() > 50
+    assert by_number(split) == by_number(whole)
+    assert len(by_number(split)) == 300
+
+
+def test_split_files_with_awkward_edges(spark, tmp_path, small_splits):
+    cases = {
+        "no-end": 'ID,Resume_str,Category\n1,"a\nb",x\n2,last,y',
+        "empty-lines": 'ID,Resume_str,Category\n\n\n1,a,x\n\n2,"b\n\n\nc",y\n\n',
+        "header-only": "ID,Resume_str,Category\n",
+        "mark": "\ufeffID,Resume_str,Category\n1,a,x\n",
+        "quoted-header": '"ID","Resume_str","Category"\n1,"' + "z\n" * 200 + '",x\n2,"",y\n',
+        "short-row": "ID,Resume_str,Category\n1\n2,b\n3,c,z,more\n",
+    }
+    for name, text in cases.items():
+        path = tmp_path / f"{name}.csv"
+        path.write_text(text)
+        whole, split = (files.read_labeled_csv(spark, str(path), split=s) for s in (False, True))
+        assert by_number(split) == by_number(whole), name
+
+
 def test_missing_marks_count_in_text_tables_only(spark):
     df = spark.createDataFrame([(1, "None", "NA"), (2, None, None)], "ID long, Resume_str string, Category string")
     assert sorted(map(tuple, corpus.normalize_corpus(df).collect())) == [("1", "None", "NA"), ("2", "", "Unknown")]
