@@ -322,6 +322,14 @@ ask(
       coalesce('q' || cast(l.quality as varchar), 'Unknown') as label
     from documents d left join labels l on l.doc_id = d.doc_id""",
 )
+# A text table has marks for "missing", which a typed table has not.
+ask(
+    "corpus_from_csv",
+    """select cast(d.doc_id as varchar) as id,
+      case when d.text in ('NA', 'N/A', 'NULL', 'null', 'None', 'nan', 'NaN', 'n/a') then '' else coalesce(d.text, '') end as doc_text,
+      coalesce('q' || cast(l.quality as varchar), 'Unknown') as label
+    from documents d left join labels l on l.doc_id = d.doc_id""",
+)
 ask("assign_row_ids", "select doc_id, cast(row_number() over (order by doc_id) - 1 as varchar) as row_id from documents")
 ask(
     "assemble_pages",

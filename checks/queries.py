@@ -68,6 +68,16 @@ def corpus_normalize(t):
     return corpus.normalize_corpus(keyed)
 
 
+@query
+def corpus_from_csv(t):
+    """The labelled documents written as CSV, line breaks in cells included, and read back by splits."""
+    folder = shared_folder(t.spark, "csv")
+    rows = _labeled(t).select(F.col("doc_id").alias("ID"), F.col("text").alias("Resume_str"), "Category")
+    kept = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "escape": '"', "quoteAll": True}
+    rows.write.options(header=True, **kept).csv(folder)
+    return files.read_labeled_csv(t.spark, folder, split=True)
+
+
 @query
 def assign_row_ids(t):
     return corpus.assign_row_ids(t.scan("documents").select("doc_id"), "doc_id")
