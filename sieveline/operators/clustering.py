@@ -1,5 +1,7 @@
 """K-means, nearest-centroid assignment, cluster profiles and the silhouette."""
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sieveline.operators.blocks import BLOCK_ROWS, CELLS, matrix
 from sieveline.operators.joins import partitions_of
+from sieveline.session import shared_folder
 
 # The standard number of clusters and seed.
 N_CLUSTERS = 10
@@ -74,21 +77,48 @@ def assign_clusters(df: DataFrame, labels: list, centers: np.ndarray, vector: st
     return df.withColumn("cluster_id", nearest(F.col(vector)))
 
 
-def _distance_sums(points: np.ndarray, others: np.ndarray, where: np.ndarray, k: int) -> np.ndarray:
-    """For each point, its summed distance to the others of each cluster (points x k)."""
-    member = np.zeros((len(others), k))
-    member[np.arange(len(others)), where] = 1.0
-    sums = np.zeros((len(points), k))
-    step = max(1, CELLS // max(1, len(others)))
-    for at in range(0, len(points), step):
-        sums[at : at + step] = np.sqrt(squared_distances(points[at : at + step], others)) @ member
-    return sums
+class _Cell:
+    """One cell of the grid: a group of points that is held, and one that streams past it.
+
+    Each distance between the two is computed once and adds to the sums of both its points.
+    """
+
+    def __init__(self, diagonal: bool, k: int):
+        self.diagonal, self.k = diagonal, k
+        self.parts: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
+        self.ids = self.points = self.members = self.sums = None
+
+    def hold(self, ids: pa.Array, points: np.ndarray, members: np.ndarray) -> None:
+        self.parts.append((ids, points, members))
+
+    def settle(self) -> bool:
+        """True if there are held points, which are then one matrix."""
+        if self.parts:
+            self.ids = pa.concat_arrays([p[0] for p in self.parts])
+            self.points = np.concatenate([p[1] for p in self.parts])
+            self.members = np.concatenate([p[2] for p in self.parts])
+            self.sums = np.zeros((len(self.points), self.k))
+            self.parts = []
+        return self.points is not None
+
+    def meet(self, points: np.ndarray, members: np.ndarray) -> np.ndarray:
+        """For each point, its summed distance to the held points of each cluster (points x k)."""
+        sums = np.zeros((len(points), self.k))
+        step = max(1, CELLS // len(self.points))
+        for at in range(0, len(points), step):
+            gaps = np.sqrt(squared_distances(points[at : at + step], self.points))
+            sums[at : at + step] = gaps @ self.members
+            if not self.diagonal:
+                self.sums += gaps.T @ members[at : at + step]
+        return sums
+
+    def held_sums(self) -> tuple[pa.Array, np.ndarray]:
+        return self.ids, self.meet(self.points, self.members) if self.diagonal else self.sums
 
 
 def silhouette(
     df: DataFrame,
     n_clusters: int,
-    key: str = "vec_id",
     cluster: str = "cluster_id",
     vector: str = "embedding",
     squared: bool = False,
@@ -96,15 +126,15 @@ def silhouette(
 ) -> DataFrame:
     """One row ``silhouette, n``: mean silhouette with Euclidean distance, exact.
 
-    -1 when fewer than two clusters were asked for or found, or there are fewer rows than clusters. Each
-    task holds a block of vectors and turns the points that stream past it into one distance sum
-    per cluster; pairs are never rows, but every point visits every block, so the work is
-    quadratic. ``squared=True`` uses squared distance, which needs one pass.
+    -1 when fewer than two clusters were asked for or found, or there are fewer rows than clusters.
+    Equal vectors of a cluster are one point with a weight. The points are dealt into groups, and a
+    task takes a pair of groups: it holds at most about ``block`` points and turns each distance to the
+    points that stream past into sums per cluster for both. Pairs are never rows and each pair of
+    groups meets once, but the work is quadratic. ``squared=True`` uses squared distance, which
+    needs one pass.
     """
     spark = df.sparkSession
-    clean = df.filter(F.col(vector).isNotNull()).select(
-        F.col(key).alias("_id"), F.col(cluster).alias("_k"), F.col(vector).alias("_v")
-    )
+    clean = df.filter(F.col(vector).isNotNull()).select(F.col(cluster).alias("_k"), F.col(vector).alias("_v"))
     sizes = {r["_k"]: r["n"] for r in clean.groupBy("_k").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(sizes.values())
     if n_clusters < 2 or total < n_clusters or len(sizes) < 2:
@@ -117,10 +147,12 @@ def silhouette(
     names = sorted(sizes)
     slot = {k: i for i, k in enumerate(names)}
     counts = np.array([sizes[k] for k in names], dtype="float64")
-    indexed = clean.withColumn(
-        "_k", F.element_at(F.create_map(*[F.lit(x) for k in names for x in (k, slot[k])]), F.col("_k"))
+    indexed = clean.select(
+        F.element_at(F.create_map(*[F.lit(x) for k in names for x in (k, slot[k])]), F.col("_k")).alias("_k"),
+        F.col("_v").cast("array<double>").alias("_v"),
     )
-    sums = _sums_over_blocks(indexed, len(names), max(partitions_of(df), -(-total // block)))
+    points = _weighted_points(indexed)
+    sums = _sums_on_grid(points, len(names), _groups(points.count(), block, partitions_of(df)))
 
     own = F.get(F.col("sums"), F.col("_k"))
     size = F.get(F.lit(counts.tolist()), F.col("_k"))
@@ -129,43 +161,66 @@ def silhouette(
         lambda i: F.when(i != F.col("_k"), F.get(F.col("sums"), i) / F.get(F.lit(counts.tolist()), i)),
     )
     scored = sums.select(
-        size.alias("size"), (own / F.greatest(size - 1, F.lit(1.0))).alias("a"), F.array_min(means).alias("b")
+        "_n", size.alias("size"), (own / F.greatest(size - 1, F.lit(1.0))).alias("a"), F.array_min(means).alias("b")
     )
     wider = F.greatest("a", "b")
     each = F.when((F.col("size") <= 1) | (wider == 0), 0.0).otherwise((F.col("b") - F.col("a")) / wider)
-    return scored.agg(F.avg(each).alias("silhouette"), F.count(F.lit(1)).alias("n"))
+    return scored.agg((F.sum(each * F.col("_n")) / F.sum("_n")).alias("silhouette"), F.sum("_n").alias("n"))
+
+
+def _weighted_points(indexed: DataFrame) -> DataFrame:
+    """``_k, _v, _n, _id``: the different vectors of each cluster, written once so that ids stay."""
+    folder = shared_folder(indexed.sparkSession, "points")
+    points = indexed.groupBy("_k", "_v").agg(F.count(F.lit(1)).alias("_n")).withColumn("_id", F.monotonically_increasing_id())
+    points.write.parquet(folder)
+    return indexed.sparkSession.read.schema(points.schema).parquet(folder)
+
+
+def _groups(points: int, block: int, partitions: int) -> int:
+    """Groups of about ``block`` points at most, and enough for two cells of the grid per partition."""
+    return max(1, -(-points // block), math.isqrt(4 * partitions))
+
 
+def _sums_on_grid(points: DataFrame, k: int, groups: int) -> DataFrame:
+    """``_id, _k, _n, sums``: a point goes to one cell for each group, the cell of that group and its own."""
+    own = F.pmod(F.xxhash64("_id"), F.lit(groups)).cast("long")
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))
+    dealt = points.select("*", own.alias("_own")).select("*", other.alias("_other")).select(
+        (F.least("_own", "_other") * groups + F.greatest("_own", "_other")).alias("_cell"),
+        (F.col("_other") < F.col("_own")).cast("int").alias("_side"), F.struct("_id", "_k", "_n").alias("_point"), "_v",
+    )
 
-def _sums_over_blocks(indexed: DataFrame, k: int, blocks: int) -> DataFrame:
-    """``_id, _k, sums``: every point streams past each block of the others, which a task holds."""
-    id_type = indexed.schema["_id"].dataType.simpleString()
-    doubles = F.col("_v").cast("array<double>").alias("_v")
-    others = indexed.select(F.pmod(F.xxhash64("_id"), F.lit(blocks)).alias("_block"), F.lit(0).alias("_side"), "_id", "_k", doubles)
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_block")
-    points = indexed.select(every, F.lit(1).alias("_side"), "_id", "_k", doubles)
+    def rows(ids: pa.Array, sums: np.ndarray):
+        lists = pa.ListArray.from_arrays(np.arange(0, sums.size + 1, k, dtype="int32"), sums.ravel())
+        return pa.RecordBatch.from_arrays([ids, lists], ["_point", "sums"])
 
     def run(batches):
-        block, vectors, where = None, [], []
+        number, cell = None, None
         for batch in batches:
-            numbers, sides = batch.column("_block").to_numpy(), batch.column("_side").to_numpy()
+            numbers, sides = batch.column("_cell").to_numpy(), batch.column("_side").to_numpy()
             edges = np.flatnonzero((np.diff(numbers) != 0) | (np.diff(sides) != 0)) + 1
             for a, b in zip(np.r_[0, edges], np.r_[edges, len(numbers)]):
                 if a == b:
                     continue
+                if numbers[a] != number:
+                    if cell is not None and cell.settle():
+                        yield rows(*cell.held_sums())
+                    number = int(numbers[a])
+                    cell = _Cell(number // groups == number % groups, k)
                 part = batch.slice(int(a), int(b - a))
-                if numbers[a] != block:
-                    block, vectors, where = numbers[a], [], []
-                v = matrix(part.column("_v"))
+                who, vectors = part.column("_point"), matrix(part.column("_v"))
+                _, clusters, weights = (x.to_numpy() for x in who.flatten())
+                members = np.zeros((len(who), k))
+                members[np.arange(len(who)), clusters] = weights
                 if sides[a] == 0:
-                    vectors.append(v)
-                    where.append(part.column("_k").to_numpy().astype("int64"))
-                elif vectors:
-                    vectors, where = [np.concatenate(vectors)], [np.concatenate(where)]
-                    sums = _distance_sums(v, vectors[0], where[0], k)
-                    offsets = np.arange(0, sums.size + 1, k, dtype="int32")
-                    lists = pa.ListArray.from_arrays(offsets, sums.ravel())
-                    yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_k"), lists], ["_id", "_k", "sums"])
-
-    met = others.unionByName(points).repartition("_block").sortWithinPartitions("_block", "_side")
-    parts = met.mapInArrow(run, f"_id {id_type}, _k int, sums array<double>")
-    return parts.groupBy("_id", "_k").agg(vector_to_array(Summarizer.sum(array_to_vector(F.col("sums")))).alias("sums"))
+                    cell.hold(who, vectors, members)
+                elif cell.settle():
+                    yield rows(who, cell.meet(vectors, members))
+        if cell is not None and cell.settle():
+            yield rows(*cell.held_sums())
+
+    cells = groups * (groups + 1) // 2
+    met = dealt.repartition(cells, "_cell").sortWithinPartitions("_cell", "_side")
+    parts = met.mapInArrow(run, "_point struct<_id: bigint, _k: int, _n: bigint>, sums array<double>")
+    summed = parts.groupBy("_point").agg(vector_to_array(Summarizer.sum(array_to_vector(F.col("sums")))).alias("sums"))
+    return summed.select("_point.*", "sums")

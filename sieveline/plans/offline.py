@@ -92,7 +92,7 @@ def build(
 
     kmeans = clustering.train_kmeans(vectors, n_clusters, seed)
     clustered = clustering.predict_clusters(kmeans, vectors)
-    quality = clustering.silhouette(clustered, n_clusters, "doc_id", squared=not exact_silhouette)
+    quality = clustering.silhouette(clustered, n_clusters, squared=not exact_silhouette)
     artifacts.save_models(f"{folder}/models", model, kmeans)
     artifacts.write_index(clustered, f"{folder}/index")
     cut_into_cells(vectors, folder=f"{folder}/cells")  # load_cells gives them back, ready to be ranked

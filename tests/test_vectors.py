@@ -6,6 +6,7 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -394,6 +395,44 @@ def test_silhouette(spark, block):
     assert -1 <= clustering.silhouette(df, 4, squared=True).first()["silhouette"] <= 1
 
 
+def test_silhouette_of_copies(spark):
+    """Copies weigh as many points as they are, in one cluster and across two, whatever their ids are."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(30, 4)), np.repeat(rng.normal(size=(2, 4)), 40, axis=0)])
+    labels = np.concatenate([np.arange(30) % 3, np.arange(80) % 2])
+    df = spark.createDataFrame(
+        [(None if i % 2 else 1, int(k), v.tolist()) for i, (k, v) in enumerate(zip(labels, x))],
+        "vec_id long, cluster_id int, embedding array<double>",
+    )
+    for block in (7, 65_536):
+        row = clustering.silhouette(df, 3, block=block).first()
+        assert row["silhouette"] == pytest.approx(brute_silhouette(x, labels), abs=1e-6) and row["n"] == 110
+    empty = clustering.silhouette(df.limit(0), 3).first()
+    assert empty["silhouette"] == -1.0 and empty["n"] == 0
+
+
+def test_each_pair_of_groups_meets_once(spark):
+    """A vector goes to as many cells as there are groups, about the root of the cells, and a distance counts for both its points."""
+    points = clustering._weighted_points(spark.createDataFrame([(i % 2, [float(i)]) for i in range(60)], "_k int, _v array<double>"))
+    for groups in (1, 2, 5):
+        sums = {r["_id"]: list(r["sums"]) for r in clustering._sums_on_grid(points, 2, groups).collect()}
+        value = {r["_id"]: r["_v"][0] for r in points.collect()}
+        assert sums.keys() == value.keys()
+        for i, v in value.items():
+            assert sums[i] == pytest.approx([sum(abs(v - w) for w in range(k, 60, 2)) for k in (0, 1)])
+    assert clustering._groups(10, 65_536, 8) == 5 and clustering._groups(10**6, 65_536, 8) == 16
+
+
+def test_a_distance_is_computed_once(monkeypatch):
+    computed = []
+    plain = clustering.squared_distances
+    monkeypatch.setattr(clustering, "squared_distances", lambda x, y: computed.append(len(x) * len(y)) or plain(x, y))
+    cell = clustering._Cell(False, 1)
+    cell.hold(pa.array([1, 2]), np.array([[0.0], [3.0]]), np.array([[2.0], [1.0]]))
+    assert cell.settle() and cell.meet(np.array([[1.0]]), np.array([[5.0]])).tolist() == [[4.0]]
+    assert cell.held_sums()[1].tolist() == [[5.0], [10.0]] and sum(computed) == 2
+
+
 def test_assignment_and_profile(spark):
     rows = [(1, [0.0, 1.0]), (2, [5.0, 5.0]), (3, None), (4, [0.5, 0.5])]
     df = spark.createDataFrame(rows, "i int, embedding array<double>")
