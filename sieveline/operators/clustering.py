@@ -134,8 +134,11 @@ def silhouette(
     needs one pass.
     """
     spark = df.sparkSession
-    clean = df.filter(F.col(vector).isNotNull()).select(F.col(cluster).alias("_k"), F.col(vector).alias("_v"))
-    sizes = {r["_k"]: r["n"] for r in clean.groupBy("_k").agg(F.count(F.lit(1)).alias("n")).collect()}
+    doubles = F.col(vector).cast("array<double>").alias("_v")
+    clean = df.filter(F.col(vector).isNotNull()).select(F.col(cluster).alias("_k"), doubles)
+    points = clean.withColumn("_n", F.lit(1).cast("long")) if squared else _weighted_points(clean)
+    found = points.groupBy("_k").agg(F.sum("_n").alias("n"), F.count(F.lit(1)).alias("points")).collect()
+    sizes = {r["_k"]: r["n"] for r in found}
     total = sum(sizes.values())
     if n_clusters < 2 or total < n_clusters or len(sizes) < 2:
         return spark.createDataFrame([(-1.0, total)], "silhouette double, n long")
@@ -145,14 +148,10 @@ def silhouette(
         return spark.createDataFrame([(float(score), total)], "silhouette double, n long")
 
     names = sorted(sizes)
-    slot = {k: i for i, k in enumerate(names)}
     counts = np.array([sizes[k] for k in names], dtype="float64")
-    indexed = clean.select(
-        F.element_at(F.create_map(*[F.lit(x) for k in names for x in (k, slot[k])]), F.col("_k")).alias("_k"),
-        F.col("_v").cast("array<double>").alias("_v"),
-    )
-    points = _weighted_points(indexed)
-    sums = _sums_on_grid(points, len(names), _groups(points.count(), block, partitions_of(df)))
+    slot = F.create_map(*[F.lit(x) for i, k in enumerate(names) for x in (k, i)])
+    indexed = points.withColumn("_k", F.element_at(slot, F.col("_k")))
+    sums = _sums_on_grid(indexed, len(names), _groups(sum(r["points"] for r in found), block, partitions_of(df)))
 
     own = F.get(F.col("sums"), F.col("_k"))
     size = F.get(F.lit(counts.tolist()), F.col("_k"))
@@ -168,17 +167,17 @@ def silhouette(
     return scored.agg((F.sum(each * F.col("_n")) / F.sum("_n")).alias("silhouette"), F.sum("_n").alias("n"))
 
 
-def _weighted_points(indexed: DataFrame) -> DataFrame:
+def _weighted_points(vectors: DataFrame) -> DataFrame:
     """``_k, _v, _n, _id``: the different vectors of each cluster, written once so that ids stay."""
-    folder = shared_folder(indexed.sparkSession, "points")
-    points = indexed.groupBy("_k", "_v").agg(F.count(F.lit(1)).alias("_n")).withColumn("_id", F.monotonically_increasing_id())
+    folder = shared_folder(vectors.sparkSession, "points")
+    points = vectors.groupBy("_k", "_v").agg(F.count(F.lit(1)).alias("_n")).withColumn("_id", F.monotonically_increasing_id())
     points.write.parquet(folder)
-    return indexed.sparkSession.read.schema(points.schema).parquet(folder)
+    return vectors.sparkSession.read.schema(points.schema).parquet(folder)
 
 
 def _groups(points: int, block: int, partitions: int) -> int:
-    """Groups of about ``block`` points at most, and enough for two cells of the grid per partition."""
-    return max(1, -(-points // block), math.isqrt(4 * partitions))
+    """Groups of about ``block`` points at most, and as many as give a partition one cell of the grid."""
+    return max(1, -(-points // block), (math.isqrt(8 * partitions + 1) - 1) // 2)
 
 
 def _sums_on_grid(points: DataFrame, k: int, groups: int) -> DataFrame:

@@ -420,7 +420,7 @@ def test_each_pair_of_groups_meets_once(spark):
         assert sums.keys() == value.keys()
         for i, v in value.items():
             assert sums[i] == pytest.approx([sum(abs(v - w) for w in range(k, 60, 2)) for k in (0, 1)])
-    assert clustering._groups(10, 65_536, 8) == 5 and clustering._groups(10**6, 65_536, 8) == 16
+    assert clustering._groups(10, 65_536, 8) == 3 and clustering._groups(10**6, 65_536, 8) == 16
 
 
 def test_a_distance_is_computed_once(monkeypatch):
