@@ -4,8 +4,11 @@ Base rules fail texts with few words or with mostly repeated three-word windows.
 goes through learned rules, each a conjunction of thresholds such as ``symbol_share >= 0.05 and
 n_words < 800``. They are learned by sequential covering: a rule grows by the condition of the best
 information gain until it covers no good text of the growing set, loses its last conditions as long
-as that helps on the pruning set, and is kept if it is precise there; the texts it covers are taken
-away and the next rule is grown. The result is an ordered conditional expression.
+as that helps on the pruning set, and is kept if it is precise there. Kept or not, the texts it
+covers are taken away and the next rule is grown, until no condition tells the bad texts that are left
+from good ones, or ``patience`` rules in a row were not precise (what is left is then noise that no
+threshold can tell). Neither the rules nor the conditions of a rule are bounded in number. The result is
+an ordered conditional expression.
 
 Thresholds come from fixed grids, so all labelled rows take part as counts per combination of grid
 cells, and every step is one aggregate that returns two sums per threshold. Rows that are held out
@@ -35,7 +38,10 @@ GRIDS = {
     "word_length": (2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0, 10.0, 12.0, 16.0),
     "n_words": (75.0, 100.0, 150.0, 200.0, 300.0, 500.0, 800.0, 1500.0, 3000.0, 6000.0),
 }
-MAX_RULES, MAX_CONDITIONS, LEAST_PRECISION, LEAST_BAD = 6, 3, 0.9, 5
+#: Bad texts that a condition covers at least in the growing set, and the precision asked for on the pruning set.
+LEAST_BAD, LEAST_PRECISION = 5, 0.9
+#: Imprecise rules in a row that end the learning.
+PATIENCE = 5
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -188,14 +194,18 @@ def _pruned(rows: DataFrame, grown: list[Condition]) -> tuple[list[Condition], f
     return grown[: k + 1], values[2 * k] / max(1, values[2 * k] + values[2 * k + 1]), values[2 * k]
 
 
-def learn(cells: DataFrame) -> list[list[Condition]]:
-    """The rules for bad texts, in order."""
+def learn(cells: DataFrame, patience: int = PATIENCE) -> list[list[Condition]]:
+    """The rules for bad texts, in order.
+
+    Ends for certain: a condition has to raise the precision, and a rule takes at least ``LEAST_BAD``
+    bad texts of the growing set with it.
+    """
     rules: list[list[Condition]] = []
-    rows = cells
-    while len(rules) < MAX_RULES:
+    rows, misses = cells, 0
+    while misses < patience:
         grown: list[Condition] = []
         left = 1
-        while left and len(grown) < MAX_CONDITIONS:
+        while left:
             condition, left = _best_condition(rows.where(_all([c.on_cells() for c in grown])))
             if condition is None:
                 break
@@ -203,24 +213,29 @@ def learn(cells: DataFrame) -> list[list[Condition]]:
         if not grown:
             break
         rule, precision, bad = _pruned(rows, grown)
-        if precision < LEAST_PRECISION or not bad:
-            break
-        rules.append(rule)
+        if precision >= LEAST_PRECISION and bad:
+            rules.append(rule)
+            misses = 0
+        else:
+            misses += 1
         rows = rows.where(~_all([c.on_cells() for c in rule]))
     return rules
 
 
 def first_rule(rules: list[list[Condition]]) -> Column:
     """The text of the first rule that fits a row of statistics, else null."""
-    out = F.lit(None).cast("string")
-    for rule in reversed(rules):
-        out = F.when(_all([c.on_values() for c in rule]), F.lit(" and ".join(map(str, rule)))).otherwise(out)
+    out = F.when(F.lit(False), F.lit(None).cast("string"))
+    for rule in rules:
+        out = out.when(_all([c.on_values() for c in rule]), F.lit(" and ".join(map(str, rule))))
     return out
 
 
-def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+def judge(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+    patience: int = PATIENCE,
+) -> DataFrame:
     """doc_id, the statistics, base_failed, rule (the learned rule that fits, else null) and kept of every row."""
     stats = cut(statistics(docs, id_col, text_col), "statistics")
-    rules = learn(cut(labelled_cells(stats, labels, id_col, label_col), "cells"))
+    rules = learn(cut(labelled_cells(stats, labels, id_col, label_col), "cells"), patience)
     judged = stats.select("*", base_failed().alias("base_failed"), first_rule(rules).alias("rule"))
     return judged.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
