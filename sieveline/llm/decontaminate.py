@@ -5,8 +5,10 @@ is ``n`` consecutive words of an item; an item with fewer words is one window. A
 words of its texts by the vocabulary of the windows (other words get none), hashes every window of
 numbers, looks the hashes up in the sorted set, and verifies each hit number by number.
 
-The set is broadcast in blocks of at most ``block_words`` item words, so its size is bounded however
-large the benchmark is; rows go through the blocks one after the other and carry their hits along.
+The set is broadcast in blocks of at most ``block_words`` item words (one longer item is a block of its
+own). Rows go through the blocks one after the other and carry their hits along; between two blocks
+they are written and the block is given back, so a plan holds one block however large the benchmark is.
+A benchmark of n blocks costs n - 1 rewrites of the rows that are left.
 
 Null and empty texts and items have no words and no hits. Item ids may repeat: rows with one id
 are one item. Rows with a null item_id take part as the item ``null``. Equal documents are scanned
@@ -14,15 +16,16 @@ each for itself, and extra columns are ignored.
 """
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sieveline.llm.common import blocks, extended, id_and_text
+from sieveline.llm.common import blocks, cut, extended, id_and_text
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Item words in one broadcast block (with ten-word windows about 100 bytes each).
@@ -111,14 +114,29 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, block_words: int)
     yield held
 
 
+def through_blocks(
+    docs: DataFrame, blocks_of_items: Iterator[list[tuple[str, bytes]]], n: int, step: Callable[[DataFrame, Broadcast, bool], DataFrame]
+) -> DataFrame:
+    """The rows after ``step`` with each block of windows; only the last block stays live in the plan."""
+    block = next(blocks_of_items)
+    while block is not None:
+        after = next(blocks_of_items, None)
+        shared = docs.sparkSession.sparkContext.broadcast(WindowSet(block, n))
+        docs = step(docs, shared, after is None)
+        if after is not None:
+            docs = cut(docs, "decontaminated")
+            shared.destroy()
+        block = after
+    return docs
+
+
 def _hit_runs(hit: np.ndarray) -> tuple[list[int], list[int]]:
     edges = np.flatnonzero(np.diff(np.r_[False, hit, False].astype(np.int8)))
     return edges[::2].tolist(), edges[1::2].tolist()
 
 
-def _scan_block(docs: DataFrame, windows: WindowSet, last: bool) -> DataFrame:
+def _scan_block(docs: DataFrame, shared: Broadcast, last: bool) -> DataFrame:
     """Per row: n_words, runs of hit words, items, united with what earlier blocks found; the last drops the text."""
-    shared = docs.sparkSession.sparkContext.broadcast(windows)
     schema = extended(docs.select("doc_id", *(() if last else ("text",))).schema, **FOUND)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,13 +169,8 @@ def contamination(
 
     Every row is kept as it is, whatever its doc_id, and passes from block to block with its hits.
     """
-    scan = id_and_text(docs, id_col, text_col)
-    rest = item_blocks(items, item_col, "text", block_words)
-    block = next(rest)
-    while block is not None:
-        after = next(rest, None)
-        scan = _scan_block(scan, WindowSet(block, n), after is None)
-        block = after
+    rows = id_and_text(docs, id_col, text_col)
+    scan = through_blocks(rows, item_blocks(items, item_col, "text", block_words), n, _scan_block)
     scan = scan.withColumn("n_hit", F.expr("aggregate(arrays_zip(starts, stops), 0L, (s, x) -> s + x.stops - x.starts)"))
     scan = scan.withColumn("items", F.array_sort(F.array_distinct("items")))
     return scan.select(
@@ -179,10 +192,8 @@ def clean(
 
     A span goes from its first to its last hit word. A row is never given up with "spans".
     """
-    out = docs
-    for block in item_blocks(items, item_col, "text", block_words):
-        out = _clean_block(out, WindowSet(block, n), text_col, remove == "spans")
-    return out
+    step = lambda rows, shared, last: _clean_block(rows, shared, text_col, remove == "spans")
+    return through_blocks(docs, item_blocks(items, item_col, "text", block_words), n, step)
 
 
 def without_spans(windows: WindowSet, text: bytes) -> bytes:
@@ -196,9 +207,7 @@ def without_spans(windows: WindowSet, text: bytes) -> bytes:
     return b"".join([*kept, text[at:]])
 
 
-def _clean_block(docs: DataFrame, windows: WindowSet, text_col: str, spans: bool) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(windows)
-
+def _clean_block(docs: DataFrame, shared: Broadcast, text_col: str, spans: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in blocks(batch, text_col):
