@@ -453,3 +453,32 @@ def test_kmeans(spark):
     groups = [{r["cluster_id"] for r in out if a <= r["i"] < a + 20} for a in (0, 20, 40)]
     assert all(len(g) == 1 for g in groups) and len(set.union(*groups)) == 3
     assert [r["cluster_id"] for r in out if r["i"] == 999] == [None]
+
+
+def test_a_query_moves_once_per_block_where_no_cell_can_be_skipped(spark):
+    """Vectors without structure reach nearly all cells; what is shuffled grows with blocks, not with cells."""
+    rng = np.random.default_rng(8)
+    corpus = rng.normal(size=(2000, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(corpus)], "doc_id long, embedding array<double>")
+    queries = df.where("doc_id % 10 = 0").withColumnRenamed("doc_id", "query_id")
+    cells = ranking.cut_into_cells(df)
+    asked = queries.selectExpr("query_id as _q", "embedding as _v", "0.2D as _least")
+    upper = len(cells.table.tree.upper)
+    assert len(cells.sizes) > 5 * upper
+    assert ranking._routed(asked, cells, 5, True).count() <= 200 * upper
+    want = brute_top(corpus[::10], corpus, 5)
+    assert lists_of(rank_by_cosine(queries, cells, 5)) == {10 * q: [d for d, _ in rows] for q, rows in want.items()}
+
+
+def test_cells_share_blocks_of_bounded_size():
+    tree = ranking.PivotTree.of(ranking.unit_rows(np.random.default_rng(1).normal(size=(100, 6))))
+    sizes = np.random.default_rng(2).integers(0, 40, size=100)
+    sizes[[3, 50]] = 250
+    first, blocks = ranking._numbered(tree, sizes, 100)
+    table = ranking.CellTable(tree, np.zeros(100), sizes, first, blocks)
+    rows, above = np.zeros(len(table.tops())), np.repeat(np.arange(10), np.diff(tree.edges))
+    for cell in np.flatnonzero(sizes):
+        own, _ = table.blocks_of(np.array([cell]))
+        assert (table.tops()[own] == above[cell]).all()
+        rows[own] += sizes[cell] / len(own)
+    assert rows.sum() == sizes.sum() and 0 < rows.min() and rows.max() <= 100
