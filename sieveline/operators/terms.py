@@ -6,11 +6,14 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sieveline.session import shared_folder
 
 # Characters of terms in one automaton, which is what a task holds beside its batch of texts.
 BLOCK_CHARS = 2_000_000
+# Rows that leave a task in one Arrow batch, however many came in with one.
+ROWS_OUT = 256
 
 
 def term_table(domain_skill: DataFrame, alias: DataFrame) -> DataFrame:
@@ -51,37 +54,45 @@ def skills_by_automata(docs: DataFrame, terms: DataFrame, key: str = "doc_id", t
 
     One pass over the texts for each block of terms, without a shuffle: a row carries what it has
     found to the next block. Between two blocks the rows are written, so a job holds one block,
-    whatever the number of terms; after the last block nothing is written. Rows are told apart by
+    whatever the number of terms (the driver also holds the next); after the last block nothing is
+    written and texts do not come back from the task. Rows are told apart by
     their place only, so null and repeated keys keep their own skills. Null text holds no term.
     """
     spark = docs.sparkSession
     rows = docs.select(
         F.col(key).alias("_key"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_text"), F.array().cast("array<string>").alias("_found")
     )
-    schema, held = rows.schema, None
-    for block in term_blocks(terms, size):
+    schema, held, blocks = rows.schema, None, term_blocks(terms, size)
+    block = next(blocks, None)
+    while block is not None:
+        following = next(blocks, None)
         if held is not None:
             folder = shared_folder(spark, "skills")
             rows.write.parquet(folder)
             rows = spark.read.schema(schema).parquet(folder)
             held.destroy()
         held = spark.sparkContext.broadcast(block)
-        rows = rows.mapInArrow(_scan(held), schema)
+        # After the last block no pass needs the texts, so they stay behind.
+        carried = schema.fieldNames() if following is not None else ["_key", "_found"]
+        rows = rows.mapInArrow(_scan(held, carried), T.StructType([schema[c] for c in carried]))
+        block = following
     return rows.select(F.col("_key").alias(key), F.sort_array("_found").alias("skills"))
 
 
-def _scan(held):
-    """A pass over Arrow batches that adds the skills of one block to ``_found``."""
+def _scan(held, carried: list[str]):
+    """A pass over Arrow batches that adds the skills of one block to ``_found`` and gives the ``carried`` columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = automaton(held.value)
-        for batch in batches:
-            found = []
-            # One text at a time as a Python object, however many a batch holds.
-            for text, before in zip(batch.column("_text"), batch.column("_found")):
-                hits = {skill for _, skills in search.iter(text.as_py()) for skill in skills}
-                found.append(sorted(hits.union(before.as_py())))
-            columns = [batch.column("_key"), batch.column("_text"), pa.array(found, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(columns, ["_key", "_text", "_found"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS_OUT):
+                batch = whole.slice(at, ROWS_OUT)
+                found = []
+                # One text at a time as a Python object, however many a batch holds.
+                for text, before in zip(batch.column("_text"), batch.column("_found")):
+                    hits = {skill for _, skills in search.iter(text.as_py()) for skill in skills}
+                    found.append(sorted(hits.union(before.as_py())))
+                columns = {"_key": batch.column("_key"), "_text": batch.column("_text"), "_found": pa.array(found, pa.list_(pa.string()))}
+                yield pa.RecordBatch.from_pydict({c: columns[c] for c in carried})
 
     return run
