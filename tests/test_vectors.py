@@ -482,3 +482,22 @@ def test_cells_share_blocks_of_bounded_size():
         assert (table.tops()[own] == above[cell]).all()
         rows[own] += sizes[cell] / len(own)
     assert rows.sum() == sizes.sum() and 0 < rows.min() and rows.max() <= 100
+
+
+def test_lists_of_documents_and_jobs_move_vectors_once_per_block(spark, monkeypatch):
+    """The ranking of a whole screening run on vectors without structure: few routes, exact lists."""
+    from sieveline.plans import screening
+
+    rng = np.random.default_rng(11)
+    corpus = rng.normal(size=(1500, 24))
+    index = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(corpus)], "doc_id long, embedding array<double>")
+    docs, jobs = index.where("doc_id % 20 = 0"), index.where("doc_id % 75 = 1").selectExpr("doc_id as job_id", "embedding as jd_embedding")
+    routed, plain = [], ranking._routed
+    monkeypatch.setattr(ranking, "_routed", lambda *a, **k: routed.append(plain(*a, **k)) or routed[-1])
+    cells = ranking.cut_into_cells(index, copies=3)
+    docs, jobs = screening.with_rankings(docs, jobs, cells, 3)
+    most = 95 * len(cells.table.tree.upper)
+    assert len(cells.sizes) > 5 * len(cells.table.tree.upper) and max(r.count() for r in routed) <= most
+    want = brute_top(corpus, corpus, 3)
+    for rows, key, lists in ((docs, "doc_id", "similar_docs"), (jobs, "job_id", "jd_ranked_docs")):
+        assert {r[key]: [e["ranked_id"] for e in r[lists]] for r in rows.collect()} == {r[key]: [d for d, _ in want[r[key]]] for r in rows.collect()}
