@@ -15,9 +15,11 @@ same bytes to the same name. Readers map the files into memory.
 A text is cut at ASCII white space, which this tokenizer drops and across which nothing merges, and
 each distinct piece goes through the tokenizers library once per worker while it is remembered; the
 number of remembered pieces is bounded, and the frequent ones stay. Pieces of Latin letters, with or
-without a full stop or comma, go to the library's model directly, lower-cased and as letters for
-bytes: its normalizer and splitter do no more to them but cut before the mark. Equal ids stand in the order of a hash of their texts. Null
-and empty texts are the end id alone; other columns are ignored. doc_id must be an integer.
+without ASCII marks behind them, go to the library's model directly, lower-cased and as letters for
+bytes: its normalizer and splitter do no more to them but cut before the marks. The model sees a
+lower-cased word and a run of marks once while they are remembered, in whatever pieces they stand.
+Equal ids stand in the order of a hash of their texts. Null and empty texts are the end id alone;
+other columns are ignored. doc_id must be an integer.
 """
 
 import os
@@ -36,11 +38,11 @@ from sieveline.llm.common import blocks, cut, id_and_text
 from sieveline.session import shared_folder
 
 FILE_BYTES = 256 * 1024 * 1024
-#: Distinct pieces that a worker remembers (about 200 bytes each), and the longest such piece.
-REMEMBERED, LONGEST = 1_200_000, 200
+#: Distinct pieces, and lower-cased words, that a worker remembers (about 200 bytes each), and the longest such one.
+REMEMBERED, WORDS, LONGEST = 1_200_000, 300_000, 200
 NULL_ID = -(1 << 63)
-#: Latin letters (U+0041 to U+00FF, bytes of UTF-8), and marks before which the tokenizer cuts.
-PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,]?)").fullmatch
+#: Latin letters (U+0041 to U+00FF, bytes of UTF-8), and ASCII marks before which the tokenizer cuts: all but the apostrophe.
+PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
 #: The model's letter for a byte: printable Latin-1 stands for itself, other bytes for U+0100 and on, in order.
 _OTHER = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b)]
@@ -63,13 +65,20 @@ class Encoder(dict):
         self.code = "H" if self.width == 2 else "I"
         self.older: dict[bytes, bytes] = {}
         self.model = self.tokenizer.model
-        self.marks = {m: self.by_model(m) for m in (b"", b".", b",")}
+        self.packed = {i: self.pack([i]) for i in self.tokenizer.get_vocab().values()}
+        self.words: dict[bytes, bytes] = {}
 
     def by_model(self, plain: bytes) -> bytes:
-        text = plain.decode().lower()
-        if not plain.isascii():
-            text = text.encode().decode("latin-1").translate(BYTE_LETTERS)
-        return self.pack([t.id for t in self.model.tokenize(text)]) if text else b""
+        """Ids of a lower-cased word or of a run of marks."""
+        found = self.words.get(plain)
+        if found is None:
+            text = plain.decode() if plain.isascii() else plain.decode("latin-1").translate(BYTE_LETTERS)
+            found = b"".join([self.packed[t.id] for t in self.model.tokenize(text)])
+            if len(plain) <= LONGEST:
+                if len(self.words) >= WORDS:
+                    self.words.clear()
+                self.words[plain] = found
+        return found
 
     def pack(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{self.code}", *ids)
@@ -77,11 +86,15 @@ class Encoder(dict):
     def __missing__(self, piece: bytes) -> bytes:
         found = self.older.get(piece)
         if found is None:
-            if (plain := PLAIN(piece)) is None:
+            if piece.isalpha():  # ASCII letters alone, as most are
+                found = self.by_model(piece.lower())
+            elif (plain := PLAIN(piece)) is None:
                 found = self.pack(self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids)
             else:
-                word, mark = plain.groups()
-                found = self.by_model(word) + self.marks[mark]
+                word, marks = plain.groups()
+                found = self.by_model(word.lower() if word.isascii() else word.decode().lower().encode())
+                if marks:
+                    found += self.by_model(marks)
         if len(piece) <= LONGEST:
             if len(self) >= REMEMBERED // 2:
                 self.older = dict(self)
